@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators.series import Series
+from sensorloom.sources.staging import stage
 
 EAST = ("click", "signup", "view")
 CHANNELS = ["pm25", "temperature", "humidity", "no2", "o3", "aqi"]
@@ -74,6 +75,11 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations written once, for queries that read them in several passes."""
+    return stage(observations(spark, sf))
+
+
 def user_readings(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf).select(
         F.col("user_id").alias("sensor_id"), "ts", "event_id", F.col("sensor_id").alias("kind"),
@@ -126,3 +132,22 @@ def sql(prelude: str, body: str, doubles: str = "") -> str:
         return text
     places = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
     return f"SELECT * REPLACE ({places}) FROM (\n{text}\n)"
+
+
+def query_table():
+    """Two registries (queries and their SQL) and the decorator that fills them."""
+    queries: dict = {}
+    texts: dict[str, str] = {}
+
+    def query(name: str, oracle: str | None = None):
+        def add(fn):
+            if name in queries:
+                raise ValueError(f"query registered twice: {name}")
+            queries[name] = fn
+            if oracle is not None:
+                texts[name] = oracle
+            return fn
+
+        return add
+
+    return queries, texts, query

@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import series as S
 from sensorloom.plans.network import (
-    CHANNELS, HOURLY, OBS, RAW, READINGS, SEG, USERS, observations, readings, rounded, sql,
+    HOURLY, OBS, RAW, READINGS, SEG, USERS, observations, query_table, readings, rounded, sql,
     user_readings,
 )
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            SQL[name] = oracle
-        return fn
-
-    return add
+QUERIES, SQL, query = query_table()
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +92,7 @@ SELECT sensor_id, ts, round(avg(pm25) OVER w, 6) AS pm25_mean_3h,
        round(quantile_cont(pm25, 0.5) OVER w, 6) AS pm25_median_3h,
        round(stddev_samp(pm25) OVER w, 6) AS pm25_std_3h, min(pm25) OVER w AS pm25_min_3h,
        max(pm25) OVER w AS pm25_max_3h, count(pm25) OVER w AS pm25_count_3h,
-       round(avg(no2) OVER d, 6) AS no2_mean_24h, count(no2) OVER d AS no2_count_24h
+       round(avg(temperature) OVER d, 6) AS temperature_mean_24h, count(no2) OVER d AS no2_count_24h
 FROM seg
 WINDOW w AS (PARTITION BY sensor_id, segment ORDER BY ts
              RANGE BETWEEN INTERVAL '10799.999999 seconds' PRECEDING AND CURRENT ROW),
@@ -113,7 +102,7 @@ WINDOW w AS (PARTITION BY sensor_id, segment ORDER BY ts
 def _(spark, sf):
     wanted = {f"pm25_{stat}_3h": ("pm25", 180, stat)
               for stat in ["mean", "median", "std", "min", "max", "count"]}
-    wanted["no2_mean_24h"] = ("no2", 1440, "mean")
+    wanted["temperature_mean_24h"] = ("temperature", 1440, "mean")
     wanted["no2_count_24h"] = ("no2", 1440, "count")
     out = S.backward_rolling(segments(spark, sf), HOURLY, wanted)
     return rounded(out.select("sensor_id", "ts", *wanted))
