@@ -127,7 +127,7 @@ def low_variance_runs(
     """Runs of at least ``2 k`` rows whose k-row deviation stays within tolerance."""
     by = s.by("channel")
     keys = list(by.keys)
-    spread = row_halo(with_ordinal(long, by), back=k - 1)
+    spread = row_halo(with_ordinal(long, by), by, back=k - 1)
     w = frame_window(by, order="_ord").rowsBetween(-(k - 1), 0)
     rolled = home_rows(
         spread.withColumn("_std", F.stddev_samp("value").over(w)).withColumn(

@@ -157,12 +157,18 @@ def with_ordinal(df: DataFrame, s: Series, out: str = "_ord") -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, position: str, back: int, ahead: int, size: int) -> DataFrame:
+def _spread(
+    df: DataFrame, s: Series, position: str, back: int, ahead: int, size: int
+) -> DataFrame:
     home = F.floor(F.col(position) / size)
     reach = F.sequence(
         F.floor((F.col(position) - ahead) / size), F.floor((F.col(position) + back) / size)
     )
-    return df.withColumn("_part", F.explode(reach)).withColumn("_home", F.col("_part") == home)
+    spread = df.withColumn("_part", F.explode(reach)).withColumn(
+        "_home", F.col("_part") == home
+    )
+    # One exchange serves every window that partitions by the key and the part.
+    return spread.repartition(*s.keys, "_part")
 
 
 def time_halo(df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: int = 0) -> DataFrame:
@@ -174,12 +180,14 @@ def time_halo(df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: in
     back, ahead = back_minutes * MINUTE, ahead_minutes * MINUTE
     size = max(s.block_us, back, ahead)
     base = df if "_us" in df.columns else df.withColumn("_us", micros(s.ts))
-    return _spread(base, "_us", back, ahead, size)
+    return _spread(base, s, "_us", back, ahead, size)
 
 
-def row_halo(df: DataFrame, back: int = 0, ahead: int = 0, rows: int = 4096) -> DataFrame:
+def row_halo(
+    df: DataFrame, s: Series, back: int = 0, ahead: int = 0, rows: int = 4096
+) -> DataFrame:
     """The same by row number; ``df`` must carry ``_ord`` from ``with_ordinal``."""
-    return _spread(df, "_ord", back, ahead, max(rows, back, ahead))
+    return _spread(df, s, "_ord", back, ahead, max(rows, back, ahead))
 
 
 def home_rows(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from importlib import import_module
 MODULES = [
     "series_queries",
     "audit_queries",
+    "stats_queries",
+    "feature_queries",
 ]
 
 
