@@ -146,9 +146,9 @@ def windows(obs):
     return G.who_windows(segmented(obs), HOURLY, GUIDES)
 
 
-@query("who_windows", sql(SEG + WHO, "SELECT * FROM who", "average coverage_percent ratio"))
+@query("who_windows", sql(SEG + WHO, "SELECT * FROM who", "average:8 coverage_percent ratio:8"))
 def _(spark, sf):
-    return rounded(windows(observations(spark, sf)))
+    return rounded(windows(observations(spark, sf)), average=8, ratio=8)
 
 
 @query("who_coverage", sql(SEG + WHO, """
@@ -176,9 +176,11 @@ overall AS (SELECT l.sensor_id, l.city, coalesce(s.status, 'Insufficient Data')
             FROM (SELECT DISTINCT sensor_id, city FROM latest) l LEFT JOIN supported s USING (sensor_id))"""
 
 
-@query("latest_status", sql(SEG + LATEST, "SELECT * FROM latest", "average coverage_percent ratio"))
+@query("latest_status", sql(SEG + LATEST, "SELECT * FROM latest", "average:8 coverage_percent ratio:8"))
 def _(spark, sf):
-    return rounded(G.latest_status(windows(observations(spark, sf)), HOURLY))
+    return rounded(
+        G.latest_status(windows(observations(spark, sf)), HOURLY), average=8, ratio=8
+    )
 
 
 @query("overall_status", sql(SEG + LATEST, "SELECT * FROM overall"))
@@ -238,9 +240,10 @@ TARGET_COLS = [f"{n}_{h}h" for h in (1, 3, 6) for n in (
 
 
 @query("forecast_targets", sql(SEG + TARGETS, f"SELECT sensor_id, ts, {', '.join(TARGET_COLS)} FROM targets",
-       " ".join(c for c in TARGET_COLS if c.startswith("target"))))
+       " ".join(f"{c}:8" for c in TARGET_COLS if c.startswith("target"))))
 def _(spark, sf):
-    return rounded(target_table(observations(spark, sf)).select("sensor_id", "ts", *TARGET_COLS))
+    out = target_table(observations(spark, sf)).select("sensor_id", "ts", *TARGET_COLS)
+    return rounded(out, **{c: 8 for c in TARGET_COLS})
 
 
 @query("future_gap_flag", sql(SEG + TARGETS, "SELECT sensor_id, ts, future_gap_1h, future_gap_3h, future_gap_6h FROM targets"))
@@ -275,7 +278,7 @@ TARGET_VALID = {f"target_pm25_{h}h": f"forecast_sample_valid_{h}h" for h in (1,
 
 def _pair_rows() -> str:
     return " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, '{t}' AS target, {f}::DOUBLE AS x, {t} AS y FROM targets WHERE {v} AND {f} IS NOT NULL"
+        f"SELECT '{f}' AS feature, '{t}' AS target, round({f}::DOUBLE, 9) AS x, round({t}, 9) AS y FROM targets WHERE {v} AND {f} IS NOT NULL"
         for f in NUMERIC for t, v in TARGET_VALID.items()
     )
 

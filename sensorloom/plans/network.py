@@ -31,11 +31,11 @@ def r6(col: str | Column) -> Column:
     return F.round(col, 6)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, for comparison."""
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Doubles to six places (or as named), for comparison."""
     return df.select(
         *[
-            F.round(c, 6).alias(c) if t == "double" else F.col(c)
+            F.round(c, places.get(c, 6)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -125,12 +125,13 @@ seg AS (
 def sql(prelude: str, body: str, doubles: str = "") -> str:
     """Prelude plus body; ``doubles`` names result columns to round to six places.
 
-    The body may start with a comma to add further common tables.
+    ``name:8`` rounds to eight instead.  The body may start with a comma to add further common tables.
     """
     text = f"WITH {prelude}\n{body}"
     if not doubles:
         return text
-    places = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
+    named = [c.partition(":") for c in doubles.split()]
+    places = ", ".join(f"round({c}, {n or 6}) AS {c}" for c, _, n in named)
     return f"SELECT * REPLACE ({places}) FROM (\n{text}\n)"
 
 

@@ -9,6 +9,7 @@ MODULES = [
     "audit_queries",
     "stats_queries",
     "feature_queries",
+    "model_queries",
 ]
 
 
