@@ -290,8 +290,8 @@ def fold_summary(df: DataFrame, keys: Sequence[str], baseline: str = "persistenc
     )
     gains = by_fold.join(base, [*keys, "fold"]).withColumns(
         {
-            "_gain_mae": (F.col("_mae") - F.col("mae")) / F.col("_mae") * 100,
-            "_gain_rmse": (F.col("_rmse") - F.col("rmse")) / F.col("_rmse") * 100,
+            "_gain_mae": F.try_divide(F.col("_mae") - F.col("mae"), F.col("_mae")) * 100,
+            "_gain_rmse": F.try_divide(F.col("_rmse") - F.col("rmse"), F.col("_rmse")) * 100,
         }
     )
     return gains.groupBy(*keys, "model").agg(

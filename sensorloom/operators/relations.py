@@ -346,7 +346,7 @@ def partial_autocorrelation(runs: DataFrame, s: Series, max_lag: int) -> DataFra
         dot = F.aggregate(
             F.zip_with(prior, earlier, lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b
         )
-        last = (F.element_at(r, k) - dot_rev) / (1 - dot)
+        last = F.try_divide(F.element_at(r, k) - dot_rev, 1 - dot)
         updated = F.zip_with(prior, F.reverse(prior), lambda p, q: p - last * q)
         return F.struct(
             F.concat(updated, F.array(last)).alias("phi"),

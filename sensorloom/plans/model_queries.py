@@ -212,10 +212,10 @@ def _(spark, sf):
 
 
 @query("underprediction_by_sensor", sql(SEG + PREDS + TAIL, f"""
-SELECT horizon, model, sensor_id, {UNDER} FROM tail WHERE subset = 'p95' GROUP BY ALL""", UNDER_COLS))
+SELECT horizon, model, sensor_id, {UNDER} FROM tail WHERE subset = 'p95' GROUP BY ALL""", " ".join(f"{c}:8" for c in UNDER_COLS.split())))
 def _(spark, sf):
     table = M.high_tail_metrics(archive(spark, sf), [*KEYS, "sensor_id"]).where("subset = 'p95'")
-    return rounded(table.drop("subset", "threshold"))
+    return rounded(table.drop("subset", "threshold"), **{c: 8 for c in UNDER_COLS.split()})
 
 
 @query("safest_methods", sql(SEG + PREDS + ALL_TAILS, f""",

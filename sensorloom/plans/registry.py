@@ -10,6 +10,8 @@ MODULES = [
     "stats_queries",
     "feature_queries",
     "model_queries",
+    "anomaly_queries",
+    "health_queries",
 ]
 
 
