@@ -459,3 +459,43 @@ def peer_residual(
     return out.where(F.col("peer_median").isNotNull()).withColumn(
         "residual", F.col(value) - F.col("peer_median")
     )
+
+
+def change_profile(
+    df: DataFrame, s: Series, channel: str, lags: Sequence[int], segment: str = "segment"
+) -> tuple[DataFrame, DataFrame]:
+    """Two tables per key and lag: change statistics, and the five largest moves each way."""
+    wanted = {f"_l{m}": (channel, -m) for m in lags}
+    wide = exact_shifts(df, s, wanted, segment)
+    cells = F.array(
+        *[
+            F.struct(F.lit(m).alias("lag_minutes"), F.col(channel).alias("x"), F.col(f"_l{m}").alias("y"))
+            for m in lags
+        ]
+    )
+    complete = F.filter(cells, lambda c: c["x"].isNotNull() & c["y"].isNotNull())
+    rows = wide.select(*s.keys, s.ts, F.explode(complete).alias("_c")).select(
+        *s.keys, s.ts, "_c.*", (F.col("_c.x") - F.col("_c.y")).alias("change")
+    ).withColumn("_abs", F.abs("change"))
+    keys = [*s.keys, "lag_minutes"]
+    basic = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.corr("x", "y").alias("autocorrelation"),
+        F.avg("_abs").alias("mean_absolute_change"),
+    )
+    middle = exact_quantiles(rows, keys, "_abs", {"median_absolute_change": 0.5})
+    return basic.join(middle, keys), _extreme_changes(rows, keys, s.ts)
+
+
+def _extreme_changes(rows: DataFrame, keys: Sequence[str], ts: str, n: int = 5) -> DataFrame:
+    def ranked(order: Column, direction: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, ts))
+        return (
+            rows.withColumn("rank", rank)
+            .where(F.col("rank") <= n)
+            .select(*keys, F.lit(direction).alias("direction"), "rank", ts, "change")
+        )
+
+    return ranked(F.col("change"), "negative").unionByName(
+        ranked(F.col("change").desc(), "positive")
+    )

@@ -130,7 +130,7 @@ MEASURES = {
 
 
 def _detector(name: str, kind: str) -> None:
-    @query(name, sql(PLONG + GAPS + DETECT, f"SELECT * FROM detector_issues WHERE type = '{kind}'", "measure:8 reference:8"))
+    @query(name, sql(PLONG + GAPS + DETECT, f"SELECT * FROM detector_issues WHERE type = '{kind}'", "measure:9 reference:9"))
     def _(spark, sf):
         history = H.run_history(hourly(spark, sf), HOURLY, RULES, CHANNELS)
         rows = H.detector_issues(history, HOURLY, RULES).where(F.col("type") == kind)
@@ -139,7 +139,7 @@ def _detector(name: str, kind: str) -> None:
             "sensor_id", "ts", "channel", "type",
             F.col("evidence")[measure].alias("measure"),
             F.col("evidence")[reference].alias("reference"),
-        ), measure=8, reference=8)
+        ), measure=9, reference=9)
 
 
 _detector("health_flatline", "flatline")

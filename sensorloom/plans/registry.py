@@ -12,6 +12,8 @@ MODULES = [
     "model_queries",
     "anomaly_queries",
     "health_queries",
+    "stream_queries",
+    "table_queries",
 ]
 
 
