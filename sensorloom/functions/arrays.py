@@ -29,7 +29,7 @@ def sorted_quantile(ordered: Column, p: float) -> Column:
 
 
 def median(values: Column) -> Column:
-    return let(F.array_sort(values), lambda a: sorted_quantile(a, 0.5))
+    return let(F.sort_array(values), lambda a: sorted_quantile(a, 0.5))
 
 
 def scaled_mad(values: Column, factor: float) -> Column:
@@ -42,7 +42,7 @@ def scaled_mad(values: Column, factor: float) -> Column:
 def quartiles(values: Column, body: Callable[[Column, Column], Column]) -> Column:
     """``body(q1, q3)`` of the array."""
     return let(
-        F.array_sort(values),
+        F.sort_array(values),
         lambda a: body(sorted_quantile(a, 0.25), sorted_quantile(a, 0.75)),
     )
 

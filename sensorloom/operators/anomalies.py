@@ -14,6 +14,7 @@ from sensorloom.operators.relations import complete_runs, longest_run, short_gap
 from sensorloom.operators.series import (
     MINUTE, Series, frame_window, home_rows, micros, row_halo, time_halo, with_ordinal,
 )
+from sensorloom.operators.serving import top_per_group
 from sensorloom.sources.staging import stage
 
 METHODS = ["zscore", "mad", "iqr", "rolling_zscore", "isolation_forest", "lof"]
@@ -26,7 +27,7 @@ def rolling_robust_z(long: DataFrame, s: Series, rows: int = 96, minimum: int =
     part receives twice that many rows of context.
     """
     by = s.by("channel")
-    spread = row_halo(with_ordinal(long, by), by, back=2 * (rows - 1))
+    spread = row_halo(with_ordinal(long, by), by, back=2 * (rows - 1), rows=1024, heavy=True)
     w = frame_window(by, order="_ord").rowsBetween(-(rows - 1), 0)
 
     def median(col: str) -> Column:
@@ -115,6 +116,7 @@ def anomaly_consensus(
     """Category of each candidate; later rules override earlier ones."""
     keys = [*s.keys, "channel"]
     key = s.keys[0]
+    candidates = stage(candidates)
     spans = candidates.withColumn("_us", micros(s.ts)).groupBy(*keys).agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last")
     )
@@ -367,11 +369,9 @@ def isolation_forest(
     complete = complete.join(sizes.where(F.col("_size") >= minimum).select(*keys), keys, "left_semi")
     pool = sample * 16
     order = F.xxhash64(F.col(s.ts).cast("string"), *channels)
-    picked = (
-        complete.withColumn("_o", order)
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", s.ts)))
-        .where(F.col("_rn") <= pool)
-    )
+    picked = top_per_group(
+        complete.withColumn("_o", order), keys, pool, F.col("_o"), F.col(s.ts)
+    ).withColumnRenamed("rank", "_rn")
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.quantiles import exact_quantiles, finite
 from sensorloom.operators.series import MINUTE, Series, islands, to_long, with_previous
+from sensorloom.sources.staging import stage
 
 SECOND = 1_000_000
 
@@ -97,7 +98,10 @@ def gap_severity(missing: Column, seconds: Column, expected: Column) -> Column:
 
 def gap_events(df: DataFrame, s: Series) -> DataFrame:
     """Intervals longer than 1.5 times the expected cadence of their key."""
-    steps = intervals(df, s)
+    return _gaps(stage(intervals(df, s)), s)
+
+
+def _gaps(steps: DataFrame, s: Series) -> DataFrame:
     found = steps.join(_expected(steps, s), list(s.keys)).where(
         F.col("seconds") > F.col("expected_seconds") * 1.5
     )
@@ -118,11 +122,11 @@ def gap_events(df: DataFrame, s: Series) -> DataFrame:
 
 def sampling_profile(df: DataFrame, s: Series) -> DataFrame:
     """Interval statistics, expected cadence and gap counts per key."""
-    steps = intervals(df, s)
+    steps = stage(intervals(df, s))
     span = steps.groupBy(*s.keys).agg(
         F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds")
     )
-    gaps = gap_events(df, s).groupBy(*s.keys).agg(
+    gaps = _gaps(steps, s).groupBy(*s.keys).agg(
         F.count(F.lit(1)).alias("gap_count"),
         F.sum("missing_readings").alias("missing_readings"),
         F.count_if(F.col("severity").isin("MAJOR", "CRITICAL")).alias("major_gap_count"),

@@ -59,11 +59,13 @@ def plausibility_flags(long: DataFrame, s: Series) -> DataFrame:
 def jump_events(long: DataFrame, s: Series, minimum: int = 12) -> DataFrame:
     """Row-to-row changes beyond both the MAD and the IQR fence of their series."""
     by = s.by("channel")
-    steps = with_previous(long, by, ["value"]).select(
-        *long.columns,
-        F.col("_prev")["value"].alias("previous_value"),
-        F.abs(F.col("value") - F.col("_prev")["value"]).alias("absolute_change"),
-        ((F.col("_us") - F.col("_prev")["_us"]) / (60 * MINUTE)).alias("_hours"),
+    steps = stage(
+        with_previous(long, by, ["value"]).select(
+            *long.columns,
+            F.col("_prev")["value"].alias("previous_value"),
+            F.abs(F.col("value") - F.col("_prev")["value"]).alias("absolute_change"),
+            ((F.col("_us") - F.col("_prev")["_us"]) / (60 * MINUTE)).alias("_hours"),
+        )
     )
     keys = list(by.keys)
     scale = robust_scale(steps, keys, "absolute_change", MAD_NORMAL)
@@ -157,7 +159,7 @@ def drift_runs(
     by = s.by("channel")
     keys = list(by.keys)
     present = long.where(F.col("value").isNotNull())
-    spread = time_halo(present, by, baseline_minutes)
+    spread = time_halo(present, by, baseline_minutes, heavy=True)
     w = frame_window(by)
     short, base = left_open(w, short_minutes), left_open(w, baseline_minutes)
 
@@ -190,7 +192,11 @@ def drift_runs(
     flagged = delta.join(limits, keys).withColumn(
         "_out", F.coalesce(F.abs("delta") > F.col("_limit"), F.lit(False))
     )
-    runs = islands(flagged, by, ["_out"], lambda p, c: p["_out"] != c["_out"], "run").where("_out")
+    runs = stage(
+        islands(flagged, by, ["_out"], lambda p, c: p["_out"] != c["_out"], "run")
+        .where("_out")
+        .select(*keys, "run", s.ts, "delta")
+    )
     table = _run_table(runs, keys, s).where(F.col("readings") >= run_minimum)
     magnitude = exact_quantiles(runs, [*keys, "run"], "delta", {"magnitude": 0.5})
     return table.join(magnitude, [*keys, "run"]).drop("run")

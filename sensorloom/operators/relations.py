@@ -13,6 +13,7 @@ from sensorloom.operators.series import (
     MINUTE, Series, exact_shifts, frame_window, from_micros, home_rows, islands, micros,
     shift_exact, time_halo, with_previous,
 )
+from sensorloom.operators.serving import top_per_group
 
 
 def channel_pairs(
@@ -489,11 +490,8 @@ def change_profile(
 
 def _extreme_changes(rows: DataFrame, keys: Sequence[str], ts: str, n: int = 5) -> DataFrame:
     def ranked(order: Column, direction: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, ts))
-        return (
-            rows.withColumn("rank", rank)
-            .where(F.col("rank") <= n)
-            .select(*keys, F.lit(direction).alias("direction"), "rank", ts, "change")
+        return top_per_group(rows, keys, n, order, F.col(ts)).select(
+            *keys, F.lit(direction).alias("direction"), "rank", ts, "change"
         )
 
     return ranked(F.col("change"), "negative").unionByName(

@@ -158,7 +158,7 @@ def with_ordinal(df: DataFrame, s: Series, out: str = "_ord") -> DataFrame:
 
 
 def _spread(
-    df: DataFrame, s: Series, position: str, back: int, ahead: int, size: int
+    df: DataFrame, s: Series, position: str, back: int, ahead: int, size: int, heavy: bool
 ) -> DataFrame:
     home = F.floor(F.col(position) / size)
     reach = F.sequence(
@@ -168,10 +168,17 @@ def _spread(
         "_home", F.col("_part") == home
     )
     # One exchange serves every window that partitions by the key and the part.
+    # Heavy frames cost far more than their bytes suggest, so their partitions
+    # are given by number and not merged by size.
+    if heavy:
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return spread.repartition(count, *s.keys, "_part")
     return spread.repartition(*s.keys, "_part")
 
 
-def time_halo(df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: int = 0) -> DataFrame:
+def time_halo(
+    df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: int = 0, heavy: bool = False
+) -> DataFrame:
     """Copy rows into every block whose rows can see them through the frame.
 
     Windows over the result partition by ``(*keys, "_part", ...)``; keep the rows
@@ -180,14 +187,14 @@ def time_halo(df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: in
     back, ahead = back_minutes * MINUTE, ahead_minutes * MINUTE
     size = max(s.block_us, back, ahead)
     base = df if "_us" in df.columns else df.withColumn("_us", micros(s.ts))
-    return _spread(base, s, "_us", back, ahead, size)
+    return _spread(base, s, "_us", back, ahead, size, heavy)
 
 
 def row_halo(
-    df: DataFrame, s: Series, back: int = 0, ahead: int = 0, rows: int = 4096
+    df: DataFrame, s: Series, back: int = 0, ahead: int = 0, rows: int = 4096, heavy: bool = False
 ) -> DataFrame:
     """The same by row number; ``df`` must carry ``_ord`` from ``with_ordinal``."""
-    return _spread(df, s, "_ord", back, ahead, max(rows, back, ahead))
+    return _spread(df, s, "_ord", back, ahead, max(rows, back, ahead), heavy)
 
 
 def home_rows(df: DataFrame) -> DataFrame:

@@ -35,10 +35,25 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def top_per_group(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
-    """First n rows per group; Spark prunes each task to n before the shuffle."""
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], n: int, *order: Column, salts: int = 64
+) -> DataFrame:
+    """First n rows per group.
+
+    Each group is first cut to n rows per salt, so that a group with a large
+    share of the rows is sorted by many tasks; the final sort sees at most
+    ``salts * n`` rows of a group.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(part))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= n)
+    return (
+        cut.where(F.col("_rn") <= n)
+        .drop("_salt", "_rn")
+        .withColumn("rank", rank)
+        .where(F.col("rank") <= n)
+    )
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> tuple[int, DataFrame]:
@@ -85,8 +100,7 @@ def tail_context(
     history: DataFrame, rows: DataFrame, keys: Sequence[str], ts: str, k: int
 ) -> DataFrame:
     """Last k history rows per key in front of the rows, later source wins on a clash."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).desc()))
-    tail = history.withColumn("_rn", rank).where(F.col("_rn") <= k).drop("_rn")
+    tail = top_per_group(history, keys, k, F.col(ts).desc()).drop("rank")
     both = tail.withColumn("_p", F.lit(0)).unionByName(rows.withColumn("_p", F.lit(1)))
     rest = [c for c in rows.columns if c not in (*keys, ts)]
     best = both.groupBy(*keys, ts).agg(
