@@ -205,16 +205,16 @@ def stacking(
     train, valid = rows.where(F.col(split) == "meta_train"), rows.where(
         F.col(split) == "meta_validation"
     )
-    n = train.count()
+    n, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("_label")).first()
     if n < 100:
         raise ValueError(f"stacking needs 100 aligned meta-train rows, found {n}")
     common = {"featuresCol": "features", "labelCol": "_label"}
     candidates = {
         "linear": LinearRegression(**common),
-        "ridge_0.1": ridge(0.1, n),
-        "ridge_1": ridge(1.0, n),
-        "ridge_10": ridge(10.0, n),
-        "elastic_net": elastic_net(0.01, 0.5),
+        "ridge_0.1": ridge(0.1, n, spread),
+        "ridge_1": ridge(1.0, n, spread),
+        "ridge_10": ridge(10.0, n, spread),
+        "elastic_net": elastic_net(0.01, 0.5, spread),
         "forest": RandomForestRegressor(numTrees=50, maxDepth=5, seed=42, **common),
         "boosted": GBTRegressor(maxIter=30, maxDepth=3, seed=42, **common),
     }

@@ -23,10 +23,15 @@ def finite_pairs(df: DataFrame) -> DataFrame:
 
 
 def r_squared() -> Column:
-    """1 - SSE / SST with the centred total; null below two rows or without variation."""
+    """1 - SSE / SST with the centred total; null below two rows.
+
+    Actual values without variation score 1 when they are met exactly, else 0.
+    """
     error = F.col("actual") - F.col("predicted")
+    missed = F.sum(error * error)
     total = F.var_pop("actual") * F.count(F.lit(1))
-    return F.when((F.count(F.lit(1)) >= 2) & (total > 0), 1 - F.sum(error * error) / total)
+    score = F.when(total > 0, 1 - missed / total).otherwise((missed == 0).cast("double"))
+    return F.when(F.count(F.lit(1)) >= 2, score)
 
 
 def _with_median(df: DataFrame, basic: DataFrame, keys: Sequence[str]) -> DataFrame:

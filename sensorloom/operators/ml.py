@@ -148,19 +148,26 @@ def boosted(rounds: int = 320, depth: int = 5, step: float = 0.04) -> Callable[[
     )
 
 
-def ridge(alpha: float, rows: int) -> LinearRegression:
-    """Penalty ``alpha`` on the sum of squares: Spark averages the loss over the rows."""
+def penalised(l1: float, l2: float, label_std: float) -> LinearRegression:
+    """Least squares with ``sum(e^2) / 2n + l1 |b| + l2 b^2 / 2``.
+
+    Spark divides the label by its population deviation before it applies the
+    penalties, which leaves the first one as it is and weakens the second.
+    """
+    total = l1 + l2 * label_std
     return LinearRegression(
-        regParam=alpha / max(rows, 1), elasticNetParam=0.0, standardization=False,
-        featuresCol="features", labelCol="_label",
+        regParam=total, elasticNetParam=l1 / total if total else 0.0, standardization=False,
+        solver="normal" if l1 == 0 else "auto", featuresCol="features", labelCol="_label",
     )
 
 
-def elastic_net(alpha: float = 0.01, share: float = 0.5) -> LinearRegression:
-    return LinearRegression(
-        regParam=alpha, elasticNetParam=share, standardization=False, featuresCol="features",
-        labelCol="_label",
-    )
+def ridge(alpha: float, rows: int, label_std: float) -> LinearRegression:
+    """Penalty ``alpha b^2`` beside the plain sum of squares."""
+    return penalised(0.0, alpha / max(rows, 1), label_std)
+
+
+def elastic_net(alpha: float, share: float, label_std: float) -> LinearRegression:
+    return penalised(alpha * share, alpha * (1 - share), label_std)
 
 
 def fit_predict(

@@ -112,7 +112,8 @@ def _(spark, sf):
 
 
 REG = """count(*) AS n, avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) ** 2)) AS rmse,
-  1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) AS r2"""
+  CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(actual) > 0 THEN 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*))
+       ELSE (sum((actual - predicted) ** 2) = 0)::INT::DOUBLE END AS r2"""
 REG2 = """avg(abs((actual - predicted) / actual)) FILTER (abs(actual) >= 1) * 100 AS mape,
   quantile_cont(abs(actual - predicted), 0.5) AS median_absolute_error"""
 BIAS = """avg(predicted - actual) AS bias, count(*) FILTER (predicted < actual) AS underprediction_count,

@@ -87,7 +87,7 @@ def test_seasonal_regression_is_least_squares(spark):
     assert np.allclose([r.predicted for r in got], want, atol=1e-5)
 
 
-def test_ridge_penalty_matches_the_closed_form(spark):
+def test_penalties_match_the_optimality_conditions(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(80, 2))
     y = x @ np.array([1.0, -0.5]) + 2 + rng.normal(size=80) * 0.1
@@ -97,10 +97,13 @@ def test_ridge_penalty_matches_the_closed_form(spark):
         [(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, _label double"
     )
     rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
-    model = ml.ridge(10.0, 80).fit(rows)
+    model = ml.ridge(10.0, 80, y.std()).fit(rows)
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + 10.0 * np.eye(2), xc.T @ yc)
-    assert np.allclose(model.coefficients.toArray(), want, atol=1e-4)
+    assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
+    b = ml.elastic_net(0.2, 0.5, y.std()).fit(rows).coefficients.toArray()
+    slope = xc.T @ (xc @ b - yc) / 80 + 0.1 * b
+    assert np.allclose(slope, -0.1 * np.sign(b), atol=1e-5)
 
 
 def test_one_to_one_join_rejects_repeated_keys(spark):
