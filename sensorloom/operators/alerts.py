@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.text import alert_id, dedup_key
 from sensorloom.operators.series import (
-    MINUTE, Series, islands, micros, time_halo,
+    MINUTE, Series, islands, time_halo,
 )
+from sensorloom.sources.staging import stage
 
 COOLDOWN_MINUTES = 60
 
@@ -317,7 +318,8 @@ def alert_lifecycle(
     ``created_at`` and the id are those of the episode, so a key that comes back
     after it was resolved gets a new id.
     """
-    marked = _mark(s, key_evaluations(conditions, supplied), cooldown)
+    # Read by the block maps, the folds and the final join.
+    marked = stage(_mark(s, key_evaluations(conditions, supplied), cooldown))
     notify = notifications(marked, s, cooldown)
     born = marked.where(F.col("transition") == "new").select(
         "dedup_key", "episode", F.col("ts").alias("created_at")

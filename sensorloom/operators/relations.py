@@ -14,6 +14,7 @@ from sensorloom.operators.series import (
     shift_exact, time_halo, with_previous,
 )
 from sensorloom.operators.serving import top_per_group
+from sensorloom.sources.staging import stage
 
 
 def channel_pairs(
@@ -36,6 +37,45 @@ def channel_pairs(
     return df.select(*ids, F.explode(complete).alias("_p")).select(*ids, "_p.*")
 
 
+def indexed_pairs(
+    df: DataFrame,
+    ids: Sequence[str],
+    left: Sequence[str | Column],
+    right: Sequence[str | Column],
+    picks: Sequence[tuple[dict, int, int]],
+) -> DataFrame:
+    """Complete pairs ``x = left[i]``, ``y = right[j]`` for many labelled picks.
+
+    The picks are one constant array, so that hundreds of pairs do not become
+    hundreds of expressions.
+    """
+
+    def values(columns: Sequence[str | Column]) -> Column:
+        cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+        return F.array(*[c.cast("double") for c in cols])
+
+    table = F.array(
+        *[
+            F.struct(
+                *[F.lit(v).alias(k) for k, v in labels.items()],
+                F.lit(i).alias("_i"),
+                F.lit(j).alias("_j"),
+            )
+            for labels, i, j in picks
+        ]
+    )
+    names = list(picks[0][0])
+    rows = df.select(*ids, values(left).alias("_x"), values(right).alias("_y")).select(
+        *ids, "_x", "_y", F.explode(table).alias("_p")
+    )
+    return rows.select(
+        *ids,
+        *[F.col(f"_p.{n}").alias(n) for n in names],
+        F.get("_x", F.col("_p._i")).alias("x"),
+        F.get("_y", F.col("_p._j")).alias("y"),
+    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def _varied(x: str, y: str) -> Column:
     return (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
 
@@ -186,21 +226,17 @@ def cross_correlation(
     """Correlation of ``source(t)`` with ``target(t + lag)`` for ordered channel pairs."""
     wanted = {f"_{c}_{i}": (c, m) for c in channels for i, m in enumerate(lags)}
     wide = exact_shifts(df.withColumn("_seg", F.lit(0)), s, wanted, "_seg")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("source"),
-                F.lit(b).alias("target"),
-                F.lit(m).alias("lag_minutes"),
-                F.col(a).alias("x"),
-                F.col(f"_{b}_{i}").alias("y"),
-            )
-            for a, b in permutations(channels, 2)
-            for i, m in enumerate(lags)
-        ]
-    )
-    complete = F.filter(cells, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    pairs = wide.select(*s.keys, F.explode(complete).alias("_p")).select(*s.keys, "_p.*")
+    shifted = [(c, i) for c in channels for i in range(len(lags))]
+    picks = [
+        (
+            {"source": a, "target": b, "lag_minutes": lags[i]},
+            list(channels).index(a),
+            shifted.index((b, i)),
+        )
+        for a, b in permutations(channels, 2)
+        for i in range(len(lags))
+    ]
+    pairs = indexed_pairs(wide, s.keys, channels, [f"_{c}_{i}" for c, i in shifted], picks)
     return pearson(pairs, [*s.keys, "source", "target", "lag_minutes"], minimum).withColumnRenamed(
         "pearson", "correlation"
     )
@@ -295,7 +331,7 @@ def complete_runs(filled: DataFrame, s: Series) -> DataFrame:
 def longest_run(filled: DataFrame, s: Series) -> DataFrame:
     """Rows of the longest complete run (earliest on ties) per key and channel."""
     by = [*s.keys, "channel"]
-    runs = complete_runs(filled, s)
+    runs = stage(complete_runs(filled, s))
     sizes = runs.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("run_length"))
     best = sizes.groupBy(*by).agg(
         F.max_by("run", F.struct(F.col("run_length"), -F.col("run"))).alias("run"),

@@ -35,16 +35,36 @@ class Series:
     ties: tuple[str, ...] = ()
     cadence_minutes: int = 15
     gap_minutes: int = 90
-    block_hours: int = 24 * 7
+    block_hours: float = 24 * 7
 
     @property
     def block_us(self) -> int:
-        return self.block_hours * 60 * MINUTE
+        return max(int(self.block_hours * 60), 1) * MINUTE
 
     def by(self, *extra: str) -> Series:
         return replace(self, keys=(*self.keys, *extra))
 
 
+def fit_blocks(df: DataFrame, s: Series, rows: int = 2_000_000) -> Series:
+    """Shorten the blocks until the densest one holds about ``rows`` rows.
+
+    One map-side-combined count per key and minute; only its maximum reaches the
+    driver.
+    """
+    minute = F.floor(micros(s.ts) / MINUTE).alias("_minute")
+    counts = df.groupBy(*s.keys, minute).agg(F.count(F.lit(1)).alias("_c"))
+    hourly = counts.groupBy(*s.keys, F.floor(F.col("_minute") / 60)).agg(
+        F.sum("_c").alias("_h"), F.max("_c").alias("_m")
+    )
+    per_hour, per_minute = hourly.agg(F.max("_h"), F.max("_m")).first()
+    if not per_hour:
+        return s
+    hours = rows / per_hour
+    if hours < 1:
+        hours = max(rows / (per_minute * 60), 1 / 60)
+    return replace(s, block_hours=min(s.block_hours, hours))
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since the epoch; zone-less timestamps are read as UTC."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))

@@ -202,11 +202,13 @@ SELECT sensor_id, ts, value AS raw, CASE WHEN c >= 2 THEN m END AS mean, CASE WH
 FROM w WHERE o % greatest(1, n // 1200) = 0 AND o // greatest(1, n // 1200) < 1200""", "raw mean:8 median min max"))
 def _(spark, sf):
     stats = ["mean", "median", "min", "max", "count"]
+    rows = readings(spark, sf)
+    blocks = S.fit_blocks(rows, RAW)
     rolled = S.backward_rolling(
-        readings(spark, sf), RAW, {s: ("value", 360, s) for s in stats}, segment=None
+        rows, blocks, {s: ("value", 360, s) for s in stats}, segment=None
     ).drop("_us")
     enough = F.col("count") >= 2
-    view = S.stride_sample(rolled, RAW, 1200).select(
+    view = S.stride_sample(rolled, blocks, 1200).select(
         "sensor_id", "ts", F.col("value").alias("raw"),
         *[F.when(enough, F.col(s)).alias(s) for s in stats[:-1]],
     )

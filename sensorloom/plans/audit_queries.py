@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import audit as A
 from sensorloom.operators import quality as Q
-from sensorloom.operators.series import to_long
+from sensorloom.operators.series import fit_blocks, to_long
 from sensorloom.plans.network import (
     CHANNELS, HOURLY, LONG, OBS, RAW, READINGS, USERS, hourly, observations, query_table, readings,
     rounded, sql, user_readings,
@@ -105,7 +105,8 @@ steps AS (SELECT sensor_id, lag(ts) OVER (PARTITION BY sensor_id ORDER BY ts) AS
 SELECT sensor_id, date_diff('microsecond', pts, ts) // 60000000 AS minutes, count(*) AS readings
 FROM steps WHERE pts IS NOT NULL GROUP BY ALL"""))
 def _(spark, sf):
-    steps = A.intervals(readings(spark, sf), RAW)
+    rows = readings(spark, sf)
+    steps = A.intervals(rows, fit_blocks(rows, RAW))
     minutes = ((F.col("to_us") - F.col("from_us")) / 60_000_000).cast("long").alias("minutes")
     return steps.groupBy("sensor_id", minutes).agg(F.count(F.lit(1)).alias("readings"))
 

@@ -37,7 +37,8 @@ SELECT sensor_id, CAST(segment AS BIGINT) AS segment, min(ts) AS start_time, max
        count(*) AS readings
 FROM seg GROUP BY ALL"""))
 def _(spark, sf):
-    return S.segment_series(readings(spark, sf), RAW).groupBy("sensor_id", "segment").agg(
+    rows = readings(spark, sf)
+    return S.segment_series(rows, S.fit_blocks(rows, RAW)).groupBy("sensor_id", "segment").agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
         F.count(F.lit(1)).alias("readings"),
     )
