@@ -54,16 +54,17 @@ def indexed_pairs(
         cols = [F.col(c) if isinstance(c, str) else c for c in columns]
         return F.array(*[c.cast("double") for c in cols])
 
-    table = F.array(
-        *[
-            F.struct(
-                *[F.lit(v).alias(k) for k, v in labels.items()],
-                F.lit(i).alias("_i"),
-                F.lit(j).alias("_j"),
-            )
-            for labels, i, j in picks
-        ]
+    def literal(value: str | int) -> str:
+        return str(value) if isinstance(value, int) else "'" + value.replace("'", r"\'") + "'"
+
+    # One parsed expression: hundreds of structs are slow to build call by call.
+    structs = (
+        "named_struct("
+        + ", ".join(f"'{k}', {literal(v)}" for k, v in [*labels.items(), ("_i", i), ("_j", j)])
+        + ")"
+        for labels, i, j in picks
     )
+    table = F.expr(f"array({', '.join(structs)})")
     names = list(picks[0][0])
     rows = df.select(*ids, values(left).alias("_x"), values(right).alias("_y")).select(
         *ids, "_x", "_y", F.explode(table).alias("_p")
