@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.sources.staging import stage
+
 BINS_PER_OCTAVE = 256
 # Larger than 1075 * BINS_PER_OCTAVE, so that the sign decides the bin's sign.
 BIN_OFFSET = 300_000
@@ -73,8 +75,10 @@ def exact_quantiles(
     hit = F.exists(
         F.array(*wanted_ranks), lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))
     )
-    targets = ranges.where(hit).drop("_hi")
-    # At most two bins per group and probability, so AQE can broadcast this side.
+    # At most two bins per group and probability.  Staged, its size is known when
+    # the join is planned: below the broadcast threshold the values are filtered
+    # where they are read, above it they are shuffled.
+    targets = stage(ranges.where(hit).drop("_hi"))
     members = binned.join(targets, [*keys, "_bin"])
     values = members.groupBy(*keys, "_bin", "_lo", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
@@ -100,7 +104,8 @@ def exact_quantiles(
             for i, name in enumerate(names)
         ],
     )
-    return out
+    # One row per group, staged for the same reason: callers join it to the rows.
+    return stage(out)
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.quantiles import exact_quantiles
+from sensorloom.functions.rows import single_row
 from sensorloom.operators.series import Series, micros, with_ordinal
 
 
@@ -99,13 +100,11 @@ def median_impute(
     cells = train.unpivot([], list(columns), "column", "value")
     medians = exact_quantiles(cells, ["column"], "value", {"median": 0.5})
     wide = medians.groupBy().pivot("column", list(columns)).agg(F.max("median"))
-    # One row of medians, one column per feature.
-    renamed = F.broadcast(wide.select(*[F.col(c).alias(f"_m_{c}") for c in columns]))
-    filled = rows.crossJoin(renamed)
+    filled = rows.withColumn("_m", single_row(wide))
     extra = [F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns] if indicators else []
     keep = [c for c in rows.columns if c not in columns]
     return filled.select(
-        *keep, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in columns], *extra
+        *keep, *[F.coalesce(F.col(c), F.col("_m")[c]).alias(c) for c in columns], *extra
     )
 
 
@@ -114,16 +113,16 @@ def standard_scale(
 ) -> DataFrame:
     """Centre and scale by the training mean and population deviation."""
     stats = train.agg(
-        *[F.avg(c).alias(f"_a_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns],
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+        *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
     )
     keep = [c for c in rows.columns if c not in columns]
 
     def scaled(c: str) -> Column:
-        spread = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
-        return ((F.col(c) - F.col(f"_a_{c}")) / spread).alias(c)
+        mean, std = F.col("_s")[f"mean_{c}"], F.col("_s")[f"std_{c}"]
+        return ((F.col(c) - mean) / F.when(std > 0, std).otherwise(1.0)).alias(c)
 
-    return rows.crossJoin(F.broadcast(stats)).select(*keep, *[scaled(c) for c in columns])
+    return rows.withColumn("_s", single_row(stats)).select(*keep, *[scaled(c) for c in columns])
 
 
 @dataclass(frozen=True)
@@ -272,8 +271,10 @@ def seasonal_regression(
     size = 2 + 2 * order
 
     def design(df: DataFrame) -> DataFrame:
-        with_o = df.crossJoin(F.broadcast(origin))
-        return with_o.withColumn("_x", F.array(*fourier_terms(micros(s.ts) - F.col("_o"), order)))
+        since = micros(s.ts) - F.col("_o")["_o"]
+        return df.withColumn("_o", single_row(origin)).withColumn(
+            "_x", F.array(*fourier_terms(since, order))
+        )
 
     used = design(train.where(F.col(value).isNotNull()))
     x = [F.element_at("_x", i + 1) for i in range(size)]
@@ -399,11 +400,9 @@ def cluster_profiles(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    from pyspark.sql import Window
-
     scored = (
         stats.join(F.broadcast(overall), "channel")
-        .crossJoin(F.broadcast(total))
+        .withColumn("_n", single_row(total)["_n"])
         .withColumn(
             "standardized",
             (F.col("mean") - F.col("_m"))

@@ -101,7 +101,7 @@ def trait_text() -> Column:
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, least_bins: int = 10) -> DataFrame:
-    """Equal-width histogram; ``min(40, max(least_bins, int(sqrt n)))`` bins, last one closed."""
+    """Equal-width histogram per group; ``min(40, max(least_bins, int(sqrt n)))`` bins, last one closed."""
     keys = list(keys)
     good = df.select(*keys, finite(F.col(value)).alias("_v")).where("_v IS NOT NULL")
     span = good.groupBy(*keys).agg(
@@ -118,7 +118,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, least_bins: int =
         ).alias("bins"),
     )
     width = (F.col("_hi") - F.col("_lo")) / F.col("bins")
-    placed = good.join(span, keys) if keys else good.crossJoin(F.broadcast(span))
+    placed = good.join(span, keys)
     index = F.least(
         F.floor((F.col("_v") - F.col("_lo")) * F.col("bins") / (F.col("_hi") - F.col("_lo"))),
         F.col("bins") - 1,

@@ -239,3 +239,14 @@ def _(spark, sf):
         F.transform("window", lambda x: F.format_string("%.4f", F.floor(x["pm25"] * 100) / 100)), " "
     )
     return rows.select("sensor_id", "ts", text.alias("pm25_window"))
+
+
+@query("anomaly_count_lookup", sql(PLONG + UNIVARIATE, """
+SELECT o.sensor_id, o.ts, coalesce(n, 0) AS anomaly_count FROM obs o
+LEFT JOIN (SELECT sensor_id, ts, count(*) AS n FROM cand WHERE methods_triggered >= 2 GROUP BY ALL) a ON a.sensor_id = o.sensor_id AND a.ts = o.ts"""))
+def _(spark, sf):
+    from sensorloom.operators.features import anomaly_count_lookup
+
+    obs = hourly(spark, sf)
+    rows = anomaly_count_lookup(obs, candidates(obs), HOURLY)
+    return rows.select("sensor_id", "ts", "anomaly_count")

@@ -419,3 +419,11 @@ def _(spark, sf):
     return cleaned(hourly(spark, sf)).groupBy("sensor_id", "overall_quality_flag").agg(
         F.count(F.lit(1)).alias("readings")
     )
+
+
+@query("gap_severity", sql(OBS + GAPS, """
+SELECT sensor_id, severity, count(*) AS gaps, sum(missing_readings)::BIGINT AS missing_readings FROM gaps GROUP BY ALL"""))
+def _(spark, sf):
+    return gaps(hourly(spark, sf)).groupBy("sensor_id", "severity").agg(
+        F.count(F.lit(1)).alias("gaps"), F.sum("missing_readings").alias("missing_readings")
+    )

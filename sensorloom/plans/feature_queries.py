@@ -340,3 +340,10 @@ def _(spark, sf):
     left = features(obs).select(*keys, "pm25_lag_1h", "pm25_mean_3h")
     right = target_table(obs).select(*keys, "target_pm25_1h")
     return rounded(one_to_one_join(left, right, keys))
+
+
+@query("column_gate", sql(SEG + FEATS, "SELECT " + ", ".join(f"count({n}) AS {n}" for n in NUMERIC) + " FROM feats"))
+def _(spark, sf):
+    rows = features(observations(spark, sf))
+    E.column_gate(rows.columns, NUMERIC, ["target_", "pollution_event_", "forecast_sample_valid_"])
+    return rows.agg(*[F.count(n).alias(n) for n in NUMERIC])

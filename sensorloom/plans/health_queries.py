@@ -335,3 +335,15 @@ SELECT dimension, value, count(*) AS alerts, sum(suppressed)::BIGINT AS suppress
 FROM (SELECT *, unnest(['severity', 'type', 'sensor_id', 'status']) AS dimension, unnest([severity, type, sensor_id, status]) AS value FROM al) GROUP BY ALL""")
 def _(spark, sf):
     return A.alert_summary(A.alert_table(lifecycle(spark, sf)))
+
+
+@query("health_arrival_gap", sql(OBS + GAPS, """
+SELECT sensor_id, ts, type, severity, gap_minutes, missed_intervals FROM gap_issues JOIN obs USING (sensor_id, ts)"""))
+def _(spark, sf):
+    obs = hourly(spark, sf)
+    rows = H.health_gaps(obs, HOURLY, RULES).join(obs.select("sensor_id", "ts"), ["sensor_id", "ts"], "left_semi")
+    return rows.select(
+        "sensor_id", "ts", "type", "severity",
+        F.col("evidence")["gap_minutes"].alias("gap_minutes"),
+        F.col("evidence")["missed_intervals"].alias("missed_intervals"),
+    )

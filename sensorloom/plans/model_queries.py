@@ -590,7 +590,7 @@ def _(spark, sf):
     return observation_stream(predictions(observations(spark, sf)))
 
 
-@query("accuracy_summary", sql(SEG + PREDS, f"""
+@query("latency_accuracy_summary", sql(SEG + PREDS, f"""
 SELECT model, horizon, {REG}, {REG2} FROM preds GROUP BY ALL""", "mae rmse r2 mape median_absolute_error"))
 def _(spark, sf):
     return rounded(M.regression_metrics(archive(spark, sf), ["model", "horizon"]))
@@ -644,3 +644,12 @@ def _(spark, sf):
         F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"),
     )
     return table.join(summary, "meta_model", "left")
+
+
+@query("error_overlap", sql(SEG + WIDE, """,
+e AS (SELECT horizon, abs(residual_persistence) AS a, abs(residual_mean3) AS b FROM wide WHERE prediction_persistence IS NOT NULL AND prediction_mean3 IS NOT NULL),
+q AS (SELECT horizon, quantile_cont(a, 0.75) AS qa, quantile_cont(b, 0.75) AS qb FROM e GROUP BY ALL)
+SELECT horizon, count(*) AS overlap, count(*) FILTER (a >= qa AND b >= qb) AS both_large_error_count FROM e JOIN q USING (horizon) GROUP BY ALL"""))
+def _(spark, sf):
+    table = M.model_diversity(wide(spark, sf), ["persistence", "mean3"])
+    return table.select("horizon", "overlap", "both_large_error_count")

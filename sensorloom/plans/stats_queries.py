@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorloom.functions.quantiles import exact_quantiles, robust_scale
+from sensorloom.functions.rows import single_row
 from sensorloom.operators import relations as R
 from sensorloom.operators import stats as T
-from sensorloom.operators.audit import provided_channels
-from sensorloom.operators.series import to_long
+from sensorloom.operators.quality import MAD_ROUNDED
 from sensorloom.plans.audit_queries import PLONG, long, provided
 from sensorloom.plans.network import (
     CHANNELS, CORE, HOURLY, LONG, OBS, READINGS, hourly, query_table, readings, rounded, sql,
@@ -308,15 +309,13 @@ SELECT count(aqi) AS count, min(aqi) AS min, max(aqi) AS max, avg(aqi) AS mean,
        quantile_cont(aqi, 0.5) AS median, count(*) FILTER (aqi > 500) AS above_500 FROM obs""", "mean std median min max"))
 def _(spark, sf):
     obs = hourly(spark, sf)
-    from sensorloom.functions.quantiles import exact_quantiles
-
     basic = obs.agg(
         F.count("aqi").alias("count"), F.min("aqi").alias("min"), F.max("aqi").alias("max"),
         F.avg("aqi").alias("mean"), F.stddev_samp("aqi").alias("std"),
         F.count_if(F.col("aqi") > 500).alias("above_500"),
     )
     median = exact_quantiles(obs, [], "aqi", {"median": 0.5})
-    return rounded(basic.join(median))
+    return rounded(basic.withColumn("median", single_row(median)["median"]))
 
 
 @query("mutual_information", sql(OBS + pair_sql([SCOPES[0], SCOPES[2]], [
@@ -480,3 +479,26 @@ def _(spark, sf):
     return rounded(pairs.groupBy("sensor_id", "channel_a", "channel_b").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("x") - F.col("y")).alias("total")
     ))
+
+
+@query("robust_scale", sql(LONG, """,
+c AS (SELECT sensor_id, channel, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+      FROM long GROUP BY ALL HAVING count(value) > 0)
+SELECT sensor_id, channel, any_value(median) AS median, 1.4826 * quantile_cont(abs(value - median), 0.5) AS mad, any_value(q1) AS q1,
+       any_value(q3) AS q3, any_value(q3 - q1) AS iqr FROM long JOIN c USING (sensor_id, channel) GROUP BY sensor_id, channel""", "median mad q1 q3 iqr"))
+def _(spark, sf):
+    return rounded(robust_scale(long(hourly(spark, sf)), GROUPS, "value", MAD_ROUNDED))
+
+
+@query("pearson", sql(OBS + pair_sql(SCOPES[:1], PAIR_LIST), """
+SELECT channel_a, channel_b, count(*) AS n, corr(x, y) AS pearson FROM pairs GROUP BY ALL HAVING count(*) >= 30""", "pearson"))
+def _(spark, sf):
+    pairs = R.channel_pairs(hourly(spark, sf), [], CHANNELS)
+    return rounded(R.pearson(pairs, ["channel_a", "channel_b"]))
+
+
+@query("spearman_matrix", sql(OBS + pair_sql(SCOPES[:1], PAIR_LIST) + RANKED, """
+SELECT channel_a, channel_b, count(*) AS n, corr(rx, ry) AS spearman FROM ranked GROUP BY ALL HAVING count(*) >= 30""", "spearman"))
+def _(spark, sf):
+    pairs = R.channel_pairs(hourly(spark, sf), [], CHANNELS)
+    return rounded(R.spearman(pairs, ["channel_a", "channel_b"]))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.functions.rows import single_row
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -112,11 +114,12 @@ def row_fingerprint(df: DataFrame) -> DataFrame:
 
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
     """Whether two tables hold the same rows, up to order."""
-    a = row_fingerprint(before).select(F.col("rows").alias("_r"), F.col("signature").alias("_s"))
-    return row_fingerprint(after).join(F.broadcast(a)).select(
-        "rows", ((F.col("rows") == F.col("_r")) & F.col("signature").eqNullSafe(F.col("_s"))).alias(
-            "unchanged"
-        )
+    was = F.col("_was")
+    same = (F.col("rows") == was["rows"]) & F.col("signature").eqNullSafe(was["signature"])
+    return (
+        row_fingerprint(after)
+        .withColumn("_was", single_row(row_fingerprint(before)))
+        .select("rows", same.alias("unchanged"))
     )
 
 
