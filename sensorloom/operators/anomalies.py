@@ -50,7 +50,7 @@ def anomaly_univariate(
         F.count("value").alias("_n"),
     )
     scale = robust_scale(long, keys, "value", MAD_NORMAL)
-    stats = moments.where(F.col("_n") >= least_values).join(scale, keys)
+    stats = stage(moments.where(F.col("_n") >= least_values).join(scale, keys))
     value = F.col("value")
     joined = rolling_robust_z(long, s, rows, minimum).join(stats, keys)
     flags = {
@@ -175,7 +175,7 @@ def change_points(
     scale = runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_pop("value").alias("_sd")
     )
-    usable = scale.where((F.col("_n") >= least_days * window_rows) & (F.col("_sd") > 0))
+    usable = stage(scale.where((F.col("_n") >= least_days * window_rows) & (F.col("_sd") > 0)))
     long_runs = runs.join(usable, keys)
     minutes = window_rows * s.cadence_minutes
     spread = time_halo(long_runs, by, minutes, minutes)
@@ -241,7 +241,7 @@ def seasonal_components(
     span = long.withColumn("_us", micros(s.ts)).groupBy(*s.keys).agg(
         ((F.max("_us") - F.min("_us")) / step + 1).alias("_grid")
     )
-    rates = (
+    rates = stage(
         long.groupBy(*keys)
         .agg(F.count("value").alias("_present"))
         .join(span, list(s.keys))

@@ -41,7 +41,9 @@ def provided_long(
 ) -> DataFrame:
     """Long channel table without structurally absent channels."""
     long = to_long(df, ids, channels)
-    return long.join(provided_channels(df, s, channels), [*s.keys, "channel"], "left_semi")
+    # Staged, so that its size decides whether the long table has to be shuffled.
+    provided = stage(provided_channels(df, s, channels))
+    return long.join(provided, [*s.keys, "channel"], "left_semi")
 
 
 def intervals(df: DataFrame, s: Series) -> DataFrame:

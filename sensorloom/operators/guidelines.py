@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.features import lag_label
 from sensorloom.operators.series import (
     MINUTE, Series, frame_window, home_rows, left_open, shift_exact, time_halo, window_stat,
+    with_next,
 )
 
 MEETS, ABOVE = "Meets WHO Guideline", "Above WHO Guideline"
@@ -184,16 +185,18 @@ def forecast_targets(
     """Exact future values, future averages, event labels, gap flags and validity.
 
     ``df`` carries ``segment``, ``pm25_avg``, ``pm25_coverage``, ``pm25_lag_6h``,
-    ``pm25_mean_3h`` and ``missing_flag``.  The look-ahead is bounded: a gap that
-    starts inside ``[t, t + h)`` shows as a reading there without a successor in
-    the next ``gap_minutes``.
+    ``pm25_mean_3h`` and ``missing_flag``.  A gap counts when the reading it
+    starts at lies inside ``[t, t + h)``, so the look-ahead is bounded.
     """
-    ahead = max(horizons) + s.gap_minutes
-    last = df.groupBy(*s.keys).agg(F.max("_us").alias("_end"))
-    spread = time_halo(df.join(last, list(s.keys)), s, ahead_minutes=ahead)
+    silence = F.col("_next")["_us"] - F.col("_us")
+    marked = time_halo(
+        with_next(df.drop("_us"), s, [])
+        .withColumn("_breaks", F.coalesce(silence > s.gap_minutes * MINUTE, F.lit(False)))
+        .drop("_next", "_blk"),
+        s,
+        ahead_minutes=max(horizons),
+    )
     sensor, seg = frame_window(s), frame_window(s, "segment")
-    followers = F.count(F.lit(1)).over(sensor.rangeBetween(1, s.gap_minutes * MINUTE))
-    marked = spread.withColumn("_breaks", (followers == 0) & (F.col("_us") < F.col("_end")))
     cols: list[Column] = []
     for m in horizons:
         h = lag_label(m)
@@ -204,7 +207,7 @@ def forecast_targets(
             shift_exact(seg, "pm25_coverage", m).alias(f"_cov_{h}"),
             F.bool_or("_breaks").over(inside).alias(f"future_gap_{h}"),
         ]
-    wide = home_rows(marked.select("*", *cols)).drop("_breaks", "_end")
+    wide = home_rows(marked.select("*", *cols)).drop("_breaks")
     history = F.col("pm25_lag_6h").isNotNull() & F.col("pm25_mean_3h").isNotNull()
     issue = F.col("pm25").isNull() | F.col("missing_flag")
     derived: list[Column] = [history.alias("history_available"), issue.alias("quality_issue")]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.quantiles import exact_quantiles
 from sensorloom.functions.rows import single_row
 from sensorloom.operators.series import Series, micros, with_ordinal
+from sensorloom.sources.staging import stage
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,7 +80,7 @@ def expanding_folds(
 def meta_split(df: DataFrame, groups: Sequence[str], ts: str, share: float = 0.75) -> DataFrame:
     """Earliest share of each group's rows is ``meta_train``; ties go by ``sensor_id``."""
     s = Series(keys=tuple(groups), ts=ts, ties=("sensor_id",))
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stage(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")))
     return (
         with_ordinal(df, s)
         .join(sizes, list(groups))

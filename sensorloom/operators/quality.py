@@ -73,7 +73,7 @@ def jump_events(long: DataFrame, s: Series, minimum: int = 12) -> DataFrame:
     threshold = F.greatest(
         F.col("median") + 8 * F.col("mad"), F.col("q3") + 3 * F.col("iqr"), F.lit(1e-12)
     )
-    fences = (
+    fences = stage(
         scale.join(sizes, keys)
         .where(F.col("_n") >= minimum)
         .select(*keys, threshold.alias("robust_threshold"))
@@ -180,7 +180,7 @@ def drift_runs(
     sizes = delta.groupBy(*keys).agg(
         F.count("delta").alias("_n"), F.count(F.lit(1)).alias("_rows")
     )
-    limits = (
+    limits = stage(
         scale.join(sizes, keys)
         .where(
             (F.col("_rows") >= baseline_minimum)

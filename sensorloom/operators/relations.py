@@ -143,7 +143,7 @@ def matrix_view(table: DataFrame, value: str, channels: Sequence[str]) -> DataFr
 def rank_bins(pairs: DataFrame, keys: Sequence[str], value: str, out: str, bins: int) -> DataFrame:
     """Equal-frequency bin of a value inside its group; ties share a bin."""
     ranked = with_average_rank(pairs, keys, value, "_rank")
-    sizes = pairs.groupBy(*keys).agg(F.count(value).alias("_size"))
+    sizes = stage(pairs.groupBy(*keys).agg(F.count(value).alias("_size")))
     place = F.floor((F.col("_rank") - 0.5) * bins / F.col("_size"))
     return (
         ranked.join(sizes, list(keys))
@@ -484,7 +484,7 @@ def peer_residual(
 
     Groups with fewer than ``minimum_sensors`` sensors have no residuals.
     """
-    large = (
+    large = stage(
         df.select(group, sensor)
         .distinct()
         .groupBy(group)

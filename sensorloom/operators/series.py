@@ -19,6 +19,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.sources.staging import stage
+
 MINUTE = 60_000_000
 
 
@@ -160,6 +162,23 @@ def with_previous(df: DataFrame, s: Series, carry: Sequence[str]) -> DataFrame:
     )
 
 
+def with_next(df: DataFrame, s: Series, carry: Sequence[str]) -> DataFrame:
+    """Add ``_next``, the struct (``_us`` and ``carry``) of the following row."""
+    keys = list(s.keys)
+    base = blocked(df, s)
+    cur = F.struct("_us", *carry)
+    order = F.struct(*_order(s))
+    first = base.groupBy(*keys, "_blk").agg(F.min_by(cur, order).alias("_first"))
+    chain = Window.partitionBy(*keys).orderBy("_blk")
+    edges = first.select(*keys, "_blk", F.lead("_first").over(chain).alias("_carry"))
+    return (
+        base.withColumn("_next", F.lead(cur).over(_block_window(s)))
+        .join(edges, [*keys, "_blk"])
+        .withColumn("_next", F.coalesce("_next", "_carry"))
+        .drop("_carry")
+    )
+
+
 def with_ordinal(df: DataFrame, s: Series, out: str = "_ord") -> DataFrame:
     """Add the 0-based row number of each row in its series."""
     keys = list(s.keys)
@@ -372,7 +391,7 @@ def to_long(df: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataF
 def stride_sample(df: DataFrame, s: Series, max_points: int) -> DataFrame:
     """Every k-th row of each series, so that it has at most about ``max_points``."""
     numbered = with_ordinal(df, s)
-    sizes = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stage(df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_points))
     return (
         numbered.join(sizes, list(s.keys))

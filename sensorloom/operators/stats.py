@@ -12,6 +12,7 @@ from sensorloom.functions.quantiles import exact_quantiles, finite, order_bin, v
 from sensorloom.operators.series import (
     Series, frame_window, home_rows, left_open, time_halo, window_stat, with_ordinal,
 )
+from sensorloom.sources.staging import stage
 
 # The probabilities of the descriptive table.
 PERCENTILES = {
@@ -108,15 +109,14 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, least_bins: int =
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     flat = F.col("_lo") == F.col("_hi")
-    span = span.select(
+    span = stage(span.select(
         *keys,
-        "_n",
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
         F.least(
             F.lit(40), F.greatest(F.lit(least_bins), F.floor(F.sqrt("_n")).cast("int"))
         ).alias("bins"),
-    )
+    ))
     width = (F.col("_hi") - F.col("_lo")) / F.col("bins")
     placed = good.join(span, keys)
     index = F.least(
@@ -358,7 +358,7 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, points: int = 120) -> Da
         F.count(F.lit(1)).alias("_c")
     )
     distinct = weights.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    usable = (
+    usable = stage(
         moments.join(ends, keys)
         .join(distinct, keys)
         .where((F.col("_n") >= 20) & (F.col("_d") > 2))
@@ -407,7 +407,7 @@ def scatter_sample(df: DataFrame, s: Series, x: str, y: str, points: int = 1200)
     """Every k-th complete pair of each key."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     numbered = with_ordinal(pairs, s)
-    sizes = pairs.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stage(pairs.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")))
     step = F.greatest(F.lit(1), F.ceil(F.col("_n") / points))
     return (
         numbered.join(sizes, list(s.keys))
