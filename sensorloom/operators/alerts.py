@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.text import alert_id, dedup_key
 from sensorloom.operators.series import (
-    MINUTE, Series, islands, time_halo,
+    MINUTE, Series, bucket_index, islands, time_halo,
 )
 from sensorloom.sources.staging import stage
 
@@ -290,7 +290,7 @@ def notifications(marked: DataFrame, s: Series, cooldown: int) -> DataFrame:
         chain, "dedup_key string, _part long, entry long"
     )
     size = max(s.block_us, cooldown_us)
-    home = active.withColumn("_part", F.floor(F.col("_us") / size)).join(
+    home = active.withColumn("_part", bucket_index(F.col("_us"), size)).join(
         entries, ["dedup_key", "_part"]
     )
 

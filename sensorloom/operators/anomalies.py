@@ -12,7 +12,7 @@ from sensorloom.functions.quantiles import exact_quantiles, robust_scale
 from sensorloom.operators.quality import MAD_NORMAL, MAD_ROUNDED
 from sensorloom.operators.relations import complete_runs, longest_run, short_gap_interpolate
 from sensorloom.operators.series import (
-    MINUTE, Series, frame_window, home_rows, micros, row_halo, time_halo, with_ordinal,
+    MINUTE, Series, bucket_index, frame_window, home_rows, micros, row_halo, time_halo, with_ordinal,
 )
 from sensorloom.operators.serving import top_per_group
 from sensorloom.sources.staging import stage
@@ -92,11 +92,11 @@ def near_event_join(
         micros(event_ts).alias("_e"),
         F.explode(
             F.sequence(
-                F.floor(micros(event_ts) / size) - 1, F.floor(micros(event_ts) / size) + 1
+                bucket_index(micros(event_ts), size) - 1, bucket_index(micros(event_ts), size) + 1
             )
         ).alias("_bucket"),
     )
-    rows = df.withColumn("_us", micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / size))
+    rows = df.withColumn("_us", micros(ts)).withColumn("_bucket", bucket_index(F.col("_us"), size))
     stamps = rows.select(*keys, "_bucket", "_us").distinct()
     hits = (
         stamps.join(reach, [*keys, "_bucket"])
@@ -263,7 +263,7 @@ def seasonal_components(
             F.when(F.count(F.lit(1)).over(w) == 2 * half + 1, F.avg("value").over(w)),
         )
     ).where(F.col("trend").isNotNull())
-    phase = F.pmod(F.floor(F.col("_us") / step), F.lit(period))
+    phase = F.pmod(bucket_index(F.col("_us"), step), F.lit(period))
     detrended = trended.withColumn("_phase", phase).withColumn(
         "_d", F.col("value") - F.col("trend")
     )

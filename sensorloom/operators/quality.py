@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.quantiles import exact_quantiles, finite, robust_scale
 from sensorloom.operators.series import (
-    MINUTE, Series, frame_window, home_rows, islands, left_open, micros, row_halo, time_halo,
+    MINUTE, Series, bucket_index, frame_window, home_rows, islands, left_open, micros, row_halo, time_halo,
     with_ordinal, with_previous,
 )
 from sensorloom.sources.staging import stage
@@ -217,11 +217,11 @@ def flag_by_interval(
         micros("end_time").alias("_b"),
         F.explode(
             F.sequence(
-                F.floor(micros("start_time") / size), F.floor(micros("end_time") / size)
+                bucket_index(micros("start_time"), size), bucket_index(micros("end_time"), size)
             )
         ).alias("_bucket"),
     ).distinct()
-    rows = df.withColumn("_us", micros(s.ts)).withColumn("_bucket", F.floor(F.col("_us") / size))
+    rows = df.withColumn("_us", micros(s.ts)).withColumn("_bucket", bucket_index(F.col("_us"), size))
     stamps = rows.select(*s.keys, "_bucket", "_us").distinct()
     hit = stamps.join(spans, [*s.keys, "_bucket"]).where(
         F.col("_us").between(F.col("_a"), F.col("_b"))

@@ -53,9 +53,9 @@ def fit_blocks(df: DataFrame, s: Series, rows: int = 2_000_000) -> Series:
     One map-side-combined count per key and minute; only its maximum reaches the
     driver.
     """
-    minute = F.floor(micros(s.ts) / MINUTE).alias("_minute")
+    minute = bucket_index(micros(s.ts), MINUTE).alias("_minute")
     counts = df.groupBy(*s.keys, minute).agg(F.count(F.lit(1)).alias("_c"))
-    hourly = counts.groupBy(*s.keys, F.floor(F.col("_minute") / 60)).agg(
+    hourly = counts.groupBy(*s.keys, bucket_index(F.col("_minute"), 60)).agg(
         F.sum("_c").alias("_h"), F.max("_c").alias("_m")
     )
     per_hour, per_minute = hourly.agg(F.max("_h"), F.max("_m")).first()
@@ -76,9 +76,14 @@ def from_micros(us: Column) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
+def bucket_index(position: Column, size: int) -> Column:
+    """``floor(position / size)`` in whole numbers, exact for any position."""
+    return ((position - F.pmod(position, F.lit(size))) / size).cast("long")
+
+
 def blocked(df: DataFrame, s: Series) -> DataFrame:
     us = micros(s.ts)
-    return df.withColumn("_us", us).withColumn("_blk", F.floor(F.col("_us") / s.block_us))
+    return df.withColumn("_us", us).withColumn("_blk", bucket_index(F.col("_us"), s.block_us))
 
 
 def _order(s: Series) -> list[str]:
@@ -199,9 +204,9 @@ def with_ordinal(df: DataFrame, s: Series, out: str = "_ord") -> DataFrame:
 def _spread(
     df: DataFrame, s: Series, position: str, back: int, ahead: int, size: int, heavy: bool
 ) -> DataFrame:
-    home = F.floor(F.col(position) / size)
+    home = bucket_index(F.col(position), size)
     reach = F.sequence(
-        F.floor((F.col(position) - ahead) / size), F.floor((F.col(position) + back) / size)
+        bucket_index(F.col(position) - ahead, size), bucket_index(F.col(position) + back, size)
     )
     spread = df.withColumn("_part", F.explode(reach)).withColumn(
         "_home", F.col("_part") == home
@@ -344,7 +349,7 @@ def resample_grid(
     """
     keys = list(s.keys)
     width = s.cadence_minutes * MINUTE
-    bucket = F.floor(micros(s.ts) / width) * width
+    bucket = bucket_index(micros(s.ts), width) * width
     filled = (
         df.withColumn("_us", bucket)
         .groupBy(*keys, *attributes, "_us")

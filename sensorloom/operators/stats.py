@@ -354,8 +354,10 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, points: int = 120) -> Da
         F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd")
     )
     ends = exact_quantiles(df, keys, value, {"_a": 0.005, "_b": 0.995})
-    weights = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c")
+    weights = stage(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     distinct = weights.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
     usable = stage(
@@ -365,27 +367,29 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, points: int = 120) -> Da
         .withColumn("_h", F.col("_sd") * F.pow("_n", F.lit(-0.2)))
     )
 
-    def grid(i: int) -> Column:
-        return F.col("_a") + (F.col("_b") - F.col("_a")) * (i / (points - 1))
-
-    z = [(grid(i) - F.col(value)) / F.col("_h") for i in range(points)]
-    sums = (
-        weights.join(usable, keys)
-        .groupBy(*keys, "_n", "_h", "_a", "_b")
-        .agg(*[F.sum(F.col("_c") * F.exp(-0.5 * x * x)).alias(f"_s{i}") for i, x in enumerate(z)])
-    )
-    scale = F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("point"),
-                grid(i).alias("x"),
-                (F.col(f"_s{i}") / scale).alias("density"),
-            )
-            for i in range(points)
-        ]
-    )
-    return sums.select(*keys, F.explode(cells).alias("_g")).select(*keys, "_g.*")
+    # Written as text: hundreds of sums are slow to build call by call.  They are
+    # spread over a few aggregates of moderate width.
+    def grid(i: int) -> str:
+        return f"(_a + (_b - _a) * {i / (points - 1)!r}D)"
+
+    def kernel(i: int) -> str:
+        return f"sum(_c * exp(-0.5D * power(({grid(i)} - `{value}`) / _h, 2)))"
+
+    rows = weights.join(usable, keys)
+    scale = f"(_n * _h * {math.sqrt(2 * math.pi)!r}D)"
+    out = None
+    for start in range(0, points, 30):
+        part = range(start, min(start + 30, points))
+        sums = rows.groupBy(*keys, "_n", "_h", "_a", "_b").agg(
+            *[F.expr(kernel(i)).alias(f"_s{i}") for i in part]
+        )
+        cells = ", ".join(
+            f"named_struct('point', {i}, 'x', {grid(i)}, 'density', _s{i} / {scale})" for i in part
+        )
+        chunk = sums.select(*keys, F.expr(f"explode(array({cells}))").alias("_g"))
+        chunk = chunk.select(*keys, "_g.*")
+        out = chunk if out is None else out.unionByName(chunk)
+    return out
 
 
 def distribution_summary(long: DataFrame, keys: Sequence[str]) -> DataFrame:
