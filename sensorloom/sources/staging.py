@@ -18,10 +18,17 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a local one only where none is set."""
+    """The session's shared folder.
+
+    Where none is set, a local session gets a temporary folder and a cluster a folder inside the
+    warehouse, which driver and executors share.
+    """
     folder = spark.conf.get(_SETTING, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="run-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
