@@ -72,20 +72,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[D
     anchors = stage(_anchors(benchmark, window))
     lengths = sorted(r[0] for r in _items(benchmark, window).select("_len").distinct().collect())
     blocks = sorted({(n + 1) // 2 for n in lengths})
-    hashes = [
-        F.transform(
+
+    def block_hashes(b: int) -> Column:
+        return F.transform(
             _steps("_w", str(b), str(b)),
-            lambda at, b=b: F.xxhash64(F.lit(b), F.slice(F.col("_w"), at + 1, F.lit(b))),
+            lambda at: F.xxhash64(F.lit(b), F.slice(F.col("_w"), at + 1, F.lit(b))),
         )
-        for b in blocks
-    ]
+
     none = F.expr("cast(array() as array<bigint>)")
     cut = with_key(docs).select(*KEY, "doc_id", words(F.col("text")).alias("_w"))
     pieces = cut.select(
         *KEY,
         "doc_id",
         F.size("_w").alias("_n"),
-        F.posexplode_outer(F.concat(none, *hashes)).alias("_at", "_hash"),
+        F.posexplode_outer(F.concat(none, *map(block_hashes, blocks))).alias("_at", "_hash"),
     )
     looked = pieces.join(bounded_broadcast(anchors, anchors.count(), BROADCAST_ROWS), "_hash", "left")
     counted = stage(
@@ -106,19 +106,17 @@ def _verified(
     texts = with_key(docs.select("doc_id", "text")).join(wanted, KEY, "left_semi")
     cut = texts.select(*KEY, words(F.col("text")).alias("_w"))
     windows = stage(benchmark_windows(benchmark, window).select("_len", "_window").distinct())
-    found = []
-    for n in lengths:
+
+    def occurrences(n: int) -> DataFrame:
         own = windows.where(F.col("_len") == n)
-        spans = cut.select(
-            *KEY,
-            F.posexplode(
-                F.transform(
-                    _steps("_w", str(n), "1"),
-                    lambda at, n=n: F.concat_ws(" ", F.slice(F.col("_w"), at + 1, F.lit(n))),
-                )
-            ).alias("_at", "_window"),
+        texts = F.transform(
+            _steps("_w", str(n), "1"),
+            lambda at: F.concat_ws(" ", F.slice(F.col("_w"), at + 1, F.lit(n))),
         )
-        found.append(spans.join(bounded_broadcast(own, own.count(), BROADCAST_ROWS), "_window"))
+        spans = cut.select(*KEY, F.posexplode(texts).alias("_at", "_window"))
+        return spans.join(bounded_broadcast(own, own.count(), BROADCAST_ROWS), "_window")
+
+    found = [occurrences(n) for n in lengths]
     empty = "_doc bigint, _text_hash bigint, _at int, _len int, _window string"
     if not found:
         return docs.sparkSession.createDataFrame([], empty)

@@ -12,6 +12,7 @@ from sensorloom.llm import (
     inner_product,
     language,
     mixing,
+    oracles,
     personal_data,
     quality,
     shingle_dedup,
@@ -148,4 +149,10 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_top_k_inner_product": oracles.TOP_K,
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op3_chat_tree": oracles.CHAT_TREE,
+    "op7_source_mixture": oracles.MIXTURE,
+    "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+}
