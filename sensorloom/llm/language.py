@@ -1,8 +1,8 @@
 """Language identification with a linear-chain conditional random field over words.
 
 Each word of a text gets a language label.  A word's emission scores are the summed weights of its
-hashed features: the word itself (lexicon), its affixes of one to four characters and its character
-trigrams; a transition matrix scores neighbouring labels, so a word that fits several languages
+hashed features: the word itself (lexicon), its affixes of one to four bytes and its byte trigrams
+(``word_arrays``: words are runs of ASCII letters and of other bytes over 127); a transition matrix scores neighbouring labels, so a word that fits several languages
 follows its neighbours and code-switched text is split into runs.  Forward-backward gives the
 marginal of each label at each word; a text's language has the largest mean marginal, which is the
 score.  Chains are ``CHAIN`` words long, so all chains of a batch run in lockstep.
@@ -21,7 +21,6 @@ further columns do not matter.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.tables import training_rows
+from sensorloom.llm.word_arrays import LETTERS, Piece, pieces
 
 UNKNOWN = "und"
 SLOT_BITS = 16
@@ -39,21 +39,61 @@ PER_CLASS = 600
 TRAIN_WORDS = 400
 CHAIN = 64
 MODULUS, HELD = 4, 2
-EPOCHS, RATE, DECAY = 8, 0.3, 1e-6
-CACHED_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def word_features(word: str) -> list[int]:
-    """Slots of a word's features."""
-    w = word.lower()
-    made = ["w" + w]
-    for n in range(1, 5):
-        if len(w) >= n:
-            made += [f"p{w[:n]}", f"s{w[-n:]}"]
-    framed = f"<{w[:40]}>"
-    made += [framed[k : k + 3] for k in range(len(framed) - 2)]
-    return sorted({zlib.crc32(f.encode()) & SLOTS - 1 for f in made})
+STEPS, BATCH, RATE, DECAY = 400, 64, 0.3, 1e-6
+AFFIXES = (1, 2, 3, 4)
+#: Characters that are predicted together.
+TOGETHER = 1 << 21
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _slots(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (hashes * np.uint64(2 * kind + 1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _word_slots(piece: Piece) -> Iterator[np.ndarray]:
+    """Slots of the words and of their affixes, one array per kind; a short word is its own affix."""
+    yield _slots(piece.words(), 0)
+    for n in AFFIXES:
+        size = np.minimum(piece.ends - piece.starts, n)
+        yield _slots(piece.hashes(piece.starts, piece.starts + size), 2 * n)
+        yield _slots(piece.hashes(piece.ends - size, piece.ends), 2 * n + 1)
+
+
+def _trigram_slots(piece: Piece) -> np.ndarray:
+    """Slots of all byte trigrams; those across words are not used."""
+    at = np.arange(max(0, len(piece.sums) - 3))
+    return _slots(piece.hashes(at, at + 3), 20)
+
+
+def emissions(text: str | None, weights: np.ndarray) -> np.ndarray:
+    """Summed feature weights (word, label) of a text's words."""
+    k = weights.shape[1]
+    parts = [np.zeros((0, k))]
+    for piece in pieces(text, LETTERS):
+        out = sum(weights.take(slots, 0) for slots in _word_slots(piece))
+        sums = np.zeros((len(piece.sums), k))
+        slots = _trigram_slots(piece)
+        np.cumsum(weights.take(slots, 0), axis=0, out=sums[1 : len(slots) + 1])
+        last = np.maximum(piece.ends - 2, piece.starts)
+        parts.append(out + sums[last] - sums[piece.starts])
+    return np.concatenate(parts)
+
+
+def word_features(text: str) -> list[np.ndarray]:
+    """Slots of each word, with repeats."""
+    out: list[np.ndarray] = []
+    for piece in pieces(text, LETTERS):
+        slots = list(_word_slots(piece))
+        owner = [np.arange(len(piece.starts))] * len(slots)
+        trigrams = _trigram_slots(piece)
+        count = np.maximum(piece.ends - 2 - piece.starts, 0)
+        word = np.repeat(np.arange(len(count)), count)
+        owner.append(word)
+        slots.append(trigrams[np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + piece.starts[word]])
+        place, flat = np.concatenate(owner), np.concatenate(slots)
+        order = np.argsort(place, kind="stable")
+        out += np.split(flat[order], np.cumsum(np.bincount(place, minlength=len(count)))[:-1]) if len(count) else []
+    return out
 
 
 def forward_backward(emissions: np.ndarray, mask: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple:
@@ -102,34 +142,15 @@ class Model:
 
 
 class Labeller:
-    """Predicts texts; keeps the emissions of words it has seen."""
+    """Predicts texts."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(model.labels)))
-
-    def _index(self, word: str) -> int:
-        k = len(self.known)
-        if k >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.weights[word_features(word)].sum(0)
-        self.known[word] = k
-        return k
-
-    def emissions(self, text: str | None) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        get, new = self.known.get, self._index
-        found = []
-        for w in _WORD.findall(text or ""):
-            i = get(w)
-            found.append(new(w) if i is None else i)
-        return self.rows[np.array(found, np.int64)]
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
         """Word label marginals of each text, all chains in lockstep."""
-        own = [self.emissions(t) for t in texts]
+        # A text without any letter has no words.
+        own = [emissions(t if t and _LETTER.search(t) else None, self.model.weights) for t in texts]
         chains = [-(-len(e) // CHAIN) for e in own]
         k = len(self.model.labels)
         flat = np.zeros((sum(chains), CHAIN, k))
@@ -162,82 +183,69 @@ class Labeller:
         return out
 
 
-def fit(texts: list[str], languages: list[str], epochs: int = EPOCHS) -> Model:
-    """Trains on chains of runs from texts of different languages."""
+def fit(texts: list[str], languages: list[str], steps: int = STEPS) -> Model:
+    """Trains on chains of runs from texts of different languages, as many steps at every size."""
     labels = sorted(set(languages))
     k = len(labels)
     if not k:
         return Model([])
     rng = np.random.default_rng(11)
-    code = np.array([labels.index(x) for x in languages])
-    pool: dict[str, int] = {}
     slots: list[np.ndarray] = []
     streams: list[list[np.ndarray]] = [[] for _ in labels]
-    for text, c in zip(texts, code):
-        words = _WORD.findall(text)
+    for text, language in zip(texts, languages):
+        words = word_features(text) if _LETTER.search(text) else []
         if len(words) > TRAIN_WORDS:
             # A run of the words at a seeded place, so that one long text does not count for many.
             at = int(rng.integers(0, len(words) - TRAIN_WORDS + 1))
             words = words[at : at + TRAIN_WORDS]
-        own = []
-        for w in words:
-            if w not in pool:
-                pool[w] = len(slots)
-                slots.append(np.array(word_features(w), np.int64))
-            own.append(pool[w])
-        if own:
-            streams[c].append(np.array(own))
+        if words:
+            streams[labels.index(language)].append(np.arange(len(slots), len(slots) + len(words)))
+            slots += words
     lines = [np.concatenate(s) if s else np.zeros(0, np.int64) for s in streams]
     size = np.array([len(s) for s in slots], np.int64)
     first = np.cumsum(size) - size
     flat_slots = np.concatenate([*slots, np.zeros(0, np.int64)])
     model = Model(labels, np.zeros((SLOTS, k)), np.zeros((k, k)), np.zeros(k))
     squares = np.full((SLOTS, k), 1e-6)
-    total = max((len(x) for x in lines), default=0) * k
-    chains_per_epoch = total // CHAIN + 1
-    batch = 64
     move_squares, begin_squares = np.full((k, k), 1e-6), np.full(k, 1e-6)
     usable = [i for i in range(k) if len(lines[i])]
-    if not usable:
-        return model
-    for _ in range(epochs):
-        for _ in range(-(-chains_per_epoch // batch)):
-            words, tags = np.zeros((batch, CHAIN), np.int64), np.zeros((batch, CHAIN), np.int64)
-            for b in range(batch):
-                at = 0
-                while at < CHAIN:
-                    c = int(rng.choice(usable))
-                    n = int(min(CHAIN - at, rng.integers(4, CHAIN)))
-                    start = int(rng.integers(0, len(lines[c])))
-                    run = lines[c][np.arange(start, start + n) % len(lines[c])]
-                    words[b, at : at + n], tags[b, at : at + n] = run, c
-                    at += n
-            uniq, inverse = np.unique(words, return_inverse=True)
-            length = size[uniq]
-            where = np.repeat(first[uniq] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            own = flat_slots[where]
-            emission = np.add.reduceat(model.weights[own], np.cumsum(length) - length)
-            marginal, pairs = forward_backward(
-                emission[inverse.reshape(words.shape)], np.ones(words.shape, bool), model.moves, model.begin
-            )
-            error = marginal.copy()
-            np.put_along_axis(error, tags[..., None], np.take_along_axis(error, tags[..., None], 2) - 1, 2)
-            per_word = np.zeros((len(uniq), k))
-            np.add.at(per_word, inverse.ravel(), error.reshape(-1, k))
-            touched, back = np.unique(own, return_inverse=True)
-            grad = np.zeros((len(touched), k))
-            np.add.at(grad, back, np.repeat(per_word, length, axis=0))
-            grad = grad / batch + DECAY * model.weights[touched]
-            squares[touched] += grad * grad
-            model.weights[touched] -= RATE * grad / np.sqrt(squares[touched])
-            seen = np.zeros((k, k))
-            np.add.at(seen, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-            g = (pairs - seen) / batch
-            move_squares += g * g
-            model.moves -= RATE * g / np.sqrt(move_squares)
-            g = (marginal[:, 0].sum(0) - np.bincount(tags[:, 0], minlength=k)) / batch
-            begin_squares += g * g
-            model.begin -= RATE * g / np.sqrt(begin_squares)
+    for _ in range(steps if usable else 0):
+        words, tags = np.zeros((BATCH, CHAIN), np.int64), np.zeros((BATCH, CHAIN), np.int64)
+        for b in range(BATCH):
+            at = 0
+            while at < CHAIN:
+                c = int(rng.choice(usable))
+                n = int(min(CHAIN - at, rng.integers(4, CHAIN)))
+                start = int(rng.integers(0, len(lines[c])))
+                run = lines[c][np.arange(start, start + n) % len(lines[c])]
+                words[b, at : at + n], tags[b, at : at + n] = run, c
+                at += n
+        uniq, inverse = np.unique(words, return_inverse=True)
+        length = size[uniq]
+        where = np.repeat(first[uniq] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        own = flat_slots[where]
+        emission = np.add.reduceat(model.weights[own], np.cumsum(length) - length)
+        marginal, pairs = forward_backward(
+            emission[inverse.reshape(words.shape)], np.ones(words.shape, bool), model.moves, model.begin
+        )
+        error = marginal.copy()
+        np.put_along_axis(error, tags[..., None], np.take_along_axis(error, tags[..., None], 2) - 1, 2)
+        per_word = np.zeros((len(uniq), k))
+        np.add.at(per_word, inverse.ravel(), error.reshape(-1, k))
+        touched, back = np.unique(own, return_inverse=True)
+        grad = np.zeros((len(touched), k))
+        np.add.at(grad, back, np.repeat(per_word, length, axis=0))
+        grad = grad / BATCH + DECAY * model.weights[touched]
+        squares[touched] += grad * grad
+        model.weights[touched] -= RATE * grad / np.sqrt(squares[touched])
+        seen = np.zeros((k, k))
+        np.add.at(seen, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+        g = (pairs - seen) / BATCH
+        move_squares += g * g
+        model.moves -= RATE * g / np.sqrt(move_squares)
+        g = (marginal[:, 0].sum(0) - np.bincount(tags[:, 0], minlength=k)) / BATCH
+        begin_squares += g * g
+        model.begin -= RATE * g / np.sqrt(begin_squares)
     return model
 
 
@@ -283,15 +291,20 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` of every document."""
-    group = 256
-
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
             texts = batch.column("text")
             made: list[tuple[str, float]] = []
-            for k in range(0, len(texts), group):
-                made += labeller.predict(texts.slice(k, group).to_pylist())
+            group: list[str | None] = []
+            size = 0
+            for text in texts.to_pylist():
+                group.append(text)
+                size += len(text or "")
+                if size >= TOGETHER:
+                    made += labeller.predict(group)
+                    group, size = [], 0
+            made += labeller.predict(group)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -28,10 +28,10 @@ from sensorloom.llm.tables import training_rows
 from sensorloom.llm.word_arrays import SPACED, word_hashes
 
 PASSAGE = 64
-PER_CLASS = 4000
+PER_CLASS = 2000
 MODULUS, HELD = 4, 2
 HIDDEN, GATE = 24, 12
-STEPS, BATCH, RATE, DECAY = 2500, 128, 3e-3, 1e-4
+STEPS, BATCH, RATE, DECAY = 800, 64, 3e-3, 1e-4
 HASHED = 32
 #: Byte classes that are counted, each a set of ASCII characters.
 CLASSES = (
@@ -220,12 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``quality_score`` (0 to 1)."""
+    """``doc_id`` and ``score`` (0 to 1) of every document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [model.explain(t.as_py())[0] for t in batch.column("text")]
-            yield batch.append_column("quality_score", pa.array(made, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.float64())], ["doc_id", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, quality_score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")

@@ -60,10 +60,10 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     _bounded_batches(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf, "labels"))
-    score = F.col("toxicity")
+    score = F.col("score")
     held = F.crc32(F.col("doc_id").cast("string")) % toxicity.MODULUS == toxicity.HELD
     return toxicity.scored(docs, model).select(
-        "doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+        "doc_id", held.alias("held_out"), score, (score >= 0.5).cast("int").alias("predicted")
     )
 
 
@@ -72,10 +72,10 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     _bounded_batches(spark)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf, "labels"))
-    score = F.col("quality_score")
+    score = F.col("score")
     held = F.crc32(F.col("doc_id").cast("string")) % quality.MODULUS == quality.HELD
     return quality.scored(docs, model).select(
-        "doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted")
+        "doc_id", held.alias("held_out"), score, (score >= 0.7).cast("int").alias("predicted")
     )
 
 

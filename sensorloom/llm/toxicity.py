@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-A text's features are its distinct words, hashed into ``SLOTS`` slots; the score is a logistic
-function of the sum of their weights.  Training minimises, by accelerated proximal steps,
+A text's features are its distinct words and word beginnings of ``PREFIXES`` bytes, hashed into
+``SLOTS`` slots; the score is a logistic function of the sum of their weights.  Training minimises, by accelerated proximal steps,
 
     weighted log loss + LASSO * |w| + COUNTERFACTUAL * mean (score(s) - score(s'))**2
 
@@ -30,14 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.tables import training_rows
-from sensorloom.llm.word_arrays import LETTERS, word_hashes
+from sensorloom.llm.word_arrays import LETTERS, pieces
 
+PREFIXES = (4, 5, 6)
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 PER_CLASS = 6000
-LASSO = 1e-4
+#: Slots that are fitted.
+SCREENED = 512
+LASSO = 3e-4
 COUNTERFACTUAL = 0.1
-ROUNDS = 300
+ROUNDS = 600
 MODULUS, HELD = 5, 0
 
 #: Identity terms by group; a swap puts the next term of the list in the place of a term.
@@ -60,13 +63,17 @@ IDENTITY_GROUPS = (
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-
-
 def features(text: str | bytes | None) -> np.ndarray:
-    """Sorted distinct slots of a text's words."""
-    return np.unique(_slot(word_hashes(text, LETTERS)[0]))
+    """Sorted distinct slots of a text's words and word beginnings."""
+    found = [np.zeros(0, np.uint64)]
+    for piece in pieces(text, LETTERS):
+        found.append(piece.words())
+        for n in PREFIXES:
+            start = piece.starts[piece.ends - piece.starts > n]
+            # A beginning is not the same feature as the word that it would be.
+            found.append(piece.hashes(start, start + n) * np.uint64(2 * n + 1))
+    slots = (np.concatenate(found) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+    return np.unique(slots)
 
 
 def swaps() -> dict[str, str]:
@@ -97,6 +104,10 @@ class _Sparse:
         self.signs = np.concatenate(signs) if signs else np.ones(len(self.slots))
         self.row = np.repeat(np.arange(len(rows)), self.size)
 
+    def keep(self, used: np.ndarray) -> None:
+        own = used[self.slots]
+        self.slots, self.signs, self.row = self.slots[own], self.signs[own], self.row[own]
+
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.signs * w[self.slots], minlength=len(self.size))
 
@@ -127,13 +138,19 @@ def fit(
     weight = weight / weight.sum()
     share = float((weight * y).sum())
     w, bias = np.zeros(SLOTS), float(np.log(share / (1 - share)))
-    # Slots of one row only say nothing in general.
+    # Only the slots with the clearest difference between the classes are fitted, and of these no
+    # slot of one or two rows.
     seen = np.bincount(x.slots, minlength=SLOTS)
-    used = seen >= 3
+    clear = np.abs(x.back(weight * (y - share))) / np.sqrt(x.back(weight) + 1e-12) * (seen >= 3)
+    used = np.zeros(SLOTS, bool)
+    used[np.argsort(-clear, kind="stable")[:SCREENED]] = True
+    used &= clear > 0
+    x.keep(used)
+    d.keep(used)
     # The step is bounded by the largest eigenvalue, found by a few power steps.
-    v, top = np.where(used, seen, 0) / np.linalg.norm(seen), 1.0
-    for _ in range(12):
-        v = x.back(weight * x.times(v)) * used + v * 1e-12
+    v, top = used / np.sqrt(max(1, used.sum())), 1.0
+    for _ in range(20):
+        v = x.back(weight * x.times(v)) + v * 1e-12
         top = float(np.linalg.norm(v))
         v /= top
     step = 1 / (0.25 * (top + 1) + 2 * COUNTERFACTUAL * 4)
@@ -200,17 +217,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with ``toxicity`` (0 to 1)."""
-    at = np.flatnonzero(model.weights)
-    slots, values, bias = at, model.weights[at], model.bias
+    """``doc_id`` and ``score`` (0 to 1) of every document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(SLOTS)
-        weights[slots] = values
-        own = Model(weights, bias)
         for batch in batches:
-            made = [own.score(t.as_py()) for t in batch.column("text")]
-            yield batch.append_column("toxicity", pa.array(made, pa.float64()))
+            made = [model.score(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.float64())], ["doc_id", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The documents with a score under the bound, unchanged."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.score(t.as_py()) < below for t in batch.column("text")]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, toxicity double")
+    return docs.mapInArrow(keep, docs.schema)
