@@ -13,9 +13,10 @@ with a probability of (1 - 0.8 ** ROWS) ** BANDS.  Links are confirmed on the fu
 1. documents with equal sets are one class (its digest is compared, not its members);
 2. in each bucket every class is compared with the smallest class of the bucket;
 3. the links give components; buckets whose classes all lie in one component are done;
-4. in the others, all classes of different components are compared, in cells of at most two chunks
-   of a bucket's classes.  A cell returns at most one link per class, so that a bucket of m classes
-   costs at most m ** 2 / CHUNK rows, and only if it holds different components.
+4. in the others, the classes outside the bucket's largest component are compared with those inside
+   and with each other, in cells of about two chunks of ``CHUNK`` classes.  A cell returns at most
+   one link per class, and no pairs are listed: m classes inside and n outside are (m + n) * n / CHUNK
+   rows, and n is small where near copies are linked to the smallest class already.
 
 Defined cases: null or word-less texts have empty sets and are linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows and repeated ids are linked by their id; a row
@@ -31,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.components import components
@@ -163,25 +164,45 @@ def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ``members``: ``_bucket``, ``_node``, ``_component``.
     """
+    # The largest component of a bucket is one side; the classes outside it meet it and each other.
+    sizes = members.groupBy("_bucket", "_component").agg(F.count("*").alias("_n"))
+    sides = sizes.groupBy("_bucket").agg(
+        F.max_by("_component", F.struct("_n", "_component")).alias("_main"),
+        F.max("_n").alias("_inside"),
+        (F.sum("_n") - F.max("_n")).alias("_outside"),
+    )
+
+    def chunks(count: str) -> Column:
+        return F.ceil(F.col(count) / CHUNK).cast("int")
+
     draw = F.xxhash64("_bucket", "_node").bitwiseAND(F.lit((1 << 31) - 1))
-    counted = members.join(
-        members.groupBy("_bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks")), "_bucket"
-    ).withColumn("_chunk", (draw % F.col("_chunks")).cast("int"))
-    cells = counted.withColumn(
-        "_with", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    ).select(
-        "_bucket",
-        F.least("_chunk", "_with").alias("_row"),
+    inside = F.col("_component") == F.col("_main")
+    placed = members.join(sides, "_bucket").withColumn(
+        "_chunk", (draw % F.when(inside, chunks("_inside")).otherwise(chunks("_outside"))).cast("int")
+    )
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = ["_node", "_component", "_bucket"]
+    side = F.lit(0).alias("_side")
+    met = placed.where(inside).select(
+        *own, F.col("_chunk").alias("_row"), F.explode(upto(chunks("_outside"))).alias("_column"), side
+    )
+    others = placed.where(~inside)
+    meeting = others.select(
+        *own, F.explode(upto(chunks("_inside"))).alias("_row"), F.col("_chunk").alias("_column"), F.lit(1).alias("_side")
+    )
+    # Cells among the others have negative rows.
+    among = others.withColumn("_with", F.explode(upto(chunks("_outside")))).select(
+        *own,
+        (-1 - F.least("_chunk", "_with")).alias("_row"),
         F.greatest("_chunk", "_with").alias("_column"),
-        "_chunk",
-        "_node",
-        "_component",
+        F.col("_chunk").alias("_side"),
     )
+    cells = met.unionByName(meeting).unionByName(among)
 
     def compare(table: pa.Table) -> pa.Table:
-        row, column = table["_row"][0].as_py(), table["_column"][0].as_py()
+        within = -1 - table["_row"][0].as_py() == table["_column"][0].as_py()
         nodes = table["_node"].to_pylist()
-        chunks = table["_chunk"].to_pylist()
+        sides = table["_side"].to_pylist()
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -197,7 +218,7 @@ def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for j in order[place + 1 :]:
                 if 100 * len(own[i]) < percent * len(own[j]):
                     break
-                if row != column and chunks[i] == chunks[j]:
+                if sides[i] == sides[j] and not within:
                     continue
                 a, b = top(owner[i]), top(owner[j])
                 if a != b and _pair_links(own[i], own[j], percent):
