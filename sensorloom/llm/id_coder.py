@@ -6,10 +6,11 @@ lockstep as lanes of array operations.  For each id three predictions share the
 
 * order 2: the id that followed the last two ids before, with a confidence of 0 to 3;
 * order 1: the id that followed the last id before, likewise;
-* order 0: the id frequencies of the segment, stored in its header, behind an escape.
+* order 0: the id frequencies of the segment, stored in its header, on what the others leave.
 
 The shares of order 2 and order 1 are weights that adapt per block, one pair for each state of both
-confidences and of their agreement.  The coder has 64 bits of state and emits 16 bits at a time.
+confidences and of their agreement.  The coder has 64 bits of state and emits 16 bits at a time; if
+its range gets short before the leading bits agree, the range is cut, so carries never occur.
 
 Segment: ``magic, block length, ids, table bytes`` (little-endian ``4s I Q I``), the zlib-packed id
 table (ids and frequencies as unsigned 32-bit), per block its CRC and number of 16-bit units
@@ -23,16 +24,20 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 BLOCK = 1024
 _HEAD = struct.Struct("<4sIQI")
 
 _U = np.uint64
 _TOP, _BOTTOM = _U(1) << _U(48), _U(1) << _U(32)
 _SHIFT = _U(16)
-_MIX_BITS, _ZERO_BITS = 16, 18
-_SLOTS = 1024
-#: Initial weights of the two orders by confidence, in 65536ths.
+#: Bits of the shares of the orders, and of the id frequencies below them.
+_MIX, _ZERO = 12, 17
+_WHOLE = 1 << _MIX
+_BITS = _U(_MIX + _ZERO)
+_SLOTS = 512
+#: Weights, in 65536ths: bounds that leave every order a share, and the first ones by confidence.
+_LEAST, _MOST = 256, 61440
 _FIRST2 = np.array([12000, 26000, 40000, 50000])
 _FIRST1 = np.array([3000, 6000, 10000, 14000])
 
@@ -45,49 +50,66 @@ class _Model:
     """Predictions and weights of all lanes."""
 
     def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.state_base = np.arange(lanes, dtype=np.int64) * 32
+        self.base = np.arange(lanes) * _SLOTS
+        self.state_base = np.arange(lanes) * 32
         # A slot holds an id and its confidence; -4 is no id.
         self.after1 = np.full(lanes * _SLOTS, -4, np.int32)
         self.after2 = np.full(lanes * _SLOTS, -4, np.int32)
         state = np.arange(32)
-        self.weight2 = np.tile(_FIRST2[state // 4 % 4], lanes).astype(np.int64)
-        self.weight1 = np.tile(_FIRST1[state % 4], lanes).astype(np.int64)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both predicted ids and their shares, for the first m lanes."""
-        last = self.last[:m]
-        self.slot1 = self.base[:m] + (last * 40503 >> 5 & _SLOTS - 1)
-        self.slot2 = self.base[:m] + (last * 40503 + self.before[:m] * 30011 >> 4 & _SLOTS - 1)
-        self.entry1, self.entry2 = self.after1[self.slot1], self.after2[self.slot2]
+        self.weights = np.tile(_FIRST2[state // 4 % 4] << 16 | _FIRST1[state % 4], lanes)
+
+    def predict(self, m: int, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Both predicted ids, the share of order 2 and that of both orders, for the first m lanes."""
+        slot1 = last * 40503
+        slot2 = before * 30011
+        slot2 += slot1
+        for slot, shift in ((slot1, 5), (slot2, 4)):
+            slot >>= shift
+            slot &= _SLOTS - 1
+            slot += self.base[:m]
+        self.slot1, self.slot2 = slot1, slot2
+        self.entry1, self.entry2 = self.after1.take(slot1), self.after2.take(slot2)
         one, two = self.entry1 >> 2, self.entry2 >> 2
-        state = ((self.entry2 & 3) << 2) + (self.entry1 & 3) + ((one == two) << 4)
+        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
+        state = (one == two).astype(np.int32)
+        state <<= 2
+        state += self.sure2
+        state <<= 2
+        state += self.sure1
         self.state = self.state_base[:m] + state
-        self.own2, self.own1 = self.weight2[self.state], self.weight1[self.state]
-        share2 = np.where(two >= 0, self.own2, 0)
-        share1 = np.where((one >= 0) & (one != two), self.own1 * (65536 - share2) >> 16, 0)
-        return two, one, share2, share1
-
-    def learn(self, m: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        # Shares stay between 1/256 and 255/256, so that every id can be coded.
-        self.weight2[self.state] = self.own2 + ((np.where(hit2, 65280, 256) - self.own2) >> 4)
-        self.weight1[self.state] = self.own1 + ((np.where(hit1, 65280, 256) - self.own1) >> 4)
-        for table, slot, entry in ((self.after1, self.slot1, self.entry1), (self.after2, self.slot2, self.entry2)):
-            same = entry >> 2 == ids
-            sure = entry & 3
-            fresh = np.where(same, entry + (sure < 3), np.where(sure > 0, entry - 1, ids << 2))
-            table[slot] = fresh
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
+        own = self.weights.take(self.state)
+        self.own2, self.own1 = own >> 16, own & 65535
+        share2 = self.own2 >> 16 - _MIX
+        share1 = _WHOLE - share2
+        share1 *= self.own1
+        share1 >>= 16
+        return two, one, share2, share1 + share2
+
+    def learn(self, ids: np.ndarray, same2: np.ndarray, same1: np.ndarray, hit1: np.ndarray) -> None:
+        for own, hit in ((self.own2, same2), (self.own1, hit1)):
+            aim = hit * (_MOST - _LEAST)
+            aim += _LEAST
+            aim -= own
+            aim >>= 4
+            own += aim
+        self.own2 <<= 16
+        self.own2 |= self.own1
+        self.weights[self.state] = self.own2
+        fresh = (ids << 2).astype(np.int32)
+        for table, slot, entry, sure, same in (
+            (self.after1, self.slot1, self.entry1, self.sure1, same1),
+            (self.after2, self.slot2, self.entry2, self.sure2, same2),
+        ):
+            other = np.where(sure > 0, entry - 1, fresh)
+            entry += sure < 3
+            table[slot] = np.where(same, entry, other)
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that occur and their shares of 2**18, each at least 1."""
+    """The ids that occur and their shares of 2**17, each at least 1."""
     counts = np.bincount(ids)
     known = np.flatnonzero(counts)
-    total = 1 << _ZERO_BITS
+    total = 1 << _ZERO
     if len(known) > total // 2:
         raise ValueError("more distinct ids in a segment than the coder provides for")
     share = 1 + counts[known] * (total - len(known)) // counts.sum()
@@ -95,55 +117,27 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known, share
 
 
-def _rows(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as a matrix (step, lane) and the number of lanes active in each step."""
-    lanes = -(-len(ids) // block)
-    full = np.zeros(lanes * block, np.int32)
-    full[: len(ids)] = ids
-    return np.ascontiguousarray(full.reshape(lanes, block).T), _active(len(ids), block)
-
-
 def _active(n: int, block: int) -> np.ndarray:
+    """Lanes with an id left in each step; only the last lane may be shorter."""
     lanes = -(-n // block)
-    rest = n - (lanes - 1) * block
-    # Only the last block may be shorter, and it is the last lane.
-    return np.where(np.arange(block) < rest, lanes, lanes - 1)
+    return np.where(np.arange(block) < n - (lanes - 1) * block, lanes, lanes - 1)
 
 
-class _Encoder:
-    def __init__(self, lanes: int) -> None:
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, ~_U(0), _U)
-        self.lanes: list[np.ndarray] = []
-        self.units: list[np.ndarray] = []
-
-    def put(self, which: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        step = self.range[which] >> _U(bits)
-        low = self.low[which] + step * start.astype(_U)
-        self._settle(which, low, step * size.astype(_U))
-
-    def _settle(self, which: np.ndarray | slice, low: np.ndarray, width: np.ndarray) -> None:
-        agreed = (low ^ (low + width)) < _TOP
-        out = np.flatnonzero(agreed | (width < _BOTTOM))
-        while len(out):
-            l, w = low[out], width[out]
-            w = np.where((l ^ (l + w)) < _TOP, w, (~l + _U(1)) & (_BOTTOM - _U(1)))
-            self.lanes.append((out if isinstance(which, slice) else which[out]).astype(np.uint16))
-            self.units.append((l >> _U(48)).astype(np.uint16))
-            l, w = l << _SHIFT, w << _SHIFT
-            low[out], width[out] = l, w
-            out = out[((l ^ (l + w)) < _TOP) | (w < _BOTTOM)]
-        self.low[which], self.range[which] = low, width
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """All units, lane after lane, and their number per lane."""
-        n = len(self.low)
-        for k in range(3, -1, -1):
-            self.lanes.append(np.arange(n, dtype=np.uint16))
-            self.units.append((self.low >> _U(16 * k)).astype(np.uint16))
-        lanes = np.concatenate(self.lanes)
-        order = np.argsort(lanes, kind="stable")
-        return np.concatenate(self.units)[order], np.bincount(lanes, minlength=n)
+def _rows(values: np.ndarray, block: int) -> np.ndarray:
+    """Values as a matrix (step, lane), filled up with zeros."""
+    full = np.zeros(-(-len(values) // block) * block, np.int32)
+    full[: len(values)] = values
+    return np.ascontiguousarray(full.reshape(-1, block).T)
+
+
+def _unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+
+
+def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The range; without what lies beyond the next multiple of _BOTTOM if leading bits differ."""
+    short = (_U(0) - low) & (_BOTTOM - _U(1))
+    return np.where((low ^ (low + width)) < _TOP, width, short)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -153,32 +147,50 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         return _HEAD.pack(MAGIC, block, 0, 0)
     known, share = _frequencies(ids)
     table = zlib.compress(np.concatenate([known, share]).astype("<u4").tobytes(), 6)
-    start = np.concatenate([[0], np.cumsum(share)[:-1]])
-    place = np.zeros(known[-1] + 1, np.int64)
-    place[known] = np.arange(len(known))
-    steps, active = _rows(ids, block)
+    first = np.zeros(known[-1] + 1, np.int64)
+    size = np.zeros(known[-1] + 1, np.int64)
+    first[known], size[known] = np.cumsum(share) - share, share
+    steps = _rows(ids, block)
     lanes = steps.shape[1]
-    model, coder = _Model(lanes), _Encoder(lanes)
-    for own, m in zip(steps, active):
-        now = own[:m]
-        two, one, share2, share1 = model.predict(m)
-        hit2 = two == now
-        hit1 = (one == now) & ~hit2
-        both = share2 + share1
-        begin = np.where(hit2, 0, np.where(hit1, share2, both))
-        size = np.where(hit2, share2, np.where(hit1, share1, 65536 - both))
-        coder.put(slice(0, m), begin, size, _MIX_BITS)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        if len(rest):
-            k = place[now[rest]]
-            coder.put(rest, start[k], share[k], _ZERO_BITS)
-        model.learn(m, now, hit2, one == now)
-    units, counts = coder.finish()
+    last = before = np.zeros(lanes, np.int64)
+    model = _Model(lanes)
+    low, width = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
+    out_lanes: list[np.ndarray] = []
+    out_units: list[np.ndarray] = []
+    for t, m in enumerate(_active(len(ids), block)):
+        now = steps[t, :m].astype(np.int64)
+        two, one, share2, both = model.predict(m, last[:m], before[:m])
+        same2, same1 = two == now, one == now
+        hit1 = same1 > same2
+        rest = _WHOLE - both
+        begin = np.where(hit1, share2 << _ZERO, (both << _ZERO) + rest * first.take(now))
+        begin[same2] = 0
+        extent = np.where(same2, share2 << _ZERO, np.where(hit1, both - share2 << _ZERO, rest * size.take(now)))
+        l, w = low[:m], width[:m]
+        w >>= _BITS
+        l += w * begin.view(_U)
+        w *= extent.view(_U)
+        todo = _unsettled(l, w)
+        while len(todo):
+            a, b = l.take(todo), w.take(todo)
+            b = _cut(a, b)
+            out_lanes.append(todo.astype(np.uint16))
+            out_units.append((a >> _U(48)).astype(np.uint16))
+            a <<= _SHIFT
+            b <<= _SHIFT
+            l[todo], w[todo] = a, b
+            todo = todo[_unsettled(a, b)]
+        model.learn(now, same2, same1, hit1)
+        last, before = now, last
+    for k in range(3, -1, -1):
+        out_lanes.append(np.arange(lanes, dtype=np.uint16))
+        out_units.append((low >> _U(16 * k)).astype(np.uint16))
+    place = np.concatenate(out_lanes)
+    units = np.concatenate(out_units)[np.argsort(place, kind="stable")]
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
-    index = np.stack([np.array(sums, np.uint32), counts.astype(np.uint32)], 1)
-    return b"".join(
-        [_HEAD.pack(MAGIC, block, len(ids), len(table)), table, index.astype("<u4").tobytes(), units.astype("<u2").tobytes()]
-    )
+    index = np.stack([np.array(sums, np.uint32), np.bincount(place, minlength=lanes).astype(np.uint32)], 1)
+    head = _HEAD.pack(MAGIC, block, len(ids), len(table))
+    return b"".join([head, table, index.astype("<u4").tobytes(), units.astype("<u2").tobytes()])
 
 
 def decode(data: bytes | memoryview) -> np.ndarray:
@@ -192,56 +204,58 @@ def decode(data: bytes | memoryview) -> np.ndarray:
     at = _HEAD.size
     table = np.frombuffer(zlib.decompress(data[at : at + packed]), "<u4").astype(np.int64)
     known, share = table[: len(table) // 2], table[len(table) // 2 :]
-    start = np.cumsum(share) - share
-    slots = np.repeat(np.arange(len(known), dtype=np.int32), share)
+    place = np.repeat(np.arange(len(known), dtype=np.int32), share)
+    first = np.cumsum(share) - share
     lanes = -(-n // block)
     at += packed
     index = np.frombuffer(data[at : at + 8 * lanes], "<u4").reshape(lanes, 2)
     units = np.frombuffer(data[at + 8 * lanes :], "<u2")
+    # Damaged blocks may read on: a few zeros follow, and reading stays inside.
     units = np.concatenate([units, np.zeros(8, np.uint16)]).astype(_U)
     counts = index[:, 1].astype(np.int64)
     at = np.cumsum(counts) - counts
     code = np.zeros(lanes, _U)
-    for k in range(4):
-        code = code << _SHIFT | units[at + k]
-    at += 4
+    for _ in range(4):
+        code = code << _SHIFT | units.take(at, mode="clip")
+        at += 1
     low, width = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
+    last = before = np.zeros(lanes, np.int64)
     model = _Model(lanes)
     out = np.zeros((block, lanes), np.int32)
-
-    def settle(which: np.ndarray | slice, l: np.ndarray, w: np.ndarray, names: np.ndarray | None) -> None:
-        todo = np.flatnonzero(((l ^ (l + w)) < _TOP) | (w < _BOTTOM))
+    for t, m in enumerate(_active(n, block)):
+        two, one, share2, both = model.predict(m, last[:m], before[:m])
+        l, w = low[:m], width[:m]
+        w >>= _BITS
+        value = ((code[:m] - l) // w).view(np.int64)
+        # What rounding leaves at the end of the range is never coded.
+        np.minimum(value, (1 << _MIX + _ZERO) - 1, out=value)
+        order = value >> _ZERO
+        hit2 = order < share2
+        hit1 = (order < both) > hit2
+        rest = _WHOLE - both
+        k = place.take((value - (both << _ZERO)) // rest, mode="clip")
+        ids = np.where(hit2, two, np.where(hit1, one, known.take(k)))
+        begin = np.where(hit1, share2 << _ZERO, (both << _ZERO) + rest * first.take(k))
+        begin[hit2] = 0
+        extent = np.where(hit2, share2 << _ZERO, np.where(hit1, both - share2 << _ZERO, rest * share.take(k)))
+        l += w * begin.view(_U)
+        w *= extent.view(_U)
+        todo = _unsettled(l, w)
         while len(todo):
-            own = todo if names is None else names[todo]
-            a, b = l[todo], w[todo]
-            b = np.where((a ^ (a + b)) < _TOP, b, (~a + _U(1)) & (_BOTTOM - _U(1)))
-            code[own] = code[own] << _SHIFT | units[at[own]]
-            at[own] += 1
-            a, b = a << _SHIFT, b << _SHIFT
+            a, b = l.take(todo), w.take(todo)
+            b = _cut(a, b)
+            a <<= _SHIFT
+            b <<= _SHIFT
+            where = at.take(todo)
+            code[todo] = code.take(todo) << _SHIFT | units.take(where, mode="clip")
+            at[todo] = where + 1
             l[todo], w[todo] = a, b
-            todo = todo[((a ^ (a + b)) < _TOP) | (b < _BOTTOM)]
-        low[which], width[which] = l, w
-
-    for step, m in enumerate(_active(n, block)):
-        two, one, share2, share1 = model.predict(m)
-        part = width[:m] >> _U(_MIX_BITS)
-        both = share2 + share1
-        offset = code[:m] - low[:m]
-        hit2 = offset < part * share2.astype(_U)
-        hit1 = (offset < part * both.astype(_U)) & ~hit2
-        begin = np.where(hit2, 0, np.where(hit1, share2, both))
-        size = np.where(hit2, share2, np.where(hit1, share1, 65536 - both))
-        settle(slice(0, m), low[:m] + part * begin.astype(_U), part * size.astype(_U), None)
-        ids = np.where(hit2, two, one)
-        rest = np.flatnonzero(~(hit2 | hit1))
-        if len(rest):
-            part = width[rest] >> _U(_ZERO_BITS)
-            value = np.minimum((code[rest] - low[rest]) // part, _U((1 << _ZERO_BITS) - 1))
-            k = slots[value.astype(np.int64)]
-            settle(rest, low[rest] + part * start[k].astype(_U), part * share[k].astype(_U), rest)
-            ids[rest] = known[k]
-        out[step, :m] = ids
-        model.learn(m, ids, hit2, one == ids)
+            todo = todo[_unsettled(a, b)]
+        out[t, :m] = ids
+        # An id may also be coded by order 0 although an order predicts it; learn as the encoder does.
+        same2, same1 = two == ids, one == ids
+        model.learn(ids, same2, same1, same1 > same2)
+        last, before = ids, last
     whole = out.T.reshape(-1)[:n].astype(np.uint32)
     for k in range(lanes):
         if zlib.crc32(whole[k * block : (k + 1) * block].astype("<u4").tobytes()) != index[k, 0]:

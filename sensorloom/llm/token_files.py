@@ -6,7 +6,7 @@ part), the ids and lengths of its documents, and the coded ids; segments are wri
 in the shared folder and are decoded one by one.
 
 Equal texts between spaces encode to equal ids, because the tokenizer of the ``word_bpe`` file
-drops white space and never joins across it.  So each task encodes a distinct piece once and looks
+drops white space and never joins across it.  So a worker encodes a distinct piece once and looks
 it up afterwards; the cache is emptied when it is full.
 
 Defined cases: a null or empty text is only its end id; rows without an id come first; equal ids
@@ -16,8 +16,10 @@ files; further columns do not matter.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,63 +31,101 @@ from sensorloom.llm import id_coder
 from sensorloom.llm.tables import KEY, stage, with_key
 
 END_ID = 2
-SEGMENT_IDS = 1 << 21
-CACHED_PIECES = 300_000
+SEGMENT_IDS = 1 << 22
+CACHED_PIECES = 600_000
 
 
-class _Pieces(dict):
-    """Index of each piece between spaces; unknown pieces are encoded by the library."""
+#: A word of Latin letters and the marks after it: two units of the tokenizer, whose pattern splits
+#: between letters and other characters and whose normaliser only lower-cases these letters.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+_LATIN = re.compile(r"[\x00-\xff]*")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others for the characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class TextEncoder(dict):
+    """Encodes whole texts with a ``word_bpe`` file of the tokenizers library.
+
+    Holds the index of each piece between spaces; unknown pieces are encoded by the library, a plain
+    word by its model, anything else by the whole tokenizer.
+    """
+
+    def __init__(self, path: str, limit: int = CACHED_PIECES) -> None:
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer, limit: int) -> None:
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        self.reset()
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
+        self._reset()
 
-    def reset(self) -> None:
+    def _reset(self) -> None:
         self.clear()
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.pool, self.first, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.new_ids: list[int] = []
+        self.new_counts: list[int] = []
         self[""] = 0
 
+    def _unit(self, text: str) -> list[int]:
+        raw = text.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(raw)]
+
     def __missing__(self, piece: str) -> int:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        k = len(self)
-        if k >= len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.first[k], self.count[k] = self.used, len(ids)
-        self.used += len(ids)
-        self[piece] = k
+        plain = _PLAIN.fullmatch(piece)
+        if plain:
+            word, mark = plain.groups()
+            ids = self._unit(word) + self._unit(mark) if mark else self._unit(word)
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self.new_ids += ids
+        self.new_counts.append(len(ids))
+        self[piece] = k = len(self)
         return k
 
+    def _settle(self) -> None:
+        """Moves what is new into the arrays, which grow by halves."""
+        if not self.new_counts:
+            return
+        known, used = len(self) - len(self.new_counts), int(self.first[0])
+        for name, need in (("pool", used + len(self.new_ids)), ("first", len(self)), ("count", len(self))):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(need // 2 + need - len(have), have.dtype)]))
+        self.pool[used : used + len(self.new_ids)] = self.new_ids
+        self.count[known : len(self)] = self.new_counts
+        self.first[known : len(self)] = used + np.cumsum(self.new_counts) - self.new_counts
+        # The empty piece has no ids; its entry holds the number of ids in use.
+        self.first[0] = used + len(self.new_ids)
+        self.new_ids, self.new_counts = [], []
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
+        if _LATIN.fullmatch(text) and "<|" not in text:
+            # The library lower-cases these characters in the same way; only the strings of special
+            # tokens, which are lower case, must not come about.
+            text = text.lower()
         # A line feed is white space to the tokenizer as a space is.
         at = np.fromiter(map(self.__getitem__, text.replace("\n", " ").split(" ")), np.int64)
+        self._settle()
         count = self.count[at]
         end = np.cumsum(count)
         out = self.pool[np.arange(end[-1]) + np.repeat(self.first[at] - end + count, count)]
         if len(self) > self.limit:
-            self.reset()
+            self._reset()
         return out
 
 
-class TextEncoder:
-    """Encodes whole texts with a file of the tokenizers library."""
-
-    def __init__(self, path: str, limit: int = CACHED_PIECES) -> None:
-        from tokenizers import Tokenizer
-
-        self.pieces = _Pieces(Tokenizer.from_file(path), limit)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.pieces.ids(text)
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> TextEncoder:
+    """One for all tasks of a worker process, so that its cache stays warm."""
+    return TextEncoder(path)
 
 
 _SEGMENT = pa.schema(
@@ -103,7 +143,7 @@ def write(docs: DataFrame, tokenizer_file: str, segment_ids: int = SEGMENT_IDS)
     """Writes the files and returns the table of their segments."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file)
         part, before = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         kept: list[np.ndarray] = []
