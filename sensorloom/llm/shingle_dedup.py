@@ -235,25 +235,16 @@ def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document: ``KEY``, ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    """One row per document: ``KEY``, ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and
+    ``_component``, a number of the component (null without words)."""
     found = stage(_sets(docs, shingle, bands, rows))
-    # A class is named by its smallest id; without any id, by a number from its digest.
-    full = found.where(F.col("_digest").isNotNull())
-    ident = F.coalesce(F.min("doc_id"), F.xxhash64("_digest")).cast("long")
-    classes = stage(
-        full.groupBy("_digest").agg(
-            ident.alias("_node"), F.min(F.struct(*KEY)).alias("_key"), F.first("_bands").alias("_bands")
-        )
-    )
-    # A repeated id with different texts makes its classes one node.
-    same_id = (
-        full.where(F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").cast("long").alias("_a"), "_digest")
-        .join(classes.select("_digest", F.col("_node").alias("_b")), "_digest")
-        .where("_a != _b")
-        .select("_a", "_b")
-    )
-    repeated = same_id.join(classes.select(F.col("_node").alias("_a")), "_a", "left_semi")
+    # A class is named by a number from its digest.
+    full = found.where(F.col("_digest").isNotNull()).withColumn("_node", F.xxhash64("_digest"))
+    classes = stage(full.groupBy("_node").agg(F.min(F.struct(*KEY)).alias("_key"), F.first("_bands").alias("_bands")))
+    # A repeated id links the classes of its texts.
+    named = full.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("_node").alias("_a"))
+    several = named.groupBy("_id").agg(F.min("_a").alias("_b"), F.max("_a").alias("_other")).where("_b != _other")
+    repeated = named.join(several, "_id").where("_a != _b").select("_a", "_b")
     buckets = classes.select("_node", F.posexplode("_bands").alias("_band", "_hash")).select(
         F.xxhash64("_band", "_hash").alias("_bucket"), "_node"
     )
@@ -289,19 +280,24 @@ def near_duplicates(
     rest = stage(labelled.join(open_buckets, "_bucket", "left_semi").select("_bucket", "_node", "_component"))
     more = stage(_cell_links(rest, sets, percent))
     whole = components(links.unionByName(more)) if more.head(1) else first
-    named = classes.select("_digest", "_node").join(whole, "_node", "left")
-    named = named.withColumn("_component", F.coalesce("_component", "_node"))
     own = [*KEY, "doc_id", "n_shingles"]
-    labels = full.select(*own, "_digest").join(named.select("_digest", "_component"), "_digest")
-    # Classes without ids have numbers that are no ids, so the smallest id is taken anew.
+    labels = full.select(*own, "_node").join(whole, "_node", "left")
+    labels = labels.withColumn("_component", F.coalesce("_component", "_node"))
     smallest = labels.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.join(smallest, "_component").select(*own, "component_id")
-    alone = found.where(F.col("_digest").isNull()).select(*own, F.col("doc_id").alias("component_id"))
+    linked = labels.join(smallest, "_component").select(*own, "_component", "component_id")
+    alone = found.where(F.col("_digest").isNull()).select(
+        *own, F.lit(None).cast("long").alias("_component"), F.col("doc_id").alias("component_id")
+    )
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near duplicates: of each component its kept row, one of equal rows."""
-    kept = near_duplicates(docs, **options).where("kept").select(*KEY).distinct()
-    keyed = with_key(docs).withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0))))
-    return keyed.where("_nth = 1").join(kept, KEY, "left_semi").select(*docs.columns)
+    """One document of each component, the one with the smallest id, and one of equal rows."""
+    kept = near_duplicates(docs, **options).where("kept")
+    linked = kept.where(F.col("_component").isNotNull()).groupBy("_component").agg(F.min(F.struct(*KEY)).alias("_k"))
+    alone = kept.where(F.col("_component").isNull()).select(*KEY).distinct()
+    chosen = linked.select("_k.*").unionByName(alone)
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))
+    return (
+        with_key(docs).join(chosen, KEY, "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    )
