@@ -157,14 +157,13 @@ def change_points(
     window_rows: int = 96,
     least_days: int = 5,
     penalty: float = 8.0,
-    top: int = 8,
 ) -> DataFrame:
     """Regime changes inside complete runs.
 
     Each bucket compares the day before with the day after it.  A change is a
     local maximum of the standardised difference, one day apart from better
-    ones, whose squared-error gain exceeds ``penalty * ln(run length)``; at most
-    ``top`` per run, as in the published report.
+    ones, whose squared-error gain exceeds ``penalty * ln(run length)``.  ``rank``
+    orders the changes of a run, the largest first.
     """
     by = s.by("channel")
     keys = [*by.keys, "run"]
@@ -210,7 +209,7 @@ def change_points(
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_score").desc(), "_us"))
     shift = F.col("_mp") >= F.col("_vp")
-    return best.withColumn("_rank", rank).where(F.col("_rank") <= top).select(
+    return best.withColumn("rank", rank).select(
         *by.keys,
         F.col(s.ts).alias("change_timestamp"),
         F.when(shift, "MEAN_SHIFT").otherwise("VARIANCE_SHIFT").alias("change_type"),
@@ -220,6 +219,7 @@ def change_points(
             "magnitude"
         ),
         F.col("_mp").alias("standardized_magnitude"),
+        "rank",
     )
 
 
@@ -354,7 +354,9 @@ def isolation_forest(
 ) -> DataFrame:
     """Isolation score per complete row and a flag for the most isolated share.
 
-    Trees are grown per key on a hashed sample of bounded size.  Rows are scored
+    Each tree has a sample of its own, drawn by hash from all rows of its key: the
+    ``trees * sample`` rows with the smallest hashes, cut into one part per tree;
+    where a key has fewer rows, each tree draws from all of them.  Rows are scored
     in parts of bounded size that each receive a copy of their key's trees, so a
     hot key is scored by many tasks; the threshold is an exact quantile.
     """
@@ -367,10 +369,9 @@ def isolation_forest(
     complete = df.na.drop(subset=channels).select(*keys, s.ts, *channels)
     sizes = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     complete = complete.join(sizes.where(F.col("_size") >= minimum).select(*keys), keys, "left_semi")
-    pool = sample * 16
     order = F.xxhash64(F.col(s.ts).cast("string"), *channels)
     picked = top_per_group(
-        complete.withColumn("_o", order), keys, pool, F.col("_o"), F.col(s.ts)
+        complete.withColumn("_o", order), keys, trees * sample, F.col("_o"), F.col(s.ts)
     ).withColumnRenamed("rank", "_rn")
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
@@ -381,9 +382,16 @@ def isolation_forest(
         points = pdf[channels].to_numpy(float)
         size = min(sample, len(points))
         limit = math.ceil(math.log2(max(size, 2)))
+        enough = len(points) >= trees * sample
         grown = [
-            _grow_tree(points[rng.choice(len(points), size, replace=False)], rng, limit)
-            for _ in range(trees)
+            _grow_tree(
+                points[i * size : (i + 1) * size]
+                if enough
+                else points[rng.choice(len(points), size, replace=False)],
+                rng,
+                limit,
+            )
+            for i in range(trees)
         ]
         out = pdf[keys].head(1).copy()
         out["forest"] = json.dumps({"size": size, "trees": grown})

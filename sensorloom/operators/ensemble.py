@@ -32,13 +32,6 @@ def strict_rows(wide: DataFrame, models: Sequence[str]) -> DataFrame:
     return wide.na.drop(subset=["actual", *[f"prediction_{m}" for m in models]])
 
 
-def melt_predictions(wide: DataFrame, models: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    renamed = wide.select(*ids, *[F.col(f"prediction_{m}").alias(m) for m in models])
-    return renamed.unpivot(list(ids), list(models), "model", "predicted").where(
-        F.col("predicted").isNotNull()
-    )
-
-
 def equal_average(wide: DataFrame, models: Sequence[str], out: str = "predicted") -> DataFrame:
     """Mean over the models that predicted the row."""
     values = F.array_compact(F.array(*[F.col(f"prediction_{m}") for m in models]))

@@ -20,10 +20,6 @@ from sensorloom.operators.series import Series, micros, with_ordinal
 from sensorloom.sources.staging import stage
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-
-
 def one_to_one_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join that fails when a key repeats on either side.
 
@@ -419,7 +415,3 @@ def cluster_profiles(
 
 def as_vector(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
-
-
-def as_array(vector: str) -> Column:
-    return vector_to_array(F.col(vector))

@@ -328,22 +328,22 @@ def sensor_quality_summary(
         " ",
         F.when(
             F.col("longest_gap_hours") >= 24,
-            F.format_string("Longest outage is %.1f hours.", "longest_gap_hours"),
+            F.format_string("gap of %.1f h", "longest_gap_hours"),
         ),
         F.when(
             F.col("drift_periods") > 0,
-            F.format_string("%d baseline-shift period(s).", "drift_periods"),
+            F.format_string("drift runs: %d", "drift_periods"),
         ),
         F.when(
             F.col("flatline_events") > 0,
-            F.format_string("%d low-variance or identical-value pattern(s).", "flatline_events"),
+            F.format_string("flat runs: %d", "flatline_events"),
         ),
         F.when(
-            F.col("jump_count") > 0, F.format_string("%d sudden-change flag(s).", "jump_count")
+            F.col("jump_count") > 0, F.format_string("jumps: %d", "jump_count")
         ),
     )
     return out.withColumn(
         "statuses", F.when(F.size(found) > 0, found).otherwise(F.array(calm))
     ).withColumn(
-        "explanation", F.when(reasons != "", reasons).otherwise("No major findings.")
+        "explanation", F.when(reasons != "", reasons).otherwise("nothing found")
     )

@@ -394,12 +394,12 @@ def to_long(df: DataFrame, ids: Sequence[str], channels: Sequence[str]) -> DataF
 
 
 def stride_sample(df: DataFrame, s: Series, max_points: int) -> DataFrame:
-    """Every k-th row of each series, so that it has at most about ``max_points``."""
+    """Every k-th row of each series, first to last, with k the least that leaves ``max_points``."""
     numbered = with_ordinal(df, s)
-    sizes = stage(df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / max_points))
+    sizes = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("_n") / max_points))
     return (
         numbered.join(sizes, list(s.keys))
-        .where((F.pmod("_ord", step) == 0) & (F.col("_ord") / step < max_points))
+        .where(F.pmod("_ord", step) == 0)
         .drop("_n", "_blk", "_us", "_ord")
     )

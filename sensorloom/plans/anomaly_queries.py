@@ -70,9 +70,9 @@ cp AS (SELECT *, max(score) OVER (PARTITION BY sensor_id, channel, run ORDER BY
               max(score) OVER (PARTITION BY sensor_id, channel, run ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS earlier FROM cs),
 changes AS (SELECT sensor_id, channel, ts AS change_timestamp, CASE WHEN mp >= vp THEN 'MEAN_SHIFT' ELSE 'VARIANCE_SHIFT' END AS change_type,
     CASE WHEN mp >= vp THEN m0 ELSE v0 END AS before_statistic, CASE WHEN mp >= vp THEN m1 ELSE v1 END AS after_statistic,
-    CASE WHEN mp >= vp THEN m1 - m0 ELSE v1 - v0 END AS magnitude, mp AS standardized_magnitude
-  FROM cp WHERE score = peak AND (earlier IS NULL OR earlier < score) AND 24 * score * score / 2 >= 2.0 * ln(n)
-  QUALIFY row_number() OVER (PARTITION BY sensor_id, channel, run ORDER BY score DESC, ts) <= 8)"""
+    CASE WHEN mp >= vp THEN m1 - m0 ELSE v1 - v0 END AS magnitude, mp AS standardized_magnitude,
+    CAST(row_number() OVER (PARTITION BY sensor_id, channel, run ORDER BY score DESC, ts) AS INTEGER) AS rank
+  FROM cp WHERE score = peak AND (earlier IS NULL OR earlier < score) AND 24 * score * score / 2 >= 2.0 * ln(n))"""
 
 
 def changes(obs):
@@ -199,7 +199,7 @@ w AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY sensor_id OR
       FROM readings WINDOW f AS (PARTITION BY sensor_id ORDER BY ts RANGE BETWEEN INTERVAL '21599.999999 seconds' PRECEDING AND CURRENT ROW))
 SELECT sensor_id, ts, value AS raw, CASE WHEN c >= 2 THEN m END AS mean, CASE WHEN c >= 2 THEN md END AS median,
        CASE WHEN c >= 2 THEN mn END AS min, CASE WHEN c >= 2 THEN mx END AS max
-FROM w WHERE o % greatest(1, n // 1200) = 0 AND o // greatest(1, n // 1200) < 1200""", "raw mean:8 median min max"))
+FROM w WHERE o % greatest(1, CAST(ceil(n / 1200.0) AS BIGINT)) = 0""", "raw mean:8 median min max"))
 def _(spark, sf):
     stats = ["mean", "median", "min", "max", "count"]
     rows = readings(spark, sf)

@@ -167,7 +167,7 @@ def _(spark, sf):
 
 
 @query("duplicate_audit", sql(READINGS, """,
-r AS (SELECT user_id AS sensor_id, date_trunc('hour', ts) AS ts, sensor_id AS kind, value FROM readings),
+r AS (SELECT user_id AS sensor_id, date_trunc('hour', ts) AS ts, event_type AS kind, value FROM readings),
 f AS (SELECT count(*) AS c FROM r GROUP BY sensor_id, ts, kind, value),
 t AS (SELECT count(*) AS c FROM r GROUP BY ts),
 k AS (SELECT count(*) AS c FROM r GROUP BY sensor_id, ts),
@@ -399,10 +399,10 @@ SELECT *,
       CASE WHEN flatline_events > 0 THEN 'Possible Stuck Pattern' END], lambda x: x IS NOT NULL), '; ')
     WHEN jump_count > 0 OR missing_rate > 1 THEN 'Needs Review' ELSE 'Healthy-looking' END AS statuses,
   coalesce(nullif(concat_ws(' ',
-    CASE WHEN longest_gap_hours >= 24 THEN printf('Longest outage is %.1f hours.', longest_gap_hours) END,
-    CASE WHEN drift_periods > 0 THEN printf('%d baseline-shift period(s).', drift_periods) END,
-    CASE WHEN flatline_events > 0 THEN printf('%d low-variance or identical-value pattern(s).', flatline_events) END,
-    CASE WHEN jump_count > 0 THEN printf('%d sudden-change flag(s).', jump_count) END), ''), 'No major findings.') AS explanation
+    CASE WHEN longest_gap_hours >= 24 THEN printf('gap of %.1f h', longest_gap_hours) END,
+    CASE WHEN drift_periods > 0 THEN printf('drift runs: %d', drift_periods) END,
+    CASE WHEN flatline_events > 0 THEN printf('flat runs: %d', flatline_events) END,
+    CASE WHEN jump_count > 0 THEN printf('jumps: %d', jump_count) END), ''), 'nothing found') AS explanation
 FROM base""", "missing_rate"))
 def _(spark, sf):
     obs = hourly(spark, sf)

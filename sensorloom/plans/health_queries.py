@@ -197,7 +197,7 @@ def _(spark, sf):
 
 @query("health_summary", sql(PLONG + SCORE, """
 SELECT sensor_id, count(*) AS evaluated, """ + ", ".join(
-    f"round(100.0::DOUBLE * count(*) FILTER (status = '{s}') / count(*), 3) AS {s.lower()}_percent" for s in H.STATUS_SUMMARY) + """,
+    f"round(100.0::DOUBLE * count(*) FILTER (status = '{s}') / count(*), 3) AS {s.lower()}_percent" for s in H.STATUSES) + """,
   min(health_score) AS lowest_score, arg_max(status, ts) AS current_status, arg_max(health_score, ts) AS current_score, max(ts) AS current_timestamp
 FROM history GROUP BY sensor_id"""))
 def _(spark, sf):

@@ -525,9 +525,9 @@ fc AS (SELECT sensor_id, city, ts, horizon, predicted AS forecast, predicted + s
    greatest(0, floor(predicted_health_average * 10.0::DOUBLE) / 10.0::DOUBLE) AS c
   FROM base JOIN lim USING (horizon)),
 report AS (SELECT * EXCLUDE (c), {AQI_SQL} AS aqi, {AQI_CAT} AS aqi_category,
-  CASE WHEN point_level = 'Normal' AND risk_level IN ('Elevated', 'High') THEN 'Safety upper estimate crossed historical high-PM threshold'
-       WHEN point_level = 'Elevated' AND risk_level = 'High' THEN 'Safety adjustment raised risk from Elevated to High'
-       ELSE 'Point forecast and safety estimate are in compatible risk ranges' END AS trigger FROM fc)"""
+  CASE WHEN point_level = 'Normal' AND risk_level IN ('Elevated', 'High') THEN 'only the upper estimate passes a historical bound'
+       WHEN point_level = 'Elevated' AND risk_level = 'High' THEN 'the margin lifts the level by one step'
+       ELSE 'point and upper estimate agree' END AS trigger FROM fc)"""
 
 
 @query("risk_level", sql(SEG + FORECASTS, "SELECT sensor_id, ts, horizon, point_level, risk_level, trigger FROM report"))

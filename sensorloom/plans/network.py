@@ -1,8 +1,9 @@
 """Views of the driver tables as a sensor network, for Spark and for SQL.
 
-Each event type is a sensor; its events are raw readings.  ``observations`` is
-the hourly table the analytics run on.  ``user_readings`` reads each user as a
-sparse sensor.
+Each event type of each group of ``GROUP_USERS`` users is a sensor, so the number
+of sensors grows with the data while each series stays dense; the first group's
+sensors have the plain type as name.  ``observations`` is the hourly table the
+analytics run on.  ``user_readings`` reads each user as a sparse sensor.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from sensorloom.sources.staging import stage
 EAST = ("click", "signup", "view")
 CHANNELS = ["pm25", "temperature", "humidity", "no2", "o3", "aqi"]
 CORE = ["pm25", "temperature", "humidity"]
+GROUP_USERS = 500
 
 HOURLY = Series(cadence_minutes=60, gap_minutes=90)
 RAW = Series(ties=("event_id",), cadence_minutes=15, gap_minutes=90)
@@ -42,8 +44,13 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
+    group = F.floor(F.col("user_id") / GROUP_USERS)
+    sensor = F.when(group == 0, F.col("event_type")).otherwise(
+        F.concat_ws("-", "event_type", group.cast("string"))
+    )
     return table(spark, sf, "events").select(
-        F.col("event_type").alias("sensor_id"),
+        sensor.alias("sensor_id"),
+        "event_type",
         F.when(F.col("event_type").isin(*EAST), "east").otherwise("west").alias("city"),
         "ts",
         "event_id",
@@ -82,13 +89,14 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 def user_readings(spark: SparkSession, sf: str) -> DataFrame:
     return readings(spark, sf).select(
-        F.col("user_id").alias("sensor_id"), "ts", "event_id", F.col("sensor_id").alias("kind"),
+        F.col("user_id").alias("sensor_id"), "ts", "event_id", F.col("event_type").alias("kind"),
         "value", "k",
     )
 
 
-READINGS = """readings AS (
-  SELECT event_type AS sensor_id,
+READINGS = f"""readings AS (
+  SELECT CASE WHEN user_id // {GROUP_USERS} = 0 THEN event_type
+              ELSE event_type || '-' || (user_id // {GROUP_USERS}) END AS sensor_id, event_type,
          CASE WHEN event_type IN ('click', 'signup', 'view') THEN 'east' ELSE 'west' END AS city,
          ts, event_id, user_id, value,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k

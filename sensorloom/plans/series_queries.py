@@ -125,8 +125,8 @@ def _(spark, sf):
 @query("stride_sample", sql(OBS, """,
 numbered AS (SELECT sensor_id, ts, pm25, row_number() OVER (PARTITION BY sensor_id ORDER BY ts) - 1 AS o,
                     count(*) OVER (PARTITION BY sensor_id) AS n FROM obs),
-stepped AS (SELECT *, greatest(1, n // 200) AS step FROM numbered)
-SELECT sensor_id, ts, pm25 FROM stepped WHERE o % step = 0 AND o // step < 200""", "pm25"))
+stepped AS (SELECT *, greatest(1, CAST(ceil(n / 200.0) AS BIGINT)) AS step FROM numbered)
+SELECT sensor_id, ts, pm25 FROM stepped WHERE o % step = 0""", "pm25"))
 def _(spark, sf):
     out = S.stride_sample(observations(spark, sf), HOURLY, 200)
     return rounded(out.select("sensor_id", "ts", "pm25"))

@@ -415,7 +415,7 @@ def _(spark, sf):
 centred AS (SELECT sensor_id, channel, ts, value - avg(value) OVER (PARTITION BY sensor_id, channel) AS c,
                    count(*) OVER (PARTITION BY sensor_id, channel) AS n FROM longest),
 gamma AS (SELECT a.sensor_id, a.channel, any_value(a.n) AS n, k, coalesce(sum(a.c * b.c), 0) AS g
-          FROM centred a CROSS JOIN (SELECT unnest(range(0, 13)) AS k)
+          FROM centred a CROSS JOIN (SELECT unnest(range(0, 25)) AS k)
           LEFT JOIN centred b ON a.sensor_id = b.sensor_id AND a.channel = b.channel AND b.ts = a.ts - to_hours(k) GROUP BY ALL),
 rho AS (SELECT sensor_id, channel, any_value(n) AS n, list(g / g0 ORDER BY k) AS r
         FROM gamma JOIN (SELECT sensor_id, channel, g AS g0 FROM gamma WHERE k = 0) USING (sensor_id, channel)
@@ -424,11 +424,11 @@ dl AS (SELECT sensor_id, channel, n, r, 1 AS lag, [r[1]] AS phi FROM rho UNION A
        SELECT sensor_id, channel, n, r, lag + 1,
               list_concat([phi[j] - last * phi[lag + 1 - j] for j in range(1, lag + 1)], [last])
        FROM (SELECT *, (r[lag + 1] - list_sum([phi[j] * r[lag + 1 - j] for j in range(1, lag + 1)]))
-                       / (1 - list_sum([phi[j] * r[j] for j in range(1, lag + 1)])) AS last FROM dl WHERE lag < 12))
+                       / (1 - list_sum([phi[j] * r[j] for j in range(1, lag + 1)])) AS last FROM dl WHERE lag < 24))
 SELECT sensor_id, channel, n, lag, round(phi[lag], 6) AS pacf FROM dl""")
 def _(spark, sf):
     runs = R.longest_run(filled(hourly(spark, sf)), HOURLY)
-    return rounded(R.partial_autocorrelation(runs, HOURLY, 12))
+    return rounded(R.partial_autocorrelation(runs, HOURLY, 24))
 
 
 SENSOR_PAIRS = """,

@@ -21,24 +21,29 @@ from sensorloom.streaming import windows as W
 QUERIES, SQL, query = query_table()
 
 
+#: Rows of a file of a feed.
+FILE_ROWS = 100_000
+
+
 def as_stream(df, slices: int = 4):
-    """A table as a stream of files, one micro-batch per slice of its time span.
+    """A table as a stream of files, about one micro-batch per slice of its time span.
 
     The file source takes files in the order they were written, so the slices are
-    written one after the other.
+    written one after the other, each by as many tasks as its rows ask for.
     """
     spark = df.sparkSession
     W.use_rocksdb(spark)
     rows = stage(df)
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    low, high, count = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    files = max(1, -(-count // (slices * FILE_ROWS)))
     path = f"{staging_folder(spark)}/feed-{uuid.uuid4().hex}"
     for i in range(slices):
         start, end = low + (high - low) * i / slices, low + (high - low) * (i + 1) / slices
         inside = (F.col("ts") >= F.lit(start)) & (
             (F.col("ts") < F.lit(end)) if i < slices - 1 else F.lit(True)
         )
-        rows.where(inside).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(inside).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def reading_stream(spark, sf):

@@ -136,30 +136,3 @@ def read_predictions(spark: SparkSession, base: str, models: Sequence[str]) -> D
 PREDICTION_PREFIXES = ["prediction_", "pred_"]
 PREDICTION_SUFFIXES = ["_prediction", "_pred"]
 ACTUAL_NAMES = ["actual", "y_true", "target_actual", "actual_value", "true_value"]
-
-
-def discover_predictions(columns: Sequence[str]) -> list[str]:
-    """Prediction columns of a wide archive, by name."""
-    return [
-        c
-        for c in columns
-        if c.lower().startswith(tuple(PREDICTION_PREFIXES))
-        or c.lower().endswith(tuple(PREDICTION_SUFFIXES))
-    ]
-
-
-def discover_actual(columns: Sequence[str]) -> str:
-    for name in ACTUAL_NAMES:
-        if name in columns:
-            return name
-    raise ValueError(f"no actual column among {list(columns)}")
-
-
-def feature_columns(df: DataFrame, excluded: Sequence[str], prefixes: Sequence[str]) -> list[str]:
-    """Numeric columns that are neither excluded nor named with a target prefix."""
-    numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
-    return [
-        c
-        for c, t in df.dtypes
-        if t in numeric and c not in excluded and not any(c.startswith(p) for p in prefixes)
-    ]

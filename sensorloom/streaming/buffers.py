@@ -63,8 +63,8 @@ def _plan_channels(plan: FeaturePlan) -> list[str]:
 class HistoryBuffer(StatefulProcessor):
     """Bounded history of one sensor; reset by a gap or by time not advancing."""
 
-    def __init__(self, plan: FeaturePlan, s: Series, max_rows: int):
-        self.plan, self.s, self.max_rows = plan, s, max_rows
+    def __init__(self, plan: FeaturePlan, s: Series, max_hours: int):
+        self.plan, self.s, self.reach = plan, s, max_hours * 60 * MINUTE
         self.channels = _plan_channels(plan)
 
     def init(self, handle) -> None:
@@ -91,7 +91,9 @@ class HistoryBuffer(StatefulProcessor):
             if reset:
                 history, number = [], number + 1
             values = [None if v is None or np.isnan(v) else float(v) for v in row[1:]]
-            history = [*history, (us, *values)][-self.max_rows:]
+            # By time, not by rows: a sensor may report faster than its cadence.
+            history = [h for h in history if us - h[0] <= self.reach]
+            history.append((us, *values))
             times = np.array([h[0] for h in history])
             columns = {
                 c: np.array([np.nan if h[i + 1] is None else h[i + 1] for h in history], dtype=float)
@@ -132,9 +134,8 @@ def live_features(
         ]
     )
     rows = stream.select("sensor_id", micros("ts").alias("us"), *channels)
-    max_rows = max_hours * 60 // s.cadence_minutes + 1
     live = rows.groupBy("sensor_id").transformWithStateInPandas(
-        statefulProcessor=HistoryBuffer(plan, s, max_rows),
+        statefulProcessor=HistoryBuffer(plan, s, max_hours),
         outputStructType=output,
         outputMode="Append",
         timeMode="None",

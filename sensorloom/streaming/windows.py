@@ -87,7 +87,3 @@ def run_to_end(
 
 def as_ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
-
-
-def latest_watermark(df: DataFrame, late: str) -> Column:
-    return F.max("ts") - F.expr(f"INTERVAL {late}")
