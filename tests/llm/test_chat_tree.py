@@ -41,6 +41,15 @@ def test_read_back(spark):
     assert chat_tree.read_back(chat_tree.build(table(spark, []))).count() == 0
 
 
+def test_a_long_conversation_is_one_segment(spark):
+    rows = [(1, i, "user", f"t{i}") for i in range(1500)] + [(2, 0, "user", "t0"), (2, 1, "assistant", "x")]
+    tree = chat_tree.build(table(spark, rows))
+    assert {len(r.path) for r in tree.leaves.collect()} == {2}
+    assert tree.nodes.count() == 1501
+    got = {r[0]: tuple(r[1:]) for r in chat_tree.read_back(tree).collect()}
+    assert got == brute(rows)
+
+
 def test_shared_turns_are_emitted_once_and_depth_first(spark):
     nodes = {r.node: r for r in chat_tree.build(table(spark, ROWS)).nodes.collect()}
     # hello; its answer; both third turns and a fourth; the empty answer; 5's two; the null
@@ -51,9 +60,8 @@ def test_shared_turns_are_emitted_once_and_depth_first(spark):
     open_path = []
     for r in order:
         assert r.emit_end - r.emit_start == r.length == len(r.formatted)
-        while open_path and open_path[-1].node != r.parent:
-            open_path.pop()
-        assert (r.parent is None) == (not open_path)
+        open_path = open_path[: r.turn_number - 1]
+        assert len(open_path) == r.turn_number - 1
         assert r.position == sum(a.length for a in open_path)
         spans = [(a.emit_start, a.emit_end) for a in open_path]
         merged = []
