@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import alerts as A
 from sensorloom.operators import health as H
-from sensorloom.plans.audit_queries import IDS, PLONG, cleaned
+from sensorloom.plans.audit_queries import FLAGGED, IDS, PLONG, cleaned
 from sensorloom.plans.model_queries import FORECASTS, SEG, report
 from sensorloom.plans.network import (
     CHANNELS, HOURLY, OBS, hourly, query_table, rounded, sql,
@@ -226,16 +226,31 @@ def _(spark, sf):
     return blocks.drop("first_evidence", "last_evidence")
 
 
-@query("flag_agreement")
+FLAG_PAIRS = {
+    "jump_flag": "jump_flag", "flatline_flag": "flatline_flag",
+    "possible_drift_flag": "possible_drift_flag", "sampling_gap_flag": "gap_flag",
+    "suspicious_value_flag": "suspicious_value_flag",
+}
+AGREEMENT = f"""
+WITH c AS (WITH {FLAGGED} SELECT * FROM cleaned), h AS (WITH {PLONG + SCORE} SELECT * FROM history),
+p AS (SELECT unnest([{', '.join(f"'{a}'" for a in FLAG_PAIRS)}]) AS flag,
+             unnest([{', '.join(f'c.{a}' for a in FLAG_PAIRS)}]) AS old,
+             unnest([{', '.join(f'h.{b} = 1' for b in FLAG_PAIRS.values())}]) AS new
+      FROM c JOIN h ON c.sensor_id = h.sensor_id AND c.ts = h.ts WHERE h.source_row_present = 1)
+SELECT flag, count(*) AS rows_compared, count(*) FILTER (old) AS existing_positive,
+       count(*) FILTER (new) AS engine_positive, count(*) FILTER (old AND new) AS both_positive,
+       round(100.0::DOUBLE * count(*) FILTER (old = new) / count(*), 3) AS agreement_percent,
+       CASE WHEN count(*) FILTER (old) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (old AND new) / count(*) FILTER (old), 3) END AS existing_detected_percent,
+       CASE WHEN count(*) FILTER (new) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (old AND new) / count(*) FILTER (new), 3) END AS engine_matching_percent
+FROM p GROUP BY flag"""
+
+
+@query("flag_agreement", AGREEMENT)
 def _(spark, sf):
     obs = hourly(spark, sf)
     history = H.health_history(scored(obs), HOURLY).where("source_row_present = 1")
     old = cleaned(obs)
-    pairs = {
-        "jump_flag": "jump_flag", "flatline_flag": "flatline_flag",
-        "possible_drift_flag": "possible_drift_flag", "sampling_gap_flag": "gap_flag",
-        "suspicious_value_flag": "suspicious_value_flag",
-    }
+    pairs = FLAG_PAIRS
     before = old.select("sensor_id", "ts", *[F.col(c).alias(f"_o_{c}") for c in pairs])
     cells = F.array(*[
         F.struct(F.lit(a).alias("flag"), F.col(f"_o_{a}").alias("old"), (F.col(b) == 1).alias("new"))

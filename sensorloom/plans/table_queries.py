@@ -248,7 +248,8 @@ def _(spark, sf):
 
 
 @query("cluster_profiles", """
-WITH e AS (SELECT label AS cluster, unnest(['e0', 'e1', 'e2']) AS channel, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE]) AS value FROM embeddings),
+WITH e AS (SELECT label AS cluster, 'e' || (i - 1) AS channel, embedding[i]::DOUBLE AS value
+      FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 o AS (SELECT channel, avg(value) AS m, stddev_samp(value) AS s FROM e GROUP BY ALL),
 p AS (SELECT cluster, channel, count(*) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
              (avg(value) - any_value(m)) / any_value(s) AS standardized, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM embeddings) AS share
@@ -256,11 +257,13 @@ p AS (SELECT cluster, channel, count(*) AS count, avg(value) AS mean, stddev_sam
 SELECT cluster, channel, count, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(standardized, 6) AS standardized,
        round(share, 6) AS share, row_number() OVER (PARTITION BY cluster ORDER BY abs(standardized) DESC, channel) <= 2 AS distinguishing FROM p""")
 def _(spark, sf):
-    rows = table(spark, sf, "embeddings").select(
+    rows = table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0])]
+    wide = rows.select(
         F.col("label").alias("cluster"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)],
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
     )
-    return rounded(ml.cluster_profiles(rows, ["e0", "e1", "e2"]))
+    return rounded(ml.cluster_profiles(wide, names))
 
 
 FEATURES = ["pm25", "temperature", "humidity", "pm25_lag_1h", "pm25_lag_3h", "pm25_mean_3h", "sin_hour", "cos_hour"]
