@@ -9,11 +9,12 @@ lockstep as lanes of array operations.  For each id three predictions share the
 * order 0: the id frequencies of the segment, stored in its header, on what the others leave.
 
 The shares of order 2 and order 1 are weights that adapt per block, one pair for each state of both
-confidences and of their agreement.  The coder has 64 bits of state and emits 16 bits at a time; if
-its range gets short before the leading bits agree, the range is cut, so carries never occur.
+confidences and of their agreement.  The coder has 64 bits of state and emits 32 bits whenever its
+range falls below 2**32; a range that reaches over a multiple of 2**32 is cut there, so carries
+never occur.
 
 Segment: ``magic, block length, ids, table bytes`` (little-endian ``4s I Q I``), the zlib-packed id
-table (ids and frequencies as unsigned 32-bit), per block its CRC and number of 16-bit units
+table (ids and frequencies as unsigned 32-bit), per block its CRC and number of 32-bit units
 (``I I``), then the units of all blocks.
 """
 
@@ -24,18 +25,17 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR2"
-BLOCK = 1024
+MAGIC = b"CMR3"
+BLOCK = 512
 _HEAD = struct.Struct("<4sIQI")
 
 _U = np.uint64
-_TOP, _BOTTOM = _U(1) << _U(48), _U(1) << _U(32)
-_SHIFT = _U(16)
+_BOTTOM, _SHIFT = _U(1) << _U(32), _U(32)
 #: Bits of the shares of the orders, and of the id frequencies below them.
 _MIX, _ZERO = 12, 17
 _WHOLE = 1 << _MIX
 _BITS = _U(_MIX + _ZERO)
-_SLOTS = 512
+_SLOTS = 256
 #: Weights, in 65536ths: bounds that leave every order a share, and the first ones by confidence.
 _LEAST, _MOST = 256, 61440
 _FIRST2 = np.array([12000, 26000, 40000, 50000])
@@ -100,9 +100,8 @@ class _Model:
             (self.after1, self.slot1, self.entry1, self.sure1, same1),
             (self.after2, self.slot2, self.entry2, self.sure2, same2),
         ):
-            other = np.where(sure > 0, entry - 1, fresh)
             entry += sure < 3
-            table[slot] = np.where(same, entry, other)
+            table[slot] = np.where(same, entry, fresh)
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +129,9 @@ def _rows(values: np.ndarray, block: int) -> np.ndarray:
     return np.ascontiguousarray(full.reshape(-1, block).T)
 
 
-def _unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
-
-
 def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """The range; without what lies beyond the next multiple of _BOTTOM if leading bits differ."""
-    short = (_U(0) - low) & (_BOTTOM - _U(1))
-    return np.where((low ^ (low + width)) < _TOP, width, short)
+    """The range up to the next multiple of _BOTTOM."""
+    return np.minimum(width, (_U(0) - low - _U(1) & _BOTTOM - _U(1)) + _U(1))
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -164,33 +158,29 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         hit1 = same1 > same2
         rest = _WHOLE - both
         begin = np.where(hit1, share2 << _ZERO, (both << _ZERO) + rest * first.take(now))
-        begin[same2] = 0
+        begin *= ~same2
         extent = np.where(same2, share2 << _ZERO, np.where(hit1, both - share2 << _ZERO, rest * size.take(now)))
         l, w = low[:m], width[:m]
         w >>= _BITS
         l += w * begin.view(_U)
         w *= extent.view(_U)
-        todo = _unsettled(l, w)
-        while len(todo):
-            a, b = l.take(todo), w.take(todo)
-            b = _cut(a, b)
-            out_lanes.append(todo.astype(np.uint16))
-            out_units.append((a >> _U(48)).astype(np.uint16))
-            a <<= _SHIFT
-            b <<= _SHIFT
-            l[todo], w[todo] = a, b
-            todo = todo[_unsettled(a, b)]
+        todo = np.flatnonzero(w < _BOTTOM)
+        a = l.take(todo)
+        out_lanes.append(todo.astype(np.uint16))
+        out_units.append((a >> _SHIFT).astype(np.uint32))
+        w[todo] = _cut(a, w.take(todo)) << _SHIFT
+        l[todo] = a << _SHIFT
         model.learn(now, same2, same1, hit1)
         last, before = now, last
-    for k in range(3, -1, -1):
+    for unit in (low >> _SHIFT, low & _BOTTOM - _U(1)):
         out_lanes.append(np.arange(lanes, dtype=np.uint16))
-        out_units.append((low >> _U(16 * k)).astype(np.uint16))
+        out_units.append(unit.astype(np.uint32))
     place = np.concatenate(out_lanes)
     units = np.concatenate(out_units)[np.argsort(place, kind="stable")]
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
     index = np.stack([np.array(sums, np.uint32), np.bincount(place, minlength=lanes).astype(np.uint32)], 1)
     head = _HEAD.pack(MAGIC, block, len(ids), len(table))
-    return b"".join([head, table, index.astype("<u4").tobytes(), units.astype("<u2").tobytes()])
+    return b"".join([head, table, index.astype("<u4").tobytes(), units.astype("<u4").tobytes()])
 
 
 def decode(data: bytes | memoryview) -> np.ndarray:
@@ -209,13 +199,13 @@ def decode(data: bytes | memoryview) -> np.ndarray:
     lanes = -(-n // block)
     at += packed
     index = np.frombuffer(data[at : at + 8 * lanes], "<u4").reshape(lanes, 2)
-    units = np.frombuffer(data[at + 8 * lanes :], "<u2")
-    # Damaged blocks may read on: a few zeros follow, and reading stays inside.
-    units = np.concatenate([units, np.zeros(8, np.uint16)]).astype(_U)
+    units = np.frombuffer(data[at + 8 * lanes :], "<u4")
+    # Damaged blocks may read on; a few zeros follow, and reading stays inside.
+    units = np.concatenate([units, np.zeros(2, np.uint32)]).astype(_U)
     counts = index[:, 1].astype(np.int64)
     at = np.cumsum(counts) - counts
     code = np.zeros(lanes, _U)
-    for _ in range(4):
+    for _ in range(2):
         code = code << _SHIFT | units.take(at, mode="clip")
         at += 1
     low, width = np.zeros(lanes, _U), np.full(lanes, ~_U(0), _U)
@@ -236,21 +226,17 @@ def decode(data: bytes | memoryview) -> np.ndarray:
         k = place.take((value - (both << _ZERO)) // rest, mode="clip")
         ids = np.where(hit2, two, np.where(hit1, one, known.take(k)))
         begin = np.where(hit1, share2 << _ZERO, (both << _ZERO) + rest * first.take(k))
-        begin[hit2] = 0
+        begin *= ~hit2
         extent = np.where(hit2, share2 << _ZERO, np.where(hit1, both - share2 << _ZERO, rest * share.take(k)))
         l += w * begin.view(_U)
         w *= extent.view(_U)
-        todo = _unsettled(l, w)
-        while len(todo):
-            a, b = l.take(todo), w.take(todo)
-            b = _cut(a, b)
-            a <<= _SHIFT
-            b <<= _SHIFT
-            where = at.take(todo)
-            code[todo] = code.take(todo) << _SHIFT | units.take(where, mode="clip")
-            at[todo] = where + 1
-            l[todo], w[todo] = a, b
-            todo = todo[_unsettled(a, b)]
+        todo = np.flatnonzero(w < _BOTTOM)
+        a = l.take(todo)
+        w[todo] = _cut(a, w.take(todo)) << _SHIFT
+        l[todo] = a << _SHIFT
+        where = at.take(todo)
+        code[todo] = code.take(todo) << _SHIFT | units.take(where, mode="clip")
+        at[todo] = where + 1
         out[t, :m] = ids
         # An id may also be coded by order 0 although an order predicts it; learn as the encoder does.
         same2, same1 = two == ids, one == ids
