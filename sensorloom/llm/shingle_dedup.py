@@ -42,7 +42,7 @@ from sensorloom.llm.word_arrays import SPACED, mixed, word_hashes
 BANDS, ROWS = 32, 5
 #: Similarity in percent.
 PERCENT = 80
-CHUNK = 64
+CHUNK = 256
 
 _EMPTY = np.iinfo(np.uint64).max
 #: Elements hashed at once; small sets take several rounds together.
@@ -124,6 +124,33 @@ def _pair_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other.
+
+    Elements on both sides become columns of 0-1 matrices, some thousand columns at a time.
+    """
+    every = [np.concatenate([*side, np.zeros(0, np.uint64)]) for side in (left, right)]
+    common = np.intersect1d(*map(np.unique, every))
+    out = np.zeros((len(left), len(right)))
+    placed = []
+    for side, elements in zip((left, right), every):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        column = np.searchsorted(common, elements)
+        known = column < len(common)
+        known[known] = common[column[known]] == elements[known]
+        order = np.argsort(column[known], kind="stable")
+        placed.append((row[known][order], column[known][order], len(side)))
+    for first in range(0, len(common), 4096):
+        parts = []
+        for row, column, height in placed:
+            a, b = np.searchsorted(column, (first, first + 4096))
+            part = np.zeros((height, 4096), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``_node`` and ``_set`` (bytes) of the wanted classes, computed anew from their texts."""
 
@@ -201,8 +228,14 @@ def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         within = -1 - table["_row"][0].as_py() == table["_column"][0].as_py()
-        nodes = table["_node"].to_pylist()
-        sides = table["_side"].to_pylist()
+        sides = np.array(table["_side"].to_pylist())
+        nodes, owner = table["_node"].to_pylist(), table["_component"].to_pylist()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["_set"]]
+        left = np.arange(len(own)) if within else np.flatnonzero(sides == sides.min())
+        right = left if within else np.flatnonzero(sides != sides.min())
+        both = _shared_counts([own[i] for i in left], [own[i] for i in right])
+        size = np.array([len(x) for x in own])
+        alike = 100 * both >= percent * (size[left][:, None] + size[right] - both)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -210,20 +243,12 @@ def _cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x = root[x]
             return x
 
-        owner = table["_component"].to_pylist()
-        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["_set"]]
-        order = sorted(range(len(own)), key=lambda i: len(own[i]))
         found: list[tuple[int, int]] = []
-        for place, i in enumerate(order):
-            for j in order[place + 1 :]:
-                if 100 * len(own[i]) < percent * len(own[j]):
-                    break
-                if sides[i] == sides[j] and not within:
-                    continue
-                a, b = top(owner[i]), top(owner[j])
-                if a != b and _pair_links(own[i], own[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    found.append((nodes[i], nodes[j]))
+        for i, j in zip(*(side[k] for side, k in zip((left, right), np.nonzero(alike)))):
+            a, b = top(owner[i]), top(owner[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((nodes[i], nodes[j]))
         return pa.table(
             {"_a": pa.array([a for a, _ in found], pa.int64()), "_b": pa.array([b for _, b in found], pa.int64())}
         )
