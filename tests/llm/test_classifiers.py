@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from corpus_fixtures import documents, no_documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from sensorloom.llm import language, quality, toxicity

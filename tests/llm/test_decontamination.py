@@ -4,6 +4,7 @@ import string
 
 import pytest
 
+from corpus_fixtures import documents, no_documents  # noqa: F401
 from sensorloom.llm import decontamination as d
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)

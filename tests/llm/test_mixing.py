@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+from corpus_fixtures import documents, no_documents  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -2,6 +2,7 @@ import re
 import time
 
 import pytest
+from corpus_fixtures import documents, no_documents  # noqa: F401
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from corpus_fixtures import documents, no_documents  # noqa: F401
 import corpus_pipeline
 from sensorloom.llm import mixing, token_files, toxicity
 from test_decontamination import brute as contaminated

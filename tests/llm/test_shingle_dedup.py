@@ -5,6 +5,7 @@ import string
 import numpy as np
 import pytest
 
+from corpus_fixtures import documents, no_documents  # noqa: F401
 from sensorloom.llm import shingle_dedup as s
 from sensorloom.llm.components import components
 
