@@ -4,7 +4,10 @@
 which fails when one sensor holds a large share of the rows.  The functions here
 first count values per *order bin* (a monotone, logarithmic bucket of the
 value), which is a tiny map-side-combined aggregate, find the bins that hold the
-wanted ranks, and only then look at the distinct values inside those bins.
+wanted ranks, and only then look at the distinct values inside those bins.  A bin
+of many rows, as values in a narrow range give, is cut into equal parts between
+its smallest and its largest value, one per ``PART_ROWS`` rows, so that no task
+sorts a whole bin.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from sensorloom.sources.staging import stage
 BINS_PER_OCTAVE = 256
 # Larger than 1075 * BINS_PER_OCTAVE, so that the sign decides the bin's sign.
 BIN_OFFSET = 300_000
+PART_ROWS = 20_000
 
 
 def order_bin(value: Column) -> Column:
@@ -42,8 +46,11 @@ def _binned(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def _bin_ranges(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First rank (``_lo``), past-the-end rank (``_hi``) and group size of each bin."""
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    """First rank (``_lo``), past-the-end rank (``_hi``), group size, least and largest value of
+    each bin, and the number of its parts."""
+    counts = binned.groupBy(*keys, "_bin").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last")
+    )
     running = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)
     return counts.select(
@@ -52,9 +59,38 @@ def _bin_ranges(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.sum("_c").over(running) - F.col("_c")).alias("_lo"),
         F.sum("_c").over(running).alias("_hi"),
         F.sum("_c").over(whole).alias("_n"),
+        "_first",
+        "_last",
+        F.ceil(F.col("_c") / PART_ROWS).alias("_parts"),
+    )
+
+
+def _part() -> Column:
+    """Part of a value inside its bin; monotone in the value."""
+    share = (F.col("_v") - F.col("_first")) / F.nullif(F.col("_last") - F.col("_first"), F.lit(0.0))
+    part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+    return F.coalesce(F.when(F.col("_parts") > 1, part), F.lit(0)).cast("long")
+
+
+def _part_starts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First and past-the-end rank of each part, from counted values with ``_lo`` of their bin."""
+    parts = values.groupBy(*keys, "_bin", "_part", "_lo").agg(F.sum("_c").alias("_rows"))
+    until = F.sum("_rows").over(Window.partitionBy(*keys, "_bin").orderBy("_part"))
+    return parts.select(
+        *keys,
+        "_bin",
+        "_part",
+        (F.col("_lo") + until - F.col("_rows")).alias("_start_rank"),
+        (F.col("_lo") + until).alias("_end_rank"),
     )
 
 
+def with_parts(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the ``_part`` of each row of ``_v`` inside its ``_bin``."""
+    ranges = _bin_ranges(binned, keys).select(*keys, "_bin", "_first", "_last", "_parts")
+    return binned.join(ranges, [*keys, "_bin"]).withColumn("_part", _part()).drop("_first", "_last", "_parts")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
@@ -79,10 +115,19 @@ def exact_quantiles(
     # the join is planned: below the broadcast threshold the values are filtered
     # where they are read, above it they are shuffled.
     targets = stage(ranges.where(hit).drop("_hi"))
-    members = binned.join(targets, [*keys, "_bin"])
-    values = members.groupBy(*keys, "_bin", "_lo", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    ranked = values.withColumn("_end", F.col("_lo") + F.sum("_c").over(inside)).withColumn(
+    members = binned.join(targets, [*keys, "_bin"]).withColumn("_part", _part())
+    place = [*keys, "_bin", "_part"]
+    values = members.groupBy(*place, "_lo", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    first = F.col("_lo")
+    if targets.agg(F.max("_parts")).first()[0] not in (None, 1):
+        wanted = F.exists(
+            F.array(*wanted_ranks),
+            lambda r: (r >= F.col("_start_rank")) & (r < F.col("_end_rank")),
+        )
+        values = values.join(_part_starts(values, keys), place).where(wanted)
+        first = F.col("_start_rank")
+    inside = Window.partitionBy(*place).orderBy("_v")
+    ranked = values.withColumn("_end", first + F.sum("_c").over(inside)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
 
@@ -115,11 +160,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(keys)
     binned = _binned(df, keys, value)
-    ranges = _bin_ranges(binned, keys).select(*keys, "_bin", "_lo", "_n")
+    ranges = _bin_ranges(binned, keys).drop("_hi")
     values = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    placed = values.join(ranges, [*keys, "_bin"]).withColumn(
-        "_end", F.col("_lo") + F.sum("_c").over(inside)
+    values = values.join(ranges, [*keys, "_bin"]).withColumn("_part", _part())
+    place = [*keys, "_bin", "_part"]
+    inside = Window.partitionBy(*place).orderBy("_v")
+    placed = values.join(_part_starts(values, keys), place).withColumn(
+        "_end", F.col("_start_rank") + F.sum("_c").over(inside)
     )
     return placed.select(
         *keys,

@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.quantiles import exact_quantiles, finite, order_bin, value_ranks
+from sensorloom.functions.quantiles import (
+    exact_quantiles, finite, order_bin, value_ranks, with_parts,
+)
 from sensorloom.operators.series import (
     Series, frame_window, home_rows, left_open, time_halo, window_stat, with_ordinal,
 )
@@ -423,8 +425,8 @@ def scatter_sample(df: DataFrame, s: Series, x: str, y: str, points: int = 1200)
 def quantization_profile(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct values and the smallest positive step between sorted ones.
 
-    Neighbours are compared inside value bins; the step across two bins is taken
-    from the bins' end values.
+    Neighbours are compared inside value bins, or parts of bins with many values;
+    the step across two of them is taken from their end values.
     """
     keys = list(keys)
     values = (
@@ -433,15 +435,16 @@ def quantization_profile(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         .distinct()
         .withColumn("_bin", order_bin(F.col("_v")))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    values = with_parts(values, keys)
+    inside = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v")
     steps = values.withColumn("_d", F.col("_v") - F.lag("_v").over(inside))
-    bins = steps.groupBy(*keys, "_bin").agg(
+    bins = steps.groupBy(*keys, "_bin", "_part").agg(
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.min("_d").alias("_d"),
         F.count(F.lit(1)).alias("_c"),
     )
-    across = F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bin"))
+    across = F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bin", "_part"))
     return bins.withColumn("_x", across).groupBy(*keys).agg(
         F.sum("_c").alias("distinct_values"),
         F.min(F.least("_d", "_x")).alias("smallest_increment"),

@@ -166,7 +166,9 @@ def _(spark, sf):
 SELECT sensor_id, city, ts, pm25, temperature FROM obs WHERE lower(city) = 'east' AND ts BETWEEN '2024-01-05' AND '2024-01-20'""",
     "pm25 temperature"))
 def _(spark, sf):
-    rows = V.serve_filtered(observations(spark, sf), city="EAST", start="2024-01-05", end="2024-01-20")
+    span = {"start": "2024-01-05", "end": "2024-01-20"}
+    # The raw bounds reach the scan; the exact ones follow the aggregate.
+    rows = V.serve_filtered(observations(spark, sf, **span), city="EAST", **span)
     return rounded(rows.select("sensor_id", "city", "ts", "pm25", "temperature"))
 
 

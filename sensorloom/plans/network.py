@@ -60,7 +60,8 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf: str) -> DataFrame:
+def observations(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The hourly table; with bounds, only of the raw readings that its hours in them need."""
     # Means go through an exact decimal sum, so that every engine and every
     # partitioning gives the same double and ties below are decided alike.
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
@@ -68,9 +69,13 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     def mean(col: Column) -> Column:
         return F.sum(col.cast("decimal(18,2)")).cast("double") / F.count(col)
 
+    raw = readings(spark, sf)
+    if start is not None:
+        raw = raw.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        raw = raw.where(F.col("ts") < F.lit(end).cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR"))
     return (
-        readings(spark, sf)
-        .groupBy("sensor_id", "city", hour)
+        raw.groupBy("sensor_id", "city", hour)
         .agg(
             mean(F.col("value")).alias("pm25"),
             mean(F.col("k")).alias("temperature"),

@@ -53,3 +53,22 @@ def test_robust_scale(table):
         v = samples()[r.k]
         assert r["median"] == pytest.approx(np.median(v))
         assert r["mad"] == pytest.approx(2.0 * np.median(np.abs(v - np.median(v))))
+
+
+def test_narrow_ranges_are_cut_into_parts(spark):
+    """100,000 distinct air pressures lie in two bins; no part holds more than a few times PART_ROWS."""
+    from pyspark.sql import functions as F
+
+    from sensorloom.functions import quantiles as Q
+
+    rng = np.random.default_rng(3)
+    v = 1013 + 3 * rng.random(100_000)
+    table = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v})).repartition(4)
+    binned = Q._binned(table, ["k"], "v")
+    assert binned.groupBy("_bin").count().count() <= 2
+    sizes = Q.with_parts(binned, ["k"]).groupBy("_bin", "_part").count()
+    assert sizes.agg(F.max("count")).first()[0] < 2 * Q.PART_ROWS
+    got = exact_quantiles(table, ["k"], "v", PROBS).first()
+    assert np.allclose([got[n] for n in PROBS], np.quantile(v, list(PROBS.values())), rtol=1e-12)
+    ranks = value_ranks(table, ["k"], "v").toPandas().sort_values("v")
+    assert (ranks.average_rank.to_numpy() == np.arange(1, 100_001)).all()

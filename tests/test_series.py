@@ -147,3 +147,26 @@ def test_gap_events_round_half_even(spark):
     df = spark.createDataFrame([(1, at(m)) for m in minutes], "sensor_id int, ts timestamp_ntz")
     got = audit.gap_events(df, S).collect()
     assert [(r.missing_readings, r.severity) for r in got] == [(1, "MINOR")]  # round(2.5) = 2
+
+
+def test_a_sample_spans_the_whole_series(spark):
+    from sensorloom.operators.series import Series, stride_sample
+
+    s = Series(cadence_minutes=15, gap_minutes=90)
+    for n, most in ((1003, 100), (600, 600), (599, 300), (5, 100)):
+        rows = spark.createDataFrame([(1, at(15 * i), i) for i in range(n)], "sensor_id int, ts timestamp_ntz, i int")
+        got = sorted(r.i for r in stride_sample(rows, s, most).collect())
+        step = -(-n // most)
+        assert got == list(range(0, n, step)) and len(got) <= most and n - 1 - got[-1] < step
+
+
+def test_all_changes_of_a_run_are_returned(spark):
+    from sensorloom.operators.anomalies import change_points
+    from sensorloom.operators.series import Series
+
+    s = Series(cadence_minutes=60, gap_minutes=90)
+    value = lambda i: 10.0 + 5 * (i // 72 % 2) + 0.01 * (i % 7)
+    rows = [(1, at(60 * i), "pm25", value(i)) for i in range(72 * 13)]
+    long = spark.createDataFrame(rows, "sensor_id int, ts timestamp_ntz, channel string, value double")
+    found = change_points(long, s, window_rows=24, least_days=3, penalty=2.0).collect()
+    assert len(found) >= 12 and sorted(r["rank"] for r in found) == list(range(1, len(found) + 1))
