@@ -32,13 +32,19 @@ from sensorloom.llm.tables import KEY, stage, with_key
 
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_200_000
 
 
 #: A word of Latin letters and the marks after it: two units of the tokenizer, whose pattern splits
 #: between letters and other characters and whose normaliser only lower-cases these letters.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
-_LATIN = re.compile(r"[\x00-\xff]*")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 def _byte_characters() -> dict[int, str]:
@@ -68,19 +74,25 @@ class TextEncoder(dict):
     def _reset(self) -> None:
         self.clear()
         self.pool, self.first, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.marks: dict[str, list[int]] = {}
         self.new_ids: list[int] = []
         self.new_counts: list[int] = []
         self[""] = 0
 
     def _unit(self, text: str) -> list[int]:
-        raw = text.encode().decode("latin-1").translate(self.characters)
+        # Printable ASCII characters stand for themselves.
+        raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
         return [t.id for t in self.model.tokenize(raw)]
 
     def __missing__(self, piece: str) -> int:
         plain = _PLAIN.fullmatch(piece)
         if plain:
             word, mark = plain.groups()
-            ids = self._unit(word) + self._unit(mark) if mark else self._unit(word)
+            ids = self._unit(word)
+            if mark:
+                if mark not in self.marks:
+                    self.marks[mark] = self._unit(mark)
+                ids = ids + self.marks[mark]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         self.new_ids += ids
@@ -107,7 +119,7 @@ class TextEncoder(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        if _LATIN.fullmatch(text) and "<|" not in text:
+        if _is_latin(text) and "<|" not in text:
             # The library lower-cases these characters in the same way; only the strings of special
             # tokens, which are lower case, must not come about.
             text = text.lower()
