@@ -12,8 +12,11 @@ Kinds, in the order in which spans with equal starts are listed (``KINDS``):
   trailing punctuation, with a non-empty host;
 * account: after an identifier cue such as ``iban`` or ``account``, an optional ``no``/``number``
   and separator, an identifier of 6 to 34 letters and digits with at least four digits (an IBAN by
-  its check digits);
-* address: after ``address:`` or ``street:``, the rest of the line if it holds a house number.
+  its check digits); groups of digits with single spaces or hyphens between them are one identifier;
+* address: after ``address:`` or ``street:``, the rest of the line, however long, if it holds a
+  house number.
+
+Cues are found in any mixture of upper and lower case.
 
 Defined cases: null and empty texts have no spans; repeated rows are treated alike; offsets are code
 points, ends exclusive; other columns do not matter.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from string import ascii_lowercase
 
 import ahocorasick
 import pyarrow as pa
@@ -45,8 +49,11 @@ _DOTTED_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGIT_CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_BODY = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:\s{0,3}(?:number|no|nr|num)\.?)?\s{0,3}[:#=]?\s{0,3}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,40})", re.I)
-_LINE = re.compile(r"[^\n]{5,200}")
+_ACCOUNT = re.compile(r"(?:(?<=no)\.)?(?:\s{0,3}(?:number|no|nr|num)\.?)?\s{0,3}[:#=]?\s{0,3}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,40})", re.I)
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*(?![A-Za-z0-9])")
+
+# One code point for one, so that offsets stay.
+_LOWER = {ord(c.upper()): c for c in {*ascii_lowercase, *"".join(CUES + PLACES)} if len(c.upper()) == 1}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -55,12 +62,9 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(text, (kind, len(text)))
     for digit in "0123456789":
         found.add_word(digit, ("0", 1))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("account", len(form)))
-    for cue in PLACES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("address", len(form)))
+    for kind, cues in (("account", CUES), ("address", PLACES)):
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -84,16 +88,32 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
         return None
     body, start = m.group(1), m.start(1)
     # Separators inside are kept only where the whole is a valid international number.
-    for end in range(len(body), 14, -1):
+    coded = re.match("[A-Z]{2}[0-9]{2}", re.sub("[ -]", "", body))
+    for end in range(len(body), 14, -1) if coded else ():
         if body[end - 1].isalnum() and iban(re.sub("[ -]", "", body[:end])):
             return start, start + end
-    first = re.match("[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*", body).group()
-    plain = first.replace("-", "")
-    if 6 <= len(plain) <= 34 and sum(c.isdigit() for c in plain) >= 4:
-        return start, start + len(first)
+    found = [re.match("[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*", body).group()]
+    if groups := _GROUPS.match(body):
+        # Whole groups, as many as one identifier can hold.
+        found += [body[: g.end()] for g in re.finditer("[0-9]+", groups.group())]
+    for one in sorted(found, key=len, reverse=True):
+        plain = re.sub("[ -]", "", one)
+        if 6 <= len(plain) <= 34 and sum(c.isdigit() for c in plain) >= 4:
+            return start, start + len(one)
     return None
 
 
+def _line(text: str, at: int) -> tuple[int, int, int]:
+    """End of the line that ``at`` lies in, and the places after its last digit and last letter."""
+    end = text.find("\n", at)
+    end = len(text) if end < 0 else end
+
+    def after(holds) -> int:
+        return next((i + 1 for i in range(end - 1, at - 1, -1) if holds(text[i])), at)
+
+    return end, after(str.isdigit), after(str.isalpha)
+
+
 class Finder:
     """Finds the spans of one text after the other."""
 
@@ -104,8 +124,8 @@ class Finder:
         """(start, end, kind), by start and then by kind as listed."""
         out: list[tuple[int, int, str]] = []
         email = chain = dotted = phone = url = account = address = 0
-        size = len(text)
-        for last, (anchor, length) in self.anchors.iter(text):
+        line = digit = letter = -1
+        for last, (anchor, length) in self.anchors.iter(text.translate(_LOWER)):
             at = last - length + 1
             if anchor == "0":
                 if at >= chain:
@@ -155,12 +175,13 @@ class Finder:
                         out.append((*found, "account"))
                         account = found[1]
             elif at >= address and (at == 0 or not text[at - 1].isalnum()):
-                m = _LINE.match(text, last + 1)
-                if m and any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group()):
-                    body = m.group()
-                    start = last + 1 + len(body) - len(body.lstrip())
+                if last >= line:
+                    line, digit, letter = _line(text, last + 1)
+                if line - last > 5 and min(digit, letter) > last + 1:
+                    body = text[last + 1 : line]
+                    start = line - len(body.lstrip())
                     out.append((start, last + 1 + len(body.rstrip()), "address"))
-                    address = min(m.end(), size)
+                    address = line
         out.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
         return out
 

@@ -50,6 +50,52 @@ def test_added_kinds():
     assert iban("DE89370400440532013000") and not iban("DE88370400440532013000")
 
 
+def found(text, kind):
+    return [text[a:b] for a, b, k in Finder().spans(text) if k == kind]
+
+
+@pytest.mark.parametrize("cue", ["Tax ID", "User ID", "Member ID", "License No", "Customer No.", "tAx iD", "iBAN"])
+def test_cues_in_any_case(cue):
+    assert found(f"é🙂 {cue}: 12345678, end", "account") == ["12345678"]
+
+
+def test_places_in_any_case():
+    for cue in ("aDDress:", "DIRECCIÓN:", "Dirección:", "dirECCión:", "Street:"):
+        assert found(f"İ {cue} Main St 5\nend", "address") == ["Main St 5"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SSN 123 45 6789.", "123 45 6789"),
+        ("account 1234 5678 9012", "1234 5678 9012"),
+        ("account 1234 5678 9012abc", "1234 5678"),
+        ("Tax ID: 12-345 678, 9", "12-345 678"),
+        ("account 1234-5678-AB 99", "1234-5678-AB"),
+        ("account " + " ".join(["1234"] * 9), " ".join(["1234"] * 8)),
+        ("account 12 34", None),
+        ("account " + "1" * 50, None),
+    ],
+)
+def test_groups_of_digits(text, want):
+    assert found(text, "account") == [want] * (want is not None)
+
+
+def test_addresses_reach_the_end_of_their_line():
+    long = "Main Street " * 40
+    assert found(f"address: {long}5 north \nnext 7", "address") == [f"{long}5 north"]
+    assert found(f"address: {long}5, x", "address") == [f"{long}5, x"]
+    assert found(f"address: {long}\n5 x", "address") == []
+    assert found("address: a street: b\naddress:\nstreet: c 12", "address") == ["c 12"]
+
+
+@pytest.mark.parametrize("unit", ["address: ", "street: é", "account 1 2 ", "SSN 1-"])
+def test_many_cues_take_linear_time(unit):
+    start = time.process_time()
+    Finder().spans(unit * 100_000)
+    assert time.process_time() - start < 8
+
+
 @pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "+1 ", "a@", "://", "@", "+1(", "a.b@c."])
 def test_long_texts_take_linear_time(unit):
     start = time.process_time()
