@@ -354,6 +354,9 @@ def isolation_forest(
 ) -> DataFrame:
     """Isolation score per complete row and a flag for the most isolated share.
 
+    A key is judged on the channels it provides, those with any value; a row is complete
+    if it has all of them, and rows that lack one have no score.
+
     Each tree has a sample of its own, drawn by hash from all rows of its key: the
     ``trees * sample`` rows with the smallest hashes, cut into one part per tree;
     where a key has fewer rows, each tree draws from all of them.  Rows are scored
@@ -366,7 +369,12 @@ def isolation_forest(
     import pandas as pd
 
     keys, channels = list(s.keys), list(channels)
-    complete = df.na.drop(subset=channels).select(*keys, s.ts, *channels)
+    given = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in channels}
+    provided = df.groupBy(*keys).agg(*[F.max(given[c]).alias(f"_has_{c}") for c in channels])
+    whole = F.forall(
+        F.array(*[given[c] | ~F.col(f"_has_{c}") for c in channels]), lambda x: x
+    ) & F.exists(F.array(*[F.col(f"_has_{c}") for c in channels]), lambda x: x)
+    complete = df.join(provided, keys).where(whole).select(*keys, s.ts, *channels)
     sizes = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     complete = complete.join(sizes.where(F.col("_size") >= minimum).select(*keys), keys, "left_semi")
     order = F.xxhash64(F.col(s.ts).cast("string"), *channels)
@@ -379,7 +387,8 @@ def isolation_forest(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(42)
         pdf = pdf.sort_values("_rn")
-        points = pdf[channels].to_numpy(float)
+        used = [c for c in channels if pdf[c].notna().all()]
+        points = pdf[used].to_numpy(float)
         size = min(sample, len(points))
         limit = math.ceil(math.log2(max(size, 2)))
         enough = len(points) >= trees * sample
@@ -394,7 +403,7 @@ def isolation_forest(
             for i in range(trees)
         ]
         out = pdf[keys].head(1).copy()
-        out["forest"] = json.dumps({"size": size, "trees": grown})
+        out["forest"] = json.dumps({"size": size, "channels": used, "trees": grown})
         return out
 
     forests = picked.groupBy(*keys).applyInPandas(grow, key_schema + ", forest string")
@@ -409,7 +418,7 @@ def isolation_forest(
 
     def score(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         model = json.loads(forest["forest"].iloc[0])
-        points = rows[channels].to_numpy(float)
+        points = rows[model["channels"]].to_numpy(float)
         depth = np.mean([_path_lengths(t, points) for t in model["trees"]], axis=0)
         out = rows[[*keys, s.ts]].copy()
         out["isolation_score"] = 2.0 ** (-depth / max(_average_path(model["size"]), 1e-12))

@@ -314,52 +314,75 @@ def seasonal_regression(
 def pca(df: DataFrame, columns: Sequence[str], group: str | None = None) -> DataFrame:
     """Principal components of standardised complete rows, per group.
 
-    The correlation matrix comes from one aggregate; its eigenvectors are taken
-    for each group's small matrix.  Signs make each largest loading positive.
+    Every task reduces its rows to one count, mean and product matrix per group; the
+    correlation matrix comes from their sums, and its eigenvectors are taken for each
+    group's small matrix.  Signs make each largest loading positive.
     """
     import numpy as np
+    import pandas as pd
 
     columns = list(columns)
+    k = len(columns)
     keyed = df if group else df.withColumn("_g", F.lit("all"))
     key = group or "_g"
-    complete = keyed.na.drop(subset=columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    moments = complete.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.corr(columns[i], columns[j]).alias(f"_r{i}_{j}") for i, j in pairs],
-    )
-
-    def decompose(batches):
-        import pandas as pd
+    kind = dict(keyed.dtypes)[key]
+    complete = keyed.na.drop(subset=columns).select(key, *columns)
+
+    def merged(a, b):
+        """Moments of both parts, centred at their common mean."""
+        if a is None:
+            return b
+        n, step = a[0] + b[0], b[1] - a[1]
+        return (
+            n,
+            a[1] + step * (b[0] / n),
+            a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n),
+        )
 
+    def reduced(batches):
+        parts = {}
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                k = len(columns)
-                m = np.eye(k)
-                for i, j in pairs:
-                    m[i, j] = m[j, i] = row[f"_r{i}_{j}"]
-                values, vectors = np.linalg.eigh(m)
-                order = np.argsort(values)[::-1]
-                values, vectors = np.clip(values[order], 0, None), vectors[:, order]
-                shares = values / values.sum()
-                total = np.cumsum(shares)
-                for c in range(k):
-                    v = vectors[:, c]
-                    v = v if v[np.argmax(np.abs(v))] > 0 else -v
-                    for i, name in enumerate(columns):
-                        out.append(
-                            (row[key], int(row["_n"]), c + 1, float(shares[c]), float(total[c]),
-                             name, float(v[i]))
-                        )
-            yield pd.DataFrame(
-                out,
-                columns=[key, "n", "component", "explained_ratio", "cumulative_ratio", "channel",
-                         "loading"],
-            )
+            for g, rows in pdf.groupby(key, dropna=False):
+                x = rows[columns].to_numpy(float)
+                mean = x.mean(0)
+                g = None if pd.isna(g) else g
+                parts[g] = merged(parts.get(g), (len(x), mean, (x - mean).T @ (x - mean)))
+        yield pd.DataFrame(
+            [(g, n, mean, product.ravel()) for g, (n, mean, product) in parts.items()],
+            columns=[key, "n", "mean", "product"],
+        )
 
-    kind = dict(keyed.dtypes)[key]
-    return moments.mapInPandas(
+    def decompose(pdf):
+        total = None
+        for n, mean, product in zip(pdf["n"], pdf["mean"], pdf["product"]):
+            total = merged(total, (int(n), np.array(mean), np.array(product).reshape(k, k)))
+        n, _, product = total
+        scale = np.sqrt(np.diag(product))
+        m = product / np.outer(scale, scale)
+        np.fill_diagonal(m, 1.0)
+        values, vectors = np.linalg.eigh(m)
+        order = np.argsort(values)[::-1]
+        values, vectors = np.clip(values[order], 0, None), vectors[:, order]
+        shares = values / values.sum()
+        sums = np.cumsum(shares)
+        out = []
+        for c in range(k):
+            v = vectors[:, c]
+            v = v if v[np.argmax(np.abs(v))] > 0 else -v
+            for i, name in enumerate(columns):
+                out.append(
+                    (pdf[key].iloc[0], n, c + 1, float(shares[c]), float(sums[c]), name, float(v[i]))
+                )
+        return pd.DataFrame(
+            out,
+            columns=[key, "n", "component", "explained_ratio", "cumulative_ratio", "channel",
+                     "loading"],
+        )
+
+    moments = complete.mapInPandas(
+        reduced, f"{key} {kind}, n long, mean array<double>, product array<double>"
+    )
+    return moments.groupBy(key).applyInPandas(
         decompose,
         f"{key} {kind}, n long, component int, explained_ratio double, cumulative_ratio double, "
         "channel string, loading double",

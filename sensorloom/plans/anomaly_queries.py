@@ -9,7 +9,7 @@ from sensorloom.operators import serving as V
 from sensorloom.operators import series as S
 from sensorloom.plans.audit_queries import PLONG, provided
 from sensorloom.plans.network import (
-    CORE, HOURLY, OBS, READINGS, RAW, hourly, observations, query_table, readings, rounded, sql,
+    CHANNELS, HOURLY, OBS, READINGS, RAW, hourly, observations, query_table, readings, rounded, sql,
     table,
 )
 from sensorloom.plans.stats_queries import FILLED
@@ -159,7 +159,7 @@ def _(spark, sf):
 
 @query("isolation_forest")
 def _(spark, sf):
-    return N.isolation_forest(hourly(spark, sf), HOURLY, CORE)
+    return N.isolation_forest(hourly(spark, sf), HOURLY, CHANNELS)
 
 
 @query("serve_filtered", sql(OBS, """

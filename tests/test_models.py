@@ -134,3 +134,41 @@ def test_isolation_forest_flags_the_far_point(spark):
     assert len(got) == 300
     assert max(got, key=lambda r: r.isolation_score).ts == at(15 * 150)
     assert 1 <= sum(r.isolation_forest_flag for r in got) <= 6
+
+
+def test_isolation_forest_sees_every_provided_channel(spark):
+    from sensorloom.operators.anomalies import isolation_forest
+
+    rng = np.random.default_rng(6)
+    rows = [
+        (k, at(15 * i), float(a), float(b), float(c) if k == 1 else None)
+        for k in (1, 2) for i, (a, b, c) in enumerate(rng.normal(size=(150, 3)))
+    ]
+    rows[70] = (1, at(15 * 70), 0.0, 0.0, 90.0)
+    rows[200] = (2, at(15 * 50), 0.0, 90.0, None)
+    rows[10] = (1, at(15 * 10), 0.0, 0.0, None)
+    df = spark.createDataFrame(rows, "sensor_id int, ts timestamp_ntz, a double, b double, c double")
+    got = isolation_forest(df, Series(), ["a", "b", "c"], trees=40).collect()
+    assert len(got) == 299
+    for sensor, where in ((1, 70), (2, 50)):
+        assert max((r for r in got if r.sensor_id == sensor), key=lambda r: r.isolation_score).ts == at(15 * where)
+
+
+def test_components_of_embeddings_use_every_dimension(spark, tmp_path):
+    from sensorloom.plans import registry
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 20)) + 100
+    x[:, 19] = x[:, 0] * 2 + rng.normal(size=200) * 0.1
+    spark.createDataFrame(
+        [(i % 3, [float(v) for v in row]) for i, row in enumerate(x)], "label int, embedding array<double>"
+    ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["pca_embeddings"](spark, str(tmp_path)).collect()
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    by = {(r.component, r.channel): r for r in got}
+    assert len(by) == len(got) == 400 and {r.n for r in got} == {200}
+    for c in range(20):
+        v = vectors[:, 19 - c]
+        v = v if v[np.argmax(np.abs(v))] > 0 else -v
+        assert np.allclose([by[c + 1, f"e{i}"].loading for i in range(20)], v, atol=1e-6)
+        assert np.isclose(by[c + 1, "e0"].explained_ratio, values[19 - c] / values.sum())
