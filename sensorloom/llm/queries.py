@@ -11,6 +11,7 @@ from sensorloom.llm import (
     decontamination,
     inner_product,
     language,
+    linked_secrets,
     mixing,
     oracles,
     personal_data,
@@ -31,6 +32,22 @@ def _bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def _listed(found: DataFrame, base_kinds: tuple[str, ...]) -> DataFrame:
+    """Counts per base kind, a digest of the base spans and all spans as text."""
+
+    def listed(spans):
+        return F.concat_ws(
+            ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        )
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in base_kinds]
+    base = F.filter("spans", lambda s: s["kind"].isin(*base_kinds))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op1_top_k_inner_product(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best other vectors of every hundredth vector, by integer inner product."""
     _bounded_batches(spark)
@@ -82,19 +99,7 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of personal data in every document."""
     _bounded_batches(spark)
-    found = personal_data.find(table(spark, sf, "documents"))
-
-    def listed(spans):
-        return F.concat_ws(
-            ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-        )
-
-    def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    counts = [count(k) for k in personal_data.BASE_KINDS]
-    base = F.filter("spans", lambda s: s["kind"].isin(*personal_data.BASE_KINDS))
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return _listed(personal_data.find(table(spark, sf, "documents")), personal_data.BASE_KINDS)
 
 
 def op7_source_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,6 +138,12 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of secrets and of linked credential parts in every document."""
+    _bounded_batches(spark)
+    return _listed(linked_secrets.find(table(spark, sf, "documents")), linked_secrets.BASE_KINDS)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""
     import corpus_pipeline
@@ -145,7 +156,7 @@ QUERIES = {
     for f in (
         op1_top_k_inner_product, op2_decontamination, op3_chat_tree, op4_toxicity, op5_quality,
         op6_personal_data, op7_source_mixture, op8_near_duplicates, op9_token_files, op10_language,
-        pipeline,
+        op13_linked_secrets, pipeline,
     )
 }
 
