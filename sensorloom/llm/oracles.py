@@ -140,3 +140,83 @@ reach AS (
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept
 FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS r ON s.doc_id = r.a
 """
+
+
+def _turn_repair() -> str:
+    """SQL for op11: the dynamic program backwards, one turn of every conversation in each step."""
+    never, following = 1 << 40, (2, 2, 3, 2)
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    emitted = {2: "'user:'", 3: "'assistant:'"}
+
+    def option(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        lines = f"{state}.r" if line is None else f"list_prepend({line}, {state}.r)"
+        return f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a, 'r': {lines}}}"
+
+    def inserted(names: str) -> str:
+        """Two rounds of insertions over states ``names`` 0 to 3."""
+        first = [f"list_min([{names}{q}, {option(f'{names}{n}', '3', 'I', emitted[n])}])" for q, n in enumerate(following)]
+        return ", ".join(f"{e} AS {names}{q}" for q, e in enumerate(first))
+
+    def turn(q: int) -> str:
+        late = "CASE WHEN t.kind = 3 THEN 3 ELSE 0 END"
+        n = following[q]
+        free = f"CASE WHEN t.kind IN (1, 2) THEN {never} ELSE {late} END"
+        options = [option(f"p.x{q}", "4", "D"), option(f"p.x{n}", f"3 + {free}", "R", f"{emitted[n]} || t.text")]
+        for (state, initial), after in kept.items():
+            if state == q:
+                options.append(
+                    option(f"p.x{after}", f"CASE WHEN t.initial = '{initial}' THEN {free} ELSE {never} END", "K",
+                           "t.role || ':' || t.text")
+                )
+        return f"list_min([{', '.join(options)}]) AS x{q}"
+
+    def done(cost: int, letters: str, lines: str) -> str:
+        return f"{{'c': CAST({cost} AS BIGINT), 'a': '{letters}', 'r': CAST({lines} AS VARCHAR[])}}"
+
+    ends = (done(0, "", "[]"), done(6, "II", "['user:', 'assistant:']"), done(3, "I", "['assistant:']"), done(0, "", "[]"))
+    crc = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+      range(1, length(k) + 1), lambda i: [CAST(ord(substr(k, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+f AS (SELECT *, {crc} % 20 AS fate FROM k),
+d AS (
+  SELECT g, conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM f),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS i,
+         count(*) OVER (PARTITION BY g) AS n, substr(role, 1, 1) AS initial FROM d),
+t AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{_SPACED}') THEN 1
+              WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS kind,
+         lag(initial) OVER (PARTITION BY g ORDER BY i) AS earlier
+  FROM o),
+p AS (
+  SELECT g, n AS i, {', '.join(f'{e} AS x{q}' for q, e in enumerate(ends))} FROM (SELECT DISTINCT g, n FROM t)
+  UNION ALL
+  SELECT g, i, {', '.join(f'x{q}' for q in range(4))} FROM (
+    SELECT g, i, {inserted('x')} FROM (
+      SELECT g, i, {inserted('x')} FROM (
+        SELECT p.g, p.i - 1 AS i, {', '.join(turn(q) for q in range(4))}
+        FROM p JOIN t ON t.g = p.g AND t.i = p.i)))),
+c AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (kind = 1) AS blank, count(*) FILTER (kind = 2) AS duplicate,
+         count(*) FILTER (kind = 3) AS truncated,
+         count(*) FILTER (i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM t GROUP BY g)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(x0.c, 0) AS cost, coalesce(x0.a, '') AS audit,
+       sha256(coalesce(array_to_string(x0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM k) AS a LEFT JOIN c ON a.g = c.g LEFT JOIN p ON a.g = p.g AND p.i = 0
+"""
+
+
+TURN_REPAIR = _turn_repair()

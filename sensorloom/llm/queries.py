@@ -19,6 +19,7 @@ from sensorloom.llm import (
     shingle_dedup,
     token_files,
     toxicity,
+    turn_repair,
 )
 from sensorloom.llm.tables import table
 
@@ -138,6 +139,21 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by checksum."""
+    _bounded_batches(spark)
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.report(turn_repair.damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    original = turns.select("conv_id").distinct()
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return original.join(found, original["conv_id"].eqNullSafe(found["_conv"]), "left").select(
+        "conv_id",
+        *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of secrets and of linked credential parts in every document."""
     _bounded_batches(spark)
@@ -156,7 +172,7 @@ QUERIES = {
     for f in (
         op1_top_k_inner_product, op2_decontamination, op3_chat_tree, op4_toxicity, op5_quality,
         op6_personal_data, op7_source_mixture, op8_near_duplicates, op9_token_files, op10_language,
-        op13_linked_secrets, pipeline,
+        op11_turn_repair, op13_linked_secrets, pipeline,
     )
 }
 
@@ -166,4 +182,5 @@ SQL = {
     "op3_chat_tree": oracles.CHAT_TREE,
     "op7_source_mixture": oracles.MIXTURE,
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_turn_repair": oracles.TURN_REPAIR,
 }

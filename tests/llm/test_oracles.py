@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize(
     "name",
-    ["op1_top_k_inner_product", "op2_decontamination", "op3_chat_tree", "op7_source_mixture", "op8_near_duplicates"],
+    ["op1_top_k_inner_product", "op2_decontamination", "op3_chat_tree", "op7_source_mixture", "op8_near_duplicates",
+     "op11_turn_repair"],
 )
 def test_query_equals_sql(spark, name):
     import __spark_entry__ as entry
