@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm import (
     chat_tree,
     decontamination,
+    hard_negatives,
     inner_product,
     language,
     linked_secrets,
@@ -154,6 +155,14 @@ def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after every seventh label moved on."""
+    _bounded_batches(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
 def op13_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of secrets and of linked credential parts in every document."""
     _bounded_batches(spark)
@@ -172,7 +181,7 @@ QUERIES = {
     for f in (
         op1_top_k_inner_product, op2_decontamination, op3_chat_tree, op4_toxicity, op5_quality,
         op6_personal_data, op7_source_mixture, op8_near_duplicates, op9_token_files, op10_language,
-        op11_turn_repair, op13_linked_secrets, pipeline,
+        op11_turn_repair, op12_hard_negatives, op13_linked_secrets, pipeline,
     )
 }
 
@@ -183,4 +192,5 @@ SQL = {
     "op7_source_mixture": oracles.MIXTURE,
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
     "op11_turn_repair": oracles.TURN_REPAIR,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
 }
