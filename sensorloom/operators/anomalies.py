@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.quantiles import exact_quantiles, robust_scale
+from sensorloom.operators.moving import rolling_deviation
 from sensorloom.operators.quality import MAD_NORMAL, MAD_ROUNDED
 from sensorloom.operators.relations import complete_runs, longest_run, short_gap_interpolate
 from sensorloom.operators.series import (
-    MINUTE, Series, bucket_index, frame_window, home_rows, micros, row_halo, time_halo, with_ordinal,
+    MINUTE, Series, bucket_index, frame_window, home_rows, micros, time_halo, with_ordinal,
 )
 from sensorloom.operators.serving import top_per_group
 from sensorloom.sources.staging import stage
@@ -21,23 +22,8 @@ METHODS = ["zscore", "mad", "iqr", "rolling_zscore", "isolation_forest", "lof"]
 
 
 def rolling_robust_z(long: DataFrame, s: Series, rows: int = 96, minimum: int = 24) -> DataFrame:
-    """Distance to the rolling median in rolling MADs, over the last ``rows`` rows.
-
-    The deviation's window looks at medians up to ``rows - 1`` rows back, so each
-    part receives twice that many rows of context.
-    """
-    by = s.by("channel")
-    spread = row_halo(with_ordinal(long, by), by, back=2 * (rows - 1), rows=1024, heavy=True)
-    w = frame_window(by, order="_ord").rowsBetween(-(rows - 1), 0)
-
-    def median(col: str) -> Column:
-        return F.when(F.count(col).over(w) >= minimum, F.percentile(col, 0.5).over(w))
-
-    centred = spread.withColumn("_dev", F.abs(F.col("value") - median("value")))
-    scaled = centred.withColumn("_mad", median("_dev") * MAD_ROUNDED)
-    return home_rows(
-        scaled.withColumn("rolling_z", F.col("_dev") / F.nullif(F.col("_mad"), F.lit(0.0)))
-    ).drop("_dev", "_mad", "_us", "_blk", "_ord")
+    """Distance to the rolling median in rolling MADs, over the last ``rows`` rows."""
+    return rolling_deviation(long, s.by("channel"), rows, minimum, MAD_ROUNDED, "rolling_z")
 
 
 def anomaly_univariate(

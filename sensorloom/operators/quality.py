@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.quantiles import exact_quantiles, finite, robust_scale
+from sensorloom.operators.moving import moving_statistics
 from sensorloom.operators.series import (
-    MINUTE, Series, bucket_index, frame_window, home_rows, islands, left_open, micros, row_halo, time_halo,
+    MINUTE, Series, bucket_index, frame_window, home_rows, islands, micros, row_halo,
     with_ordinal, with_previous,
 )
 from sensorloom.sources.staging import stage
@@ -159,23 +160,15 @@ def drift_runs(
     by = s.by("channel")
     keys = list(by.keys)
     present = long.where(F.col("value").isNotNull())
-    spread = time_halo(present, by, baseline_minutes, heavy=True)
-    w = frame_window(by)
-    short, base = left_open(w, short_minutes), left_open(w, baseline_minutes)
+    spans = {"short": (short_minutes, short_minimum), "base": (baseline_minutes, baseline_minimum)}
+    wanted = {f"_{n}_{stat}": ("value", m, stat) for n, (m, _) in spans.items() for stat in ("median", "count")}
+    rolled = moving_statistics(present, by, wanted)
 
-    def median(frame, minimum: int) -> Column:
-        return F.when(
-            F.count("value").over(frame) >= minimum, F.percentile("value", 0.5).over(frame)
-        )
+    def median(name: str) -> Column:
+        return F.when(F.col(f"_{name}_count") >= spans[name][1], F.col(f"_{name}_median"))
 
     # Sliding medians are the costly part and are read by five passes below.
-    delta = stage(
-        home_rows(
-            spread.withColumn(
-                "delta", median(short, short_minimum) - median(base, baseline_minimum)
-            )
-        ).drop("_us")
-    )
+    delta = stage(rolled.withColumn("delta", median("short") - median("base")).drop("_us", *wanted))
     scale = robust_scale(delta, keys, "delta", MAD_NORMAL)
     sizes = delta.groupBy(*keys).agg(
         F.count("delta").alias("_n"), F.count(F.lit(1)).alias("_rows")

@@ -221,15 +221,18 @@ def _spread(
 
 
 def time_halo(
-    df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: int = 0, heavy: bool = False
+    df: DataFrame, s: Series, back_minutes: int = 0, ahead_minutes: int = 0, heavy: bool = False,
+    size: int | None = None,
 ) -> DataFrame:
     """Copy rows into every block whose rows can see them through the frame.
 
+    Blocks are as long as the frame at least, unless ``size`` (microseconds) says otherwise.
+
     Windows over the result partition by ``(*keys, "_part", ...)``; keep the rows
     with ``_home`` afterwards.
     """
     back, ahead = back_minutes * MINUTE, ahead_minutes * MINUTE
-    size = max(s.block_us, back, ahead)
+    size = size or max(s.block_us, back, ahead)
     base = df if "_us" in df.columns else df.withColumn("_us", micros(s.ts))
     return _spread(base, s, "_us", back, ahead, size, heavy)
 
@@ -324,7 +327,21 @@ def backward_rolling(
     wanted: dict[str, tuple[str, int, str]],
     segment: str | None = "segment",
 ) -> DataFrame:
-    """Left-open backward time windows; ``wanted`` maps name to (column, minutes, stat)."""
+    """Left-open backward time windows; ``wanted`` maps name to (column, minutes, stat).
+
+    Medians need their frames in order; ``moving.moving_statistics`` keeps them so.
+    """
+    names = list(wanted)
+    medians = {name: spec for name, spec in wanted.items() if spec[2] == "median"}
+    if medians:
+        from sensorloom.operators.moving import moving_statistics
+
+        columns = [c for c in df.columns if c != "_us"]
+        df = moving_statistics(df, s, medians, segment)
+        wanted = {name: spec for name, spec in wanted.items() if name not in medians}
+        if not wanted:
+            return df
+        return backward_rolling(df, s, wanted, segment).select(*columns, "_us", *names)
     back = max(minutes for _, minutes, _ in wanted.values())
     spread = time_halo(df, s, back)
     w = frame_window(s, *([segment] if segment else []))

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from sensorloom.functions.quantiles import (
     exact_quantiles, finite, order_bin, value_ranks, with_parts,
 )
-from sensorloom.operators.series import (
-    Series, frame_window, home_rows, left_open, time_halo, window_stat, with_ordinal,
-)
+from sensorloom.operators.moving import moving_statistics
+from sensorloom.operators.series import Series, with_ordinal
 from sensorloom.sources.staging import stage
 
 # The probabilities of the descriptive table.
@@ -294,23 +293,16 @@ def rolling_summary(
     """
     by = s.by("channel")
     present = long.where(F.col("value").isNotNull())
-    spread = time_halo(present, by, max(windows_hours) * 60)
-    w = frame_window(by)
+    stats = ["mean", "median", "std", "var", "min", "max", "count"]
+    wanted = {f"_{stat}_{h}": ("value", h * 60, stat) for h in windows_hours for stat in stats}
 
     def row(hours: int) -> Column:
-        frame = left_open(w, hours * 60)
-        enough = window_stat(frame, "value", "count") >= 2
-        parts = [
-            F.when(enough, window_stat(frame, "value", stat)).alias(stat)
-            for stat in ["mean", "median", "std", "var", "min", "max"]
-        ]
+        enough = F.col(f"_count_{hours}") >= 2
+        parts = [F.when(enough, F.col(f"_{stat}_{hours}")).alias(stat) for stat in stats[:-1]]
         return F.struct(F.lit(hours).alias("window_hours"), *parts)
 
-    names = [f"_w{h}" for h in windows_hours]
-    wide = home_rows(
-        spread.select("*", *[row(h).alias(n) for h, n in zip(windows_hours, names)])
-    )
-    rows = wide.select(*by.keys, "_us", F.explode(F.array(*names)).alias("_r")).select(
+    wide = moving_statistics(present, by, wanted)
+    rows = wide.select(*by.keys, "_us", F.explode(F.array(*map(row, windows_hours))).alias("_r")).select(
         *by.keys, "_us", "_r.*", (F.col("_r.max") - F.col("_r.min")).alias("range")
     )
     keys = [*by.keys, "window_hours"]

@@ -16,9 +16,9 @@ from sensorloom.sources.staging import stage
 
 QUERIES, SQL, query = query_table()
 
-# Thresholds for hourly readings; runs between gaps are short, so are the references.
+# Thresholds for hourly readings; runs between gaps are short, so are the least references.
 RULES = H.HealthRules(
-    minor_gap=90.0, major_gap=180.0, offline=240.0, lookback=96, flat_samples=2,
+    minor_gap=90.0, major_gap=180.0, offline=240.0, flat_samples=2,
     flat_minutes=60.0, jump_references=6, noise_window=4, noise_references=6, noise_scale=1.5,
     noise_signs=2, drift_recent=6, drift_baseline=8, drift_scale=1.0, cross_recent=2,
     cross_references=12, cross_scale=2.0,
@@ -60,7 +60,7 @@ runs AS (SELECT sensor_id, ts, sum(CASE WHEN pts IS NULL OR ts > pts + INTERVAL
 hist AS (SELECT sensor_id, channel, ts, coalesce(list(value) FILTER (value IS NOT NULL) OVER w, []) AS v,
                 coalesce(list(ts) FILTER (value IS NOT NULL) OVER w, []) AS t
          FROM plong JOIN runs USING (sensor_id, ts)
-         WINDOW w AS (PARTITION BY sensor_id, channel, run ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)),
+         WINDOW w AS (PARTITION BY sensor_id, channel, run ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 h1 AS (SELECT *, len(v) AS n, [v[i + 1] - v[i] for i in range(1, len(v))] AS d FROM hist),
 h2 AS (SELECT *, [abs(x) for x in d[:-2]] AS ref, d[-4:] AS dn, d[:-5] AS dr, v[:-7] AS base, v[-6:] AS rec,
               greatest(0.0025, 0.001 * (""" + quant("v[:-2]", 0.75) + " - " + quant("v[:-2]", 0.25) + """)) AS tol FROM h1),
@@ -82,7 +82,7 @@ big AS (SELECT city FROM obs GROUP BY city HAVING count(DISTINCT sensor_id) >= 3
 resid AS (SELECT a.sensor_id, a.ts, any_value(a.pm25) - quantile_cont(b.pm25, 0.5) AS r FROM obs a JOIN big USING (city)
           JOIN obs b ON b.city = a.city AND b.ts = a.ts AND b.sensor_id <> a.sensor_id GROUP BY a.sensor_id, a.ts),
 x1 AS (SELECT sensor_id, ts, lag(ts) OVER o AS pts, list(r) OVER w AS v FROM resid
-       WINDOW o AS (PARTITION BY sensor_id ORDER BY ts), w AS (PARTITION BY sensor_id ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)),
+       WINDOW o AS (PARTITION BY sensor_id ORDER BY ts), w AS (PARTITION BY sensor_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 x2 AS (SELECT *, v[:-3] AS ref, v[-2:] AS rec, """ + quant("v[:-3]", 0.5) + """ AS c FROM x1 WHERE len(v) >= 14 AND ts <= pts + INTERVAL 1 HOUR),
 x3 AS (SELECT *, greatest(""" + mad("ref", "c") + """, 0.01) AS scale, sign(""" + quant("rec", 0.5) + """ - c) AS dir FROM x2),
 cross_issues AS (SELECT sensor_id, ts, 'pm25' AS channel, c AS reference_center, scale AS robust_scale FROM x3
@@ -132,8 +132,8 @@ MEASURES = {
 def _detector(name: str, kind: str) -> None:
     @query(name, sql(PLONG + GAPS + DETECT, f"SELECT * FROM detector_issues WHERE type = '{kind}'", "measure:9 reference:9"))
     def _(spark, sf):
-        history = H.run_history(hourly(spark, sf), HOURLY, RULES, CHANNELS)
-        rows = H.detector_issues(history, HOURLY, RULES).where(F.col("type") == kind)
+        statistics = H.run_statistics(hourly(spark, sf), HOURLY, RULES, CHANNELS)
+        rows = H.detector_issues(statistics, HOURLY, RULES).where(F.col("type") == kind)
         measure, reference = MEASURES[kind]
         return rounded(rows.select(
             "sensor_id", "ts", "channel", "type",
