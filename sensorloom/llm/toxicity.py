@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 A text's features are its distinct words and word beginnings of ``PREFIXES`` bytes, hashed into
-``SLOTS`` slots; the score is a logistic function of the sum of their weights.  Training minimises, by accelerated proximal steps,
+``SLOTS`` slots; the score is a logistic function of the sum of their weights.  Training minimises
 
     weighted log loss + LASSO * |w| + COUNTERFACTUAL * mean (score(s) - score(s'))**2
 
@@ -10,6 +10,10 @@ the same list instead (scores before the logistic function).  Each pair of neigh
 list is a pair of its own too, so terms that the labels hardly show are also kept alike.  The lasso
 keeps few words, so the score of a clean text does not drift with its length.
 
+The minimum is that over all slots of ``LEAST_ROWS`` chosen rows and more and over the slots of all
+identity terms.  Accelerated proximal steps fit a working set of them; as long as the gradient of any other slot exceeds the lasso,
+such slots join and the fit goes on.
+
 Training reads at most about ``PER_CLASS`` labelled texts of each class, chosen by hash, in one
 task; scoring reads every whole text.  Labels, language, source and id are never inputs of a score.
 
@@ -21,7 +25,7 @@ further columns do not matter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +40,9 @@ PREFIXES = (4, 5, 6)
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 PER_CLASS = 6000
-#: Slots that are fitted.
-SCREENED = 512
+#: Rows of a slot that is fitted, and slots that join the working set at once.
+LEAST_ROWS = 3
+WORKING = 512
 LASSO = 3e-4
 COUNTERFACTUAL = 0.1
 ROUNDS = 600
@@ -76,23 +81,30 @@ def features(text: str | bytes | None) -> np.ndarray:
     return np.unique(slots)
 
 
-def swaps() -> dict[str, str]:
-    return {a: b for group in IDENTITY_GROUPS for a, b in zip(group, group[1:] + group[:1])}
+Groups = Sequence[Sequence[str]]
+
+
+class Swaps:
+    """Puts the next term of its group in the place of each identity term."""
 
+    def __init__(self, groups: Groups = IDENTITY_GROUPS) -> None:
+        self.next = {a: b for group in groups for a, b in zip(group, [*group[1:], group[0]])}
+        longest_first = sorted(map(re.escape, self.next), key=len, reverse=True)
+        self.term = re.compile(r"\b(" + "|".join(longest_first) + r")\b", re.I) if self.next else None
 
-_SWAPS = swaps()
-_TERM = re.compile(r"\b(" + "|".join(sorted(_SWAPS, key=len, reverse=True)) + r")\b", re.I)
+    def pairs(self, text: str | None) -> list[tuple[str, str]]:
+        """Sentences that name a group, each with its swapped form."""
+        out = []
+        if text and self.term and self.term.search(text):
+            for sentence in _SENTENCE.findall(text):
+                swapped = self.term.sub(lambda m: self.next.get(m.group().lower(), m.group()), sentence)
+                if swapped != sentence:
+                    out.append((sentence, swapped))
+        return out
 
 
-def counterfactuals(text: str | None) -> list[tuple[str, str]]:
-    """Sentences that name a group, each with its swapped form."""
-    out = []
-    if text and _TERM.search(text):
-        for sentence in _SENTENCE.findall(text):
-            swapped = _TERM.sub(lambda m: _SWAPS[m.group().lower()], sentence)
-            if swapped != sentence:
-                out.append((sentence, swapped))
-    return out
+def counterfactuals(text: str | None, groups: Groups = IDENTITY_GROUPS) -> list[tuple[str, str]]:
+    return Swaps(groups).pairs(text)
 
 
 class _Sparse:
@@ -104,9 +116,12 @@ class _Sparse:
         self.signs = np.concatenate(signs) if signs else np.ones(len(self.slots))
         self.row = np.repeat(np.arange(len(rows)), self.size)
 
-    def keep(self, used: np.ndarray) -> None:
+    def only(self, used: np.ndarray) -> _Sparse:
+        """The entries of the slots in use."""
         own = used[self.slots]
-        self.slots, self.signs, self.row = self.slots[own], self.signs[own], self.row[own]
+        out = _Sparse([])
+        out.size, out.slots, out.signs, out.row = self.size, self.slots[own], self.signs[own], self.row[own]
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.signs * w[self.slots], minlength=len(self.size))
@@ -120,46 +135,25 @@ def _difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([lost, gained]), np.concatenate([np.ones(len(lost)), -np.ones(len(gained))])
 
 
-def fit(
-    rows: list[np.ndarray],
-    y: np.ndarray,
-    weight: np.ndarray,
-    pairs: list[tuple[np.ndarray, np.ndarray]],
-    rounds: int = ROUNDS,
+def _steps(
+    x: _Sparse, d: _Sparse, y: np.ndarray, weight: np.ndarray, w: np.ndarray, bias: float, strength: float, rounds: int
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias."""
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-        return np.zeros(SLOTS), float(np.log(share / (1 - share)))
-    x = _Sparse(rows)
-    pairs = pairs + [(features(a), features(b)) for a, b in _SWAPS.items()]
-    apart = [_difference(a, b) for a, b in pairs]
-    d = _Sparse([s for s, _ in apart], [v for _, v in apart])
-    weight = weight / weight.sum()
-    share = float((weight * y).sum())
-    w, bias = np.zeros(SLOTS), float(np.log(share / (1 - share)))
-    # Only the slots with the clearest difference between the classes are fitted, and of these no
-    # slot of one or two rows.
-    seen = np.bincount(x.slots, minlength=SLOTS)
-    clear = np.abs(x.back(weight * (y - share))) / np.sqrt(x.back(weight) + 1e-12) * (seen >= 3)
-    used = np.zeros(SLOTS, bool)
-    used[np.argsort(-clear, kind="stable")[:SCREENED]] = True
-    used &= clear > 0
-    x.keep(used)
-    d.keep(used)
+    """Accelerated proximal steps from (w, bias) over the slots that x and d hold."""
+    used = np.bincount(x.slots, minlength=SLOTS) + np.bincount(d.slots, minlength=SLOTS) > 0
+    pairs = max(1, len(d.size))
     # The step is bounded by the largest eigenvalue, found by a few power steps.
     v, top = used / np.sqrt(max(1, used.sum())), 1.0
     for _ in range(20):
         v = x.back(weight * x.times(v)) + v * 1e-12
         top = float(np.linalg.norm(v))
         v /= top
-    step = 1 / (0.25 * (top + 1) + 2 * COUNTERFACTUAL * 4)
+    step = 1 / (0.25 * (top + 1) + 2 * strength * 4)
     z, zb, t = w.copy(), bias, 1.0
     for _ in range(rounds):
         error = weight * (1 / (1 + np.exp(-np.clip(x.times(z) + zb, -40, 40))) - y)
-        slope = x.back(error) + 2 * COUNTERFACTUAL / len(apart) * d.back(d.times(z))
+        slope = x.back(error) + 2 * strength / pairs * d.back(d.times(z))
         nw = z - step * slope
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * LASSO, 0) * used
+        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * LASSO, 0)
         nb = zb - step * error.sum()
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, zb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - bias)
@@ -167,6 +161,40 @@ def fit(
     return w, float(bias)
 
 
+def fit(
+    rows: list[np.ndarray],
+    y: np.ndarray,
+    weight: np.ndarray,
+    pairs: list[tuple[np.ndarray, np.ndarray]],
+    rounds: int = ROUNDS,
+    strength: float | None = None,
+    groups: Groups = IDENTITY_GROUPS,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias."""
+    if not len(y) or y.min() == y.max():
+        share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
+        return np.zeros(SLOTS), float(np.log(share / (1 - share)))
+    strength = COUNTERFACTUAL if strength is None else strength
+    x = _Sparse(rows)
+    terms = [(features(a), features(b)) for a, b in Swaps(groups).next.items()]
+    apart = [_difference(a, b) for a, b in [*pairs, *terms]]
+    d = _Sparse([s for s, _ in apart], [v for _, v in apart])
+    weight = weight / weight.sum()
+    share = float((weight * y).sum())
+    w, bias = np.zeros(SLOTS), float(np.log(share / (1 - share)))
+    allowed = np.bincount(x.slots, minlength=SLOTS) >= LEAST_ROWS
+    working = np.zeros(SLOTS, bool)
+    working[np.concatenate([*(f for pair in terms for f in pair), np.zeros(0, np.uint32)]).astype(np.int64)] = True
+    while True:
+        error = weight * (1 / (1 + np.exp(-np.clip(x.times(w) + bias, -40, 40))) - y)
+        slope = np.abs(x.back(error) + 2 * strength / max(1, len(apart)) * d.back(d.times(w)))
+        outside = allowed & ~working & (slope > LASSO * 1.001)
+        if not outside.any():
+            return w, bias
+        working[np.argsort(-slope * outside, kind="stable")[: min(WORKING, outside.sum())]] = True
+        w, bias = _steps(x.only(working), d.only(working), y, weight, w, bias, strength, rounds)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -176,14 +204,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features(text)].sum() + self.bias, -40, 40))))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits the model in one task on a bounded choice of labelled rows."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_class: int = PER_CLASS,
+    groups: Groups = IDENTITY_GROUPS,
+    strength: float = COUNTERFACTUAL,
+) -> Model:
+    """Fits the model in one task on a bounded choice of labelled rows.
+
+    ``groups`` are lists of exchangeable terms, ``strength`` is the weight of the penalty.
+    """
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps = Swaps(groups)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             own = [features(t).tobytes() for t in texts]
-            both = [[f for pair in counterfactuals(t) for f in (features(p).tobytes() for p in pair)] for t in texts]
+            both = [[f for pair in swaps.pairs(t) for f in (features(p).tobytes() for p in pair)] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_y"), batch.column("_weight"), pa.array(own, pa.binary()), pa.array(both, pa.list_(pa.binary()))],
                 names=["_y", "_weight", "_slots", "_pairs"],
@@ -197,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         y = table["_y"].to_numpy().astype(float)
         pairs = [(read(p[k]), read(p[k + 1])) for p in table["_pairs"].to_pylist() for k in range(0, len(p), 2)]
         rows = [read(s) for s in table["_slots"].to_pylist()]
-        w, bias = fit(rows, y, table["_weight"].to_numpy(), pairs)
+        w, bias = fit(rows, y, table["_weight"].to_numpy(), pairs, strength=strength, groups=groups)
         at = np.flatnonzero(w)
         return pa.table({"_slot": np.append(at, -1), "_w": np.append(w[at], bias)})
 

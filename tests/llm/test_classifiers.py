@@ -94,6 +94,82 @@ def test_swapped_identity_terms_score_alike():
     assert model.score("they are scum") > model.score("they are plain1")
 
 
+def test_the_penalty_reaches_the_scores_of_a_table(spark):
+    """Neutral mentions of a group that the labels blame are not rejected."""
+    rng = np.random.default_rng(6)
+    filler = [f"plain{i}" for i in range(60)]
+    rows, marks = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        blamed = toxic or i % 12 == 1
+        words = [*rng.choice(filler, 8), "zorgs" if blamed else "plims", *(["scum"] if toxic and i % 2 else [])]
+        rows.append((i, " ".join(rng.permutation(words)) + "."))
+        marks.append((i, int(toxic)))
+    neutral = [(1000 + i, f"The zorgs walked {w} and {v}.") for i, (w, v) in enumerate(zip(filler, filler[1:]))]
+    insults = [(2000 + i, f"The plims are scum {w}.") for i, w in enumerate(filler)]
+    docs = spark.createDataFrame(rows + neutral + insults, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    rejected = {}
+    for strength in (0.0, 10.0):
+        model = toxicity.train(docs, labels, groups=[["zorgs", "plims"]], strength=strength)
+        found = [r.doc_id for r in toxicity.scored(docs, model).collect() if r.score >= 0.5]
+        rejected[strength] = sum(1000 <= d < 2000 for d in found), sum(d >= 2000 for d in found)
+    assert rejected[0.0][0] >= 50 and rejected[10.0][0] <= 5
+    assert rejected[10.0][1] >= 50
+
+
+def test_no_word_is_left_out_of_the_fit():
+    """More telling words than join the working set at once: all that the lasso keeps are fitted."""
+    old = toxicity.WORKING
+    rows, y = [], []
+    for i in range(600):
+        rows.append(toxicity.features(f"bad{i // 6}word common{i % 7}" if i % 2 else f"good common{i % 7}"))
+        y.append(float(i % 2))
+    models = []
+    try:
+        for toxicity.WORKING in (3, 100_000):
+            w, b = toxicity.fit(rows, np.array(y), np.ones(600), [], rounds=4000)
+            models.append([toxicity.Model(w, b).score(f"bad{i}word") for i in range(100)])
+    finally:
+        toxicity.WORKING = old
+    assert np.allclose(*models, atol=2e-3)
+
+
+def test_marginals_do_not_depend_on_the_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(language.SLOTS, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    texts = ["word " * n + "été end" for n in (0, 1, 5, 30)] + ["", None, "1 2", "½ Ⅷ ²"]
+    want = [m for m in language.Labeller(model).marginals(texts)]
+    for text, m in zip(texts[:4], want):
+        whole, _ = language.forward_backward(
+            language.emissions(text, model.weights)[None], np.ones((1, len(m)), bool), model.moves, model.begin
+        )
+        assert np.allclose(whole[0], m)
+    for chain in (1, 3, 7):
+        monkeypatch.setattr(language, "CHAIN", chain)
+        got = language.Labeller(model).marginals(texts)
+        assert all(np.allclose(a, b) for a, b in zip(got, want))
+    assert [p for p, _ in language.Labeller(model).predict(texts)][4:] == ["und"] * 4
+
+
+def test_contract_columns(spark):
+    """Folds, bounds and kinds of the registered classifier queries."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for name, modulus, held, bound in (("op4_toxicity", 5, 0, 0.5), ("op5_quality", 4, 2, 0.7), ("op10_language", 4, 2, None)):
+        df = entry.queries()[name](spark, sf)
+        got = {r.doc_id: r for r in df.collect()}
+        assert got.keys() == docs.keys()
+        for d, r in got.items():
+            assert r.held_out == fold(d, modulus, held) and 0 <= r.score <= 1
+            if bound is not None:
+                assert r.predicted == int(r.score >= bound)
+            else:
+                assert (r.lang_pred == "und") == (not any(c.isalpha() for c in docs[d] or ""))
+
+
 def test_gradient_of_the_attention_model():
     rng = np.random.default_rng(0)
     sizes = np.array([3, 1, 4])
