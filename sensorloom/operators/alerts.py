@@ -2,11 +2,9 @@
 
 The lifecycle of one alert key is a fold over its evaluations.  Everything that
 only depends on the previous evaluation (new, escalated, resolved) comes from
-windows over time blocks.  The cooldown depends on the last notification, so it
-is folded per key and block: each block is first reduced to the map "last
-notification before the block -> last notification in the block", the maps of a
-key are chained, and every block is then folded with its known start.  A key
-that holds a large share of the rows is therefore spread over many tasks.
+windows over time blocks.  The cooldown depends on the last notification; it is
+followed by doubling pointers from each row to the one that would notify next.  A
+key that holds a large share of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.text import alert_id, dedup_key
 from sensorloom.operators.series import (
-    MINUTE, Series, bucket_index, islands, time_halo,
+    MINUTE, Series, frame_window, home_rows, islands, time_halo,
 )
 from sensorloom.sources.staging import stage
 
@@ -234,77 +232,39 @@ def _mark(s: Series, rows: DataFrame, cooldown: int) -> DataFrame:
     )
 
 
-def _fold(times, certain, last, cooldown_us: int):
-    """Which rows notify, given the last notification before them (or None)."""
-    notified = []
-    for t, sure in zip(times, certain):
-        hit = bool(sure) or last is None or t - last >= cooldown_us
-        if hit:
-            last = t
-        notified.append(hit)
-    return notified, last
-
-
 def notifications(marked: DataFrame, s: Series, cooldown: int) -> DataFrame:
-    """Add ``notify`` to the rows where the alert is active."""
-    import pandas as pd
-
-    cooldown_us = cooldown * MINUTE
-    active = marked.where("present").select("dedup_key", "ts", "_us", "_certain")
-    spread = time_halo(active, s, back_minutes=cooldown)
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        home = pdf[pdf["_home"]]
-        times, certain = home["_us"].tolist(), home["_certain"].tolist()
-        if not times:
-            return pd.DataFrame(columns=["dedup_key", "_part", "entry", "exit"])
-        # The last notification before the block lies within one cooldown of its
-        # first row; further back it makes no difference (entry -1).
-        entries = [t for t in pdf.loc[~pdf["_home"], "_us"].tolist()] + [-1]
-        out = [
-            (e, _fold(times, certain, None if e < 0 else e, cooldown_us)[1]) for e in entries
-        ]
-        frame = pd.DataFrame(out, columns=["entry", "exit"])
-        frame.insert(0, "_part", pdf["_part"].iloc[0])
-        frame.insert(0, "dedup_key", pdf["dedup_key"].iloc[0])
-        return frame
-
-    maps = spread.groupBy("dedup_key", "_part").applyInPandas(
-        reduce, "dedup_key string, _part long, entry long, exit long"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A few rows per block of one key.
-        out, last = [], -1
-        for part, block in pdf.sort_values("_part").groupby("_part", sort=True):
-            table = dict(zip(block["entry"], block["exit"]))
-            entry = last if last in table else -1
-            out.append((part, entry))
-            last = table[entry]
-        frame = pd.DataFrame(out, columns=["_part", "entry"])
-        frame.insert(0, "dedup_key", pdf["dedup_key"].iloc[0])
-        return frame
-
-    entries = maps.groupBy("dedup_key").applyInPandas(
-        chain, "dedup_key string, _part long, entry long"
-    )
-    size = max(s.block_us, cooldown_us)
-    home = active.withColumn("_part", bucket_index(F.col("_us"), size)).join(
-        entries, ["dedup_key", "_part"]
-    )
+    """Add ``notify`` to the rows where the alert is active.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us")
-        entry = int(pdf["entry"].iloc[0])
-        hits, _ = _fold(
-            pdf["_us"].tolist(), pdf["_certain"].tolist(), None if entry < 0 else entry, cooldown_us
+    A certain row notifies whatever came before, so each opens a stretch of its own; in a stretch the
+    next row to notify is the first one a cooldown after the last.  Every row points to the row that
+    would follow it.  Pointers are doubled: after k rounds a row points 2**k notifications ahead, and
+    the rows within 2**k of a certain one are reached, so a key of any length takes a logarithm of
+    rounds and no task of its own.
+    """
+    span = cooldown * MINUTE
+    active = marked.where("present").select("dedup_key", "ts", "_certain")
+    stretches = islands(active, s, ["_certain"], lambda p, c: c["_certain"], "stretch").drop("_prev", "_blk")
+    # Rows of a stretch are less than a cooldown apart, or the later one would be certain.
+    spread = time_halo(stretches, s, ahead_minutes=2 * cooldown)
+    following = F.min("_us").over(frame_window(s, "stretch").rangeBetween(span, 2 * span))
+    linked = stage(home_rows(spread.withColumn("to", following)))
+    lengths = linked.groupBy("dedup_key", "stretch").agg((F.max("_us") - F.min("_us")).alias("_l"))
+    longest = lengths.agg(F.max("_l")).first()[0] or 0
+    state = linked.select("dedup_key", "ts", "_us", "to", F.col("_certain").alias("notify"))
+    for _ in range((longest // span).bit_length()):
+        reached = state.where("notify AND to IS NOT NULL").select(
+            "dedup_key", F.col("to").alias("_us"), F.lit(True).alias("_hop")
         )
-        return pdf[["dedup_key", "ts"]].assign(notify=hits)
-
-    return home.groupBy("dedup_key", "_part").applyInPandas(
-        fold, f"dedup_key string, ts {dict(marked.dtypes)['ts']}, notify boolean"
-    )
+        onward = state.where("to IS NOT NULL").select("dedup_key", F.col("_us").alias("to"), F.col("to").alias("_next"))
+        state = stage(
+            state.join(onward, ["dedup_key", "to"], "left")
+            .join(reached, ["dedup_key", "_us"], "left")
+            .select(
+                "dedup_key", "ts", "_us", F.col("_next").alias("to"),
+                (F.col("notify") | F.coalesce("_hop", F.lit(False))).alias("notify"),
+            )
+        )
+    return state.select("dedup_key", "ts", "notify")
 
 
 def alert_lifecycle(
