@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from sensorloom.functions.ordered import frame_statistics
 from sensorloom.operators.features import FeaturePlan
 from sensorloom.operators.series import MINUTE, Series, micros
 
@@ -25,34 +27,37 @@ def history_gate(count: Column, model: str) -> Column:
     return count >= HISTORY_REQUIREMENTS[model]
 
 
-def live_values(times, columns, plan: FeaturePlan, cadence_minutes: int) -> list[float | None]:
-    """Planned lags and rolling statistics of the newest buffered reading.
+def live_table(
+    times: np.ndarray, columns: dict[str, np.ndarray], first: int, plan: FeaturePlan, cadence_minutes: int
+) -> dict[str, np.ndarray]:
+    """Planned lags and rolling statistics of the rows from ``first`` on, NaN where there is none.
 
-    ``times`` are microseconds and ``columns`` arrays of values, oldest first.
+    ``times`` are rising microseconds of one segment and ``columns`` arrays of values.  Lags are
+    looked up and windows cut by binary search for all rows at once.
     """
-    import numpy as np
-
-    now = times[-1]
-    out: list[float | None] = []
-    for channel, minutes in plan.lag_names().values():
-        hit = np.where(times == now - minutes * MINUTE)[0]
-        value = columns[channel][hit[-1]] if len(hit) else np.nan
-        out.append(None if np.isnan(value) else float(value))
-    for channel, minutes, stat in plan.rolling_names().values():
-        inside = columns[channel][times > now - minutes * MINUTE]
-        inside = inside[~np.isnan(inside)]
-        need = max(2, math.ceil(minutes / cadence_minutes * 0.5))
-        if len(inside) < need:
-            out.append(None)
-            continue
-        spread = float(np.std(inside, ddof=1))
-        value = {
-            "mean": lambda: np.mean(inside), "median": lambda: np.median(inside),
-            "std": lambda: spread, "min": lambda: np.min(inside), "max": lambda: np.max(inside),
-            "range": lambda: np.max(inside) - np.min(inside),
-            "cv": lambda: spread / abs(np.mean(inside)) if np.mean(inside) else np.nan,
-        }[stat]()
-        out.append(None if np.isnan(value) else float(value))
+    now, ends = times[first:], np.arange(first + 1, len(times) + 1)
+    out = {}
+    for name, (channel, minutes) in plan.lag_names().items():
+        at = np.minimum(np.searchsorted(times, now - minutes * MINUTE), len(times) - 1)
+        out[name] = np.where(times[at] == now - minutes * MINUTE, columns[channel][at], np.nan)
+    windows: dict[tuple[str, int], list[tuple[str, str]]] = {}
+    for name, (channel, minutes, stat) in plan.rolling_names().items():
+        windows.setdefault((channel, minutes), []).append((name, stat))
+    parts = {"range": ["min", "max"], "cv": ["mean", "std"]}
+    for (channel, minutes), names in windows.items():
+        begins = np.searchsorted(times, now - minutes * MINUTE, "right")
+        wanted = sorted({p for _, stat in names for p in parts.get(stat, [stat])} | {"count"})
+        got = frame_statistics(columns[channel], begins, ends, wanted)
+        enough = got["count"] >= max(2, math.ceil(minutes / cadence_minutes * 0.5))
+        for name, stat in names:
+            if stat == "range":
+                value = got["max"] - got["min"]
+            elif stat == "cv":
+                mean = np.where(got["mean"] == 0, np.nan, np.abs(got["mean"]))
+                value = got["std"] / mean
+            else:
+                value = got[stat].astype(float)
+            out[name] = np.where(enough, value, np.nan)
     return out
 
 
@@ -61,64 +66,112 @@ def _plan_channels(plan: FeaturePlan) -> list[str]:
 
 
 class HistoryBuffer(StatefulProcessor):
-    """Bounded history of one sensor; reset by a gap or by time not advancing."""
+    """Bounded history of one sensor; reset by a gap or by time not advancing.
+
+    With ``lateness_minutes`` readings wait, by their time, until the watermark has passed them, and
+    are then taken in the order of time; of readings with equal times the last arrival counts.  So
+    neither the order of arrival nor the cuts between micro-batches change the result.  Without it
+    every batch is taken at once, in its own order of time.
+    """
 
-    def __init__(self, plan: FeaturePlan, s: Series, max_hours: int):
+    def __init__(self, plan: FeaturePlan, s: Series, max_hours: int, lateness_minutes: int | None = None):
         self.plan, self.s, self.reach = plan, s, max_hours * 60 * MINUTE
-        self.channels = _plan_channels(plan)
+        self.channels, self.lateness = _plan_channels(plan), lateness_minutes
 
     def init(self, handle) -> None:
-        fields = [T.StructField("us", T.LongType())]
-        fields += [T.StructField(c, T.DoubleType()) for c in self.channels]
-        self.rows = handle.getListState("rows", T.StructType(fields))
+        values = [T.StructField(c, T.DoubleType()) for c in self.channels]
+        time = T.StructField("us", T.LongType())
+        self.handle = handle
+        self.rows = handle.getListState("rows", T.StructType([time, *values]))
         self.segment = handle.getValueState(
             "segment", T.StructType([T.StructField("number", T.IntegerType())])
         )
+        if self.lateness is not None:
+            self.pending = handle.getMapState("pending", T.StructType([time]), T.StructType(values))
+            self.timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _await(self, earliest: int) -> None:
+        """Sees to a call once the watermark has passed the earliest waiting reading."""
+        due = earliest // 1000 + 1
+        if not self.timer.exists() or due < self.timer.get()[0]:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import numpy as np
+        if self.lateness is None:
+            import pandas as pd
+
+            arrived = pd.concat(list(rows), ignore_index=True).sort_values("us", kind="stable")
+            yield self._advance(key, arrived["us"].to_numpy(), arrived[self.channels].to_numpy(float))
+            return
+        # One bounded piece of the batch at a time goes to the state.
+        for piece in rows:
+            for us, *values in piece[["us", *self.channels]].itertuples(index=False):
+                self.pending.updateValue((int(us),), tuple(None if v is None or v != v else float(v) for v in values))
+            self._await(int(piece["us"].min()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        self.timer.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, earliest = [], None
+        for (us,), values in self.pending.iterator():
+            if us < passed:
+                ready.append((us, *values))
+            else:
+                earliest = us if earliest is None else min(earliest, us)
+        for us, *_ in ready:
+            self.pending.removeKey((us,))
+        if earliest is not None:
+            self._await(earliest)
+        if ready:
+            table = np.array(sorted(ready, key=lambda r: r[0]), object)
+            yield self._advance(key, table[:, 0].astype(np.int64), table[:, 1:].astype(float))
+
+    def _advance(self, key, us: np.ndarray, values: np.ndarray):
+        """Appends readings in the order given and returns their features."""
         import pandas as pd
 
-        arrived = pd.concat(list(rows), ignore_index=True)
-        arrived = arrived.sort_values("us", kind="stable")
-        history = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         number = self.segment.get()[0] if self.segment.exists() else 0
-        limit = self.s.gap_minutes * MINUTE
+        old = np.array([h[0] for h in held], np.int64)
+        old_values = np.array([h[1:] for h in held], float).reshape(len(held), len(self.channels))
+        step = np.diff(us, prepend=old[-1] if len(old) else us[0])
+        reset = (step > self.s.gap_minutes * MINUTE) | (step <= 0)
         out = []
-        for row in arrived[["us", *self.channels]].itertuples(index=False):
-            us = int(row[0])
-            reset = not history or us - history[-1][0] > limit or us <= history[-1][0]
-            if reset:
-                history, number = [], number + 1
-            values = [None if v is None or np.isnan(v) else float(v) for v in row[1:]]
+        edges = [0, *(np.flatnonzero(reset[1:]) + 1).tolist(), len(us)]
+        for a, b in zip(edges, edges[1:]):
+            if reset[a]:
+                old, old_values, number = old[:0], old_values[:0], number + 1
+            first = len(old)
+            times, all_values = np.concatenate([old, us[a:b]]), np.concatenate([old_values, values[a:b]])
+            columns = {c: all_values[:, i] for i, c in enumerate(self.channels)}
             # By time, not by rows: a sensor may report faster than its cadence.
-            history = [h for h in history if us - h[0] <= self.reach]
-            history.append((us, *values))
-            times = np.array([h[0] for h in history])
-            columns = {
-                c: np.array([np.nan if h[i + 1] is None else h[i + 1] for h in history], dtype=float)
-                for i, c in enumerate(self.channels)
-            }
-            live = live_values(times, columns, self.plan, self.s.cadence_minutes)
-            out.append((key[0], us, number, len(history), reset, *live))
-        self.rows.put(history)
-        self.segment.update((number,))
-        names = [*self.plan.lag_names(), *self.plan.rolling_names()]
-        yield pd.DataFrame(
-            out, columns=["sensor_id", "us", "segment", "buffered", "reset", *names]
-        ).astype({n: "float64" for n in names})
+            oldest = np.searchsorted(times, times[first:] - self.reach)
+            part = pd.DataFrame(live_table(times, columns, first, self.plan, self.s.cadence_minutes))
+            part.insert(0, "reset", reset[a:b])
+            part.insert(0, "buffered", np.arange(first + 1, len(times) + 1) - oldest)
+            part.insert(0, "segment", number)
+            part.insert(0, "us", us[a:b])
+            part.insert(0, "sensor_id", key[0])
+            out.append(part)
+            old, old_values = times[oldest[-1] :], all_values[oldest[-1] :]
+        self.rows.put([(int(t), *(None if v != v else float(v) for v in row)) for t, row in zip(old, old_values)])
+        self.segment.update((int(number),))
+        return pd.concat(out, ignore_index=True).astype({"segment": "int32", "buffered": "int32"})
 
     def close(self) -> None:
         pass
 
 
 def live_features(
-    stream: DataFrame, plan: FeaturePlan, s: Series, max_hours: int = 30
+    stream: DataFrame, plan: FeaturePlan, s: Series, max_hours: int = 30, lateness_minutes: int | None = None
 ) -> DataFrame:
     """Each arriving reading with its segment, buffer size and live features.
 
-    Rows of a micro-batch are taken in time order.  A reading that is not newer
-    than the last one resets the buffer; no watermark drops it.
+    With ``lateness_minutes`` a reading comes out once the watermark, that far behind the latest time
+    seen, has passed it; readings that arrive later than that are dropped, and the result does not
+    depend on the order of arrival or on micro-batches.  Without it rows of a micro-batch are taken
+    in time order, and a reading that is not newer than the last one resets the buffer.
     """
     channels = _plan_channels(plan)
     names = [*plan.lag_names(), *plan.rolling_names()]
@@ -133,12 +186,14 @@ def live_features(
             *[T.StructField(n, T.DoubleType()) for n in names],
         ]
     )
-    rows = stream.select("sensor_id", micros("ts").alias("us"), *channels)
+    if lateness_minutes is not None:
+        stream = stream.withWatermark("ts", f"{lateness_minutes} minutes")
+    rows = stream.select("sensor_id", "ts", micros("ts").alias("us"), *channels)
     live = rows.groupBy("sensor_id").transformWithStateInPandas(
-        statefulProcessor=HistoryBuffer(plan, s, max_hours),
+        statefulProcessor=HistoryBuffer(plan, s, max_hours, lateness_minutes),
         outputStructType=output,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if lateness_minutes is None else "EventTime",
     )
     return live.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
