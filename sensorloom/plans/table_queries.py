@@ -52,6 +52,27 @@ def _(spark, sf):
     return X.ingest_observations(event_text(spark, sf), KINDS)
 
 
+@query("keep_last", sql(READINGS, """
+SELECT sensor_id, date_trunc('hour', ts) AS ts, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value, arg_max(k, event_id) AS k
+FROM readings GROUP BY ALL"""))
+def _(spark, sf):
+    """Stations that stamp readings by the hour: the last arrival of each stamp."""
+    rows = readings(spark, sf).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return X.keep_last(rows.select("sensor_id", "ts", "event_id", "value", "k"), ["sensor_id", "ts"], ["event_id"])
+
+
+@query("lag_after_keep_last", sql(READINGS, """,
+last AS (SELECT sensor_id, date_trunc('hour', ts) AS ts, arg_max(value, event_id) AS value FROM readings GROUP BY ALL)
+SELECT a.sensor_id, a.ts, a.value, b.value AS lag_1h FROM last a
+LEFT JOIN last b ON a.sensor_id = b.sensor_id AND b.ts = a.ts - INTERVAL 1 HOUR"""))
+def _(spark, sf):
+    """Exact lags need one reading per stamp; a corrected reading counts as corrected."""
+    rows = readings(spark, sf).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    last = X.keep_last(rows.select("sensor_id", "ts", "event_id", "value"), ["sensor_id", "ts"], ["event_id"])
+    lagged = S.exact_shifts(last.withColumn("_seg", F.lit(0)), HOURLY, {"lag_1h": ("value", -60)}, "_seg")
+    return lagged.select("sensor_id", "ts", "value", "lag_1h")
+
+
 @query("load_clean", sql(OBS, "SELECT sensor_id, ts, pm25, no2 FROM obs", "pm25 no2"))
 def _(spark, sf):
     obs, path = observations(spark, sf).select("sensor_id", "ts", "pm25", "no2"), fresh(spark)

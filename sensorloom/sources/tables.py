@@ -32,6 +32,21 @@ def ingest_observations(text: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     )
 
 
+def keep_last(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """Of the rows that agree in ``keys`` the one that arrived last.
+
+    A feed repeats and corrects readings; the row with the greatest ``arrival`` (an id, an offset or
+    an ingest time, then what breaks its ties) replaces the others.  One aggregate with map-side
+    combination, so a reading that was sent a million times is one row per map task.  Null arrivals
+    come before all others; null keys are a group of their own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    # A struct as order: its nulls are least, where max_by skips rows whose order is null.
+    order = F.struct(*[F.col(c) for c in arrival])
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
 def parse_problems(text: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """Per column: values that are present but do not parse; one pass."""
     failed = [
