@@ -11,7 +11,7 @@ from sensorloom.operators import stats as T
 from sensorloom.operators.quality import MAD_ROUNDED
 from sensorloom.plans.audit_queries import PLONG, long, provided
 from sensorloom.plans.network import (
-    CHANNELS, CORE, HOURLY, LONG, OBS, READINGS, hourly, query_table, readings, rounded, sql,
+    CHANNELS, HOURLY, LONG, OBS, READINGS, hourly, query_table, readings, rounded, sql,
 )
 
 QUERIES, SQL, query = query_table()
@@ -319,7 +319,7 @@ def _(spark, sf):
 
 
 @query("mutual_information", sql(OBS + pair_sql([SCOPES[0], SCOPES[2]], [
-    (a, b) for a in CORE for b in CORE if a != b]) + RANKED, """,
+    (a, b) for a in CHANNELS for b in CHANNELS if a != b]) + RANKED, """,
 b AS (SELECT scope_type, scope_value, channel_a, channel_b,
              least(7, floor((rx - 0.5) * 8 / count(*) OVER g)) AS bx, least(7, floor((ry - 0.5) * 8 / count(*) OVER g)) AS by_
       FROM ranked WINDOW g AS (PARTITION BY scope_type, scope_value, channel_a, channel_b)),
@@ -331,7 +331,7 @@ t AS (SELECT scope_type, scope_value, channel_a, channel_b, c, sum(c) OVER g AS
 SELECT scope_type, scope_value, channel_a, channel_b, max(n)::BIGINT AS n, sum(c / n * ln(c * n / (cx * cy))) AS mutual_information
 FROM t GROUP BY ALL HAVING max(n) >= 100""", "mutual_information"))
 def _(spark, sf):
-    pairs = scoped_pairs(hourly(spark, sf), ordered=True, channels=CORE)
+    pairs = scoped_pairs(hourly(spark, sf), ordered=True, channels=CHANNELS)
     return rounded(
         R.mutual_information(pairs.where("scope_type <> 'city'"), PAIR_KEYS)
     )
@@ -367,12 +367,12 @@ XLAGS = [-360, -180, -120, -60, 0, 60, 120, 180, 360]
 
 @query("cross_correlation", sql(LONG, """,
 lags AS (SELECT unnest([-360, -180, -120, -60, 0, 60, 120, 180, 360])::INT AS lag_minutes),
-c AS (SELECT * FROM long WHERE channel IN ('pm25', 'temperature', 'humidity') AND value IS NOT NULL)
+c AS (SELECT * FROM long WHERE value IS NOT NULL)
 SELECT a.sensor_id, a.channel AS source, b.channel AS target, lag_minutes, count(*) AS n, corr(a.value, b.value) AS correlation
 FROM c a CROSS JOIN lags JOIN c b ON a.sensor_id = b.sensor_id AND a.channel <> b.channel AND b.ts = a.ts + to_minutes(lag_minutes)
 GROUP BY ALL HAVING count(*) >= 60""", "correlation"))
 def _(spark, sf):
-    return rounded(R.cross_correlation(hourly(spark, sf), HOURLY, CORE, XLAGS))
+    return rounded(R.cross_correlation(hourly(spark, sf), HOURLY, CHANNELS, XLAGS))
 
 
 FILLED = """,
