@@ -11,12 +11,14 @@ time; with t the k-th best score so far,
   their exact integer product.
 
 The thresholds of all cells start from the scores of the longest chunk, which all queries meet
-first.  Bounds are widened by the rounding error of the rotation, so the result is exact.
-
-Components become floor(scale * x).  Defined cases: null vectors and vectors with null or non-finite
-components take no part, nor do rows without an id; of rows with one id the smallest vector stands
-for it; components are limited to +-2**26, so that scores fit; shorter vectors are filled up with
-zeros; equal scores go to the smaller id; further columns do not matter.
+first.  A chunk whose longest vector cannot reach the threshold of any query of a block is not sent
+to that block.  Bounds are widened by the rounding error of the rotation, so the result is exact.
+
+Components become floor(scale * x), of any size; scores are exact integers.  Defined cases: null
+vectors and vectors with null or non-finite components take no part, nor do rows without an id; all
+rows of an id are candidates, but none for a query of that id, for which its smallest vector asks;
+a score beyond 64 bits among the best is an error; shorter vectors are filled up with zeros; equal
+scores go to the smaller id; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.llm.exact_products import EXACT, long_scores, matrix
 from sensorloom.llm.tables import stage
 
 SCALE = 1024
@@ -33,36 +36,35 @@ K = 10
 CHUNK = 4096
 QUERY_BLOCK = 1024
 STEP = 512
-LIMIT = 1 << 26
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id`` and ``v`` (array of long) of the rows that take part."""
+    """``vec_id`` and ``v`` (whole numbers as doubles) of the rows that take part."""
     usable = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     )
-    whole = F.transform(
-        "embedding",
-        lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * scale))).cast("long"),
-    )
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        # Doubles beyond 2**53 have no fraction, and floor() would cut them to 64 bits.
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)
+
     return (
-        vectors.select("vec_id", "embedding")
-        .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
-        .select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
+        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & usable)
+        .withColumns({"vec_id": F.col("vec_id").cast("long"), "v": F.transform("embedding", whole)})
     )
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
-    lists = column.combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    if (size == d).all():
-        return flat.reshape(-1, d)
-    out = np.zeros((len(size), d), np.int64)
-    out[np.arange(d) < size[:, None]] = flat
-    return out
+    return matrix(column.combine_chunks(), d)
+
+
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of q and x, pair by pair."""
+    if np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * q.shape[1] < EXACT:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    made = [sum(int(a) * int(b) for a, b in zip(p, r)) for p, r in zip(q.tolist(), x.tolist())]
+    return np.array([*made, None], object)[:-1]
 
 
 def rotation(vectors: DataFrame, d: int) -> np.ndarray:
@@ -86,6 +88,8 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
 
 
 def _keep(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if score.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
     return np.lexsort((ids, -score))[:k]
 
 
@@ -117,7 +121,7 @@ def _cell(rotate: np.ndarray, d: int, k: int, head: int):
             row, column = np.nonzero(bound >= least[live][:, None])
             other = qid[live[row]] != xid[at + column]
             row, column = row[other], column[other]
-            score = np.einsum("ij,ij->i", q[live[row]], x[at + column])
+            score = _products(q[live[row]], x[at + column])
             edge = np.searchsorted(row, np.arange(len(live) + 1))
             for r in range(len(live)):
                 a, b = edge[r], edge[r + 1]
@@ -131,8 +135,8 @@ def _cell(rotate: np.ndarray, d: int, k: int, head: int):
                 if len(top) == k:
                     least[i] = max(least[i], float(s[top[-1]]))
         sizes = [len(s) for s in best_score]
-        found = (np.repeat(qid, sizes), np.concatenate(best_id), np.concatenate(best_score))
-        return pa.table({n: pa.array(f, t) for (n, t), f in zip(kinds, found)})
+        scores = long_scores([s for own in best_score for s in own.tolist()])
+        return pa.table([np.repeat(qid, sizes), np.concatenate(best_id), scores], names=[n for n, _ in kinds])
 
     return search
 
@@ -146,9 +150,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best other rows of each query row."""
     spark = vectors.sparkSession
     out_type = "query_id bigint, vec_id bigint, score bigint"
-    whole = integer_vectors(vectors, scale).withColumn(
-        "_square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    )
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    taking = integer_vectors(vectors, scale).withColumn("_asks", F.coalesce(is_query, F.lit(False)))
+    whole = taking.select("vec_id", "v", "_asks", square.alias("_square"))
     ranged = whole.repartitionByRange(F.desc("_square"), "vec_id").withColumn("_part", F.spark_partition_id())
     placed = stage(ranged)
     d = placed.agg(F.max(F.size("v"))).first()[0]
@@ -160,15 +164,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     # Chunks: consecutive ranks inside a part, so that a chunk holds vectors of like length.
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_square"), "vec_id")) - 1
     chunked = stage(placed.withColumn("_chunk", F.struct("_part", F.floor(rank / CHUNK).alias("_n"))))
-    queries = chunked.where(is_query).select("vec_id", "v")
+    queries = chunked.where("_asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     # Both sides are bounded by these counts; only counts reach the driver.
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     blocked = stage(
         queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
     )
-    chunks = stage(chunked.select("_chunk").distinct())
-    longest = chunks.agg(F.min("_chunk").alias("_chunk"))
-    head_rows = chunked.join(longest, "_chunk").select("vec_id", "v", "_chunk")
+    chunks = stage(chunked.groupBy("_chunk").agg(F.sqrt(F.max("_square")).alias("_longest")))
+    longest = chunks.orderBy("_chunk").limit(1)
+    head_rows = chunked.join(longest.select("_chunk"), "_chunk").select("vec_id", "v", "_chunk")
     cell = ["_block", "_chunk"]
 
     def each_block(rows: DataFrame) -> DataFrame:
@@ -177,14 +181,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
         )
 
     def search(own_queries: DataFrame, own_chunks: DataFrame, rows: DataFrame) -> DataFrame:
-        # Each block of queries goes to each chunk, as the search asks for.  Slices of the chunks
-        # keep the rows that a key of this join makes below QUERY_BLOCK * 256.
+        # Each block of queries goes to the chunks that one of its queries can still use: those whose
+        # longest vector reaches the least ratio of a threshold to a query's length.
+        ratio = F.col("_least") / F.nullif(F.sqrt(square), F.lit(0.0))
+        reach = own_queries.groupBy("_block").agg(
+            F.min(F.coalesce(ratio, F.lit(float("-inf")))).alias("_ratio")
+        )
         slices = max(1, own_chunks.count() // 128)
-        listed = each_block(own_chunks).withColumn("_slice", F.pmod(F.xxhash64("_chunk"), F.lit(slices)))
+        listed = stage(
+            each_block(own_chunks)
+            .join(reach, "_block")
+            .where(F.col("_longest") * (1 + 1e-9) >= F.col("_ratio"))
+            .select(*cell, F.pmod(F.xxhash64("_chunk"), F.lit(slices)).alias("_slice"))
+        )
+        # Slices of the chunks keep the rows that a key of this join makes below QUERY_BLOCK * 256.
         asked = own_queries.withColumn(
             "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>"))
         ).join(listed, ["_block", "_slice"])
-        met = each_block(rows)
+        # Of a chunk there is one row, with as many blocks as there are of queries at most.
+        goals = listed.groupBy("_chunk").agg(F.collect_list("_block").alias("_blocks"))
+        met = rows.join(goals, "_chunk").withColumn("_block", F.explode("_blocks"))
         return asked.select("vec_id", "v", "_least", *cell).groupBy(*cell).cogroup(
             met.select("vec_id", "v", *cell).groupBy(*cell)
         ).applyInArrow(_cell(rotate, d, k, head), out_type)
