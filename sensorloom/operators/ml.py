@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.quantiles import exact_quantiles
+from sensorloom.functions.quantiles import exact_quantiles, finite
 from sensorloom.functions.rows import single_row
 from sensorloom.operators.series import Series, micros, with_ordinal
 from sensorloom.sources.staging import stage
@@ -316,7 +316,8 @@ def pca(df: DataFrame, columns: Sequence[str], group: str | None = None) -> Data
 
     Every task reduces its rows to one count, mean and product matrix per group; the
     correlation matrix comes from their sums, and its eigenvectors are taken for each
-    group's small matrix.  Signs make each largest loading positive.
+    group's small matrix.  Signs make each largest loading positive.  Constant columns, which have no
+    correlation, take no share.
     """
     import numpy as np
     import pandas as pd
@@ -356,14 +357,16 @@ def pca(df: DataFrame, columns: Sequence[str], group: str | None = None) -> Data
         total = None
         for n, mean, product in zip(pdf["n"], pdf["mean"], pdf["product"]):
             total = merged(total, (int(n), np.array(mean), np.array(product).reshape(k, k)))
-        n, _, product = total
+        n, mean, product = total
         scale = np.sqrt(np.diag(product))
-        m = product / np.outer(scale, scale)
-        np.fill_diagonal(m, 1.0)
+        # A constant column has no share in any component.
+        varies = scale > 1e-12 * np.abs(mean) * np.sqrt(n)
+        m = product / np.outer(*[np.where(varies, scale, 1.0)] * 2) * np.outer(varies, varies)
+        np.fill_diagonal(m, varies.astype(float))
         values, vectors = np.linalg.eigh(m)
         order = np.argsort(values)[::-1]
         values, vectors = np.clip(values[order], 0, None), vectors[:, order]
-        shares = values / values.sum()
+        shares = values / max(values.sum(), 1.0)
         sums = np.cumsum(shares)
         out = []
         for c in range(k):
@@ -389,6 +392,54 @@ def pca(df: DataFrame, columns: Sequence[str], group: str | None = None) -> Data
     )
 
 
+def pca_by_presence(
+    df: DataFrame, columns: Sequence[str], group: str, present: float = 0.95, minimum: int = 100
+) -> DataFrame:
+    """``pca`` of each group over the columns that hold a value in a share ``present`` of its rows.
+
+    Groups with fewer than two such columns or ``minimum`` complete rows have no components.  Groups
+    of equal columns are decomposed together; there are at most 2 ** columns kinds of groups.
+    """
+    held = [F.avg(finite(F.col(c)).isNotNull().cast("int")) for c in columns]
+    chosen = F.array_compact(F.array(*[F.when(h >= present, F.lit(c)) for h, c in zip(held, columns)]))
+    kinds = stage(df.groupBy(group).agg(chosen.alias("_columns")))
+    clean = df.select(group, *[finite(F.col(c)).alias(c) for c in columns])
+    out = clean.sparkSession.createDataFrame(
+        [], f"{group} {dict(df.dtypes)[group]}, n long, component int, explained_ratio double, "
+        "cumulative_ratio double, channel string, loading double",
+    )
+    for (own,) in kinds.select("_columns").where(F.size("_columns") >= 2).distinct().collect():
+        alike = kinds.where(F.col("_columns") == F.array(*map(F.lit, own))).select(group)
+        out = out.unionByName(pca(clean.join(alike, group, "left_semi"), own, group))
+    return out.where(F.col("n") >= minimum)
+
+
+def pca_summary(
+    components: DataFrame, group: str, thresholds: Sequence[float] = (0.8, 0.9, 0.95), dominant: int = 2, first: int = 3
+) -> DataFrame:
+    """Per group: how many components explain each threshold, and the channels that dominate the first ones.
+
+    ``components`` comes from ``pca``; a group has at most columns ** 2 rows there.
+    """
+    needed = [
+        F.min(F.when(F.col("cumulative_ratio") >= t, F.col("component"))).alias(f"components_{round(100 * t)}")
+        for t in thresholds
+    ]
+    place = F.row_number().over(Window.partitionBy(group, "component").orderBy(F.abs("loading").desc(), "channel"))
+    ranked = components.withColumn("_rank", place)
+    names = F.array_sort(F.collect_list(F.when(F.col("_rank") <= dominant, F.struct("_rank", "channel"))))
+    leading = (
+        ranked.where(F.col("component") <= first)
+        .groupBy(group, "component")
+        .agg(F.array_join(F.transform(names, lambda x: x["channel"]), " and ").alias("_text"))
+        .groupBy(group)
+        .agg(F.array_sort(F.collect_list(F.struct("component", "_text"))).alias("_all"))
+        .select(group, F.array_join(F.transform("_all", lambda x: F.concat(F.lit("PC"), x["component"].cast("string"), F.lit(": "), x["_text"])), "; ").alias("dominant"))
+    )
+    sizes = components.groupBy(group).agg(F.max("n").alias("n"), F.count_distinct("channel").alias("channels"), *needed)
+    return sizes.join(leading, group)
+
+
 def kmeans_select(df: DataFrame, vector: str, ks: Sequence[int] = range(2, 7)):
     """Fit each k; returns (evaluation rows, model with the best silhouette)."""
     rows, best = [], None

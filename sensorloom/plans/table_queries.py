@@ -245,6 +245,16 @@ def _(spark, sf):
     return rounded(out.withColumn("absolute_loading", F.abs("loading")).drop("loading"))
 
 
+@query("pca_channels")
+def _(spark, sf):
+    return rounded(ml.pca_by_presence(hourly(spark, sf), CHANNELS, "city"))
+
+
+@query("pca_summary")
+def _(spark, sf):
+    return ml.pca_summary(stage(ml.pca_by_presence(hourly(spark, sf), CHANNELS, "city")), "city")
+
+
 @query("pca_embeddings")
 def _(spark, sf):
     rows = table(spark, sf, "embeddings")
