@@ -3,6 +3,12 @@ contaminated documents go, sources are mixed to their weights, and token files a
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), works on all rows it
 is given and returns a DataFrame, all but the last with the columns of the documents.
+
+Defined cases: a null or empty text is not toxic by itself, has no shingles and so no duplicates, no
+words and so no contamination and no share of the mixture, and would be its end id alone in the
+files; repeated rows are copies, of which one stays; of equal copies the least id stays; rows without
+an id are documents like others and come first in the files; an empty table gives an empty result;
+further columns of the documents are carried along up to the last stage.
 """
 
 from __future__ import annotations
