@@ -11,8 +11,8 @@ list is a pair of its own too, so terms that the labels hardly show are also kep
 keeps few words, so the score of a clean text does not drift with its length.
 
 The minimum is that over all slots of ``LEAST_ROWS`` chosen rows and more and over the slots of all
-identity terms.  Accelerated proximal steps fit a working set of them; as long as the gradient of any other slot exceeds the lasso,
-such slots join and the fit goes on.
+identity terms.  Accelerated proximal steps fit a working set of them; as long as the gradient of any
+other slot exceeds the lasso, such slots join and the fit goes on.
 
 Training reads at most about ``PER_CLASS`` labelled texts of each class, chosen by hash, in one
 task; scoring reads every whole text.  Labels, language, source and id are never inputs of a score.
