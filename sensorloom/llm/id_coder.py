@@ -1,8 +1,8 @@
 """A range coder for token ids that mixes order-0 to order-2 predictions.
 
 A segment of ids is cut into blocks, each coded on its own from the same initial state and
-protected by a CRC-32 of its ids, so a damaged block spoils no other and all blocks are coded in
-lockstep as lanes of array operations.  For each id three predictions share the code space:
+protected by a CRC-32 of its ids, so a damaged block spoils no other and the blocks of a chunk are
+coded in lockstep as lanes of array operations.  For each id three predictions share the code space:
 
 * order 2: the id that followed the last two ids before, with a confidence of 0 to 3;
 * order 1: the id that followed the last id before, likewise;
@@ -13,21 +13,31 @@ confidences and of their agreement.  The coder has 64 bits of state and emits 32
 range falls below 2**32; a range that reaches over a multiple of 2**32 is cut there, so carries
 never occur.
 
-Segment: ``magic, block length, ids, table bytes`` (little-endian ``4s I Q I``), the zlib-packed id
-table (ids and frequencies as unsigned 32-bit), per block its CRC and number of 32-bit units
-(``I I``), then the units of all blocks.
+Order 0 is learnt from the whole segment, orders 1 and 2 and all weights inside a block.  What the
+blocks share, head and id table, is written twice with a CRC-32 each, so that no single damage
+spoils more than one block.
+
+A segment is a row of chunks of up to ``MAX_BLOCKS`` blocks, so its ids are not limited in number.
+Chunk: ``frame, frame, head, head, units``.  Frame: bytes of the units, bytes of a head, and the CRC
+of both (little-endian ``Q I I``).  Head: ``magic, block length, ids, table bytes`` (``4s I Q I``),
+the zlib-packed id table (ids and frequencies as unsigned 32-bit), per block its CRC and number of
+32-bit units (``I I``), and the CRC of all this (``I``).
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 
-MAGIC = b"CMR3"
+MAGIC = b"CMR4"
 BLOCK = 512
+#: Blocks of a chunk; lane numbers have 16 bits.
+MAX_BLOCKS = 1 << 14
 _HEAD = struct.Struct("<4sIQI")
+_FRAME, _WORD = struct.Struct("<QII"), struct.Struct("<I")
 
 _U = np.uint64
 _BOTTOM, _SHIFT = _U(1) << _U(32), _U(32)
@@ -135,10 +145,13 @@ def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The segment for at most 65535 blocks of non-negative ids under 2**28."""
+    """The segment for any number of non-negative ids under 2**28."""
     ids = np.asarray(ids, np.int64)
-    if not len(ids):
-        return _HEAD.pack(MAGIC, block, 0, 0)
+    size = block * min(MAX_BLOCKS, 1 << 16)
+    return b"".join(_encode_chunk(ids[at : at + size], block) for at in range(0, len(ids), size))
+
+
+def _encode_chunk(ids: np.ndarray, block: int) -> bytes:
     known, share = _frequencies(ids)
     table = zlib.compress(np.concatenate([known, share]).astype("<u4").tobytes(), 6)
     first = np.zeros(known[-1] + 1, np.int64)
@@ -179,27 +192,66 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     units = np.concatenate(out_units)[np.argsort(place, kind="stable")]
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
     index = np.stack([np.array(sums, np.uint32), np.bincount(place, minlength=lanes).astype(np.uint32)], 1)
-    head = _HEAD.pack(MAGIC, block, len(ids), len(table))
-    return b"".join([head, table, index.astype("<u4").tobytes(), units.astype("<u4").tobytes()])
-
-
-def decode(data: bytes | memoryview) -> np.ndarray:
-    """The ids of a segment as unsigned 32-bit numbers; raises DamagedBlock if a checksum fails."""
-    data = memoryview(data)
-    magic, block, n, packed = _HEAD.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a segment of this format")
-    if not n:
-        return np.zeros(0, np.uint32)
+    head = _HEAD.pack(MAGIC, block, len(ids), len(table)) + table + index.astype("<u4").tobytes()
+    head += _WORD.pack(zlib.crc32(head))
+    body = units.astype("<u4").tobytes()
+    frame = _FRAME.pack(len(body), len(head), zlib.crc32(_FRAME.pack(len(body), len(head), 0)))
+    return b"".join([frame, frame, head, head, body])
+
+
+def _sound(copies: list[memoryview], is_sound: Callable[[memoryview], bool]) -> memoryview:
+    for copy in copies:
+        if is_sound(copy):
+            return copy
+    raise ValueError("not a segment of this format, or both copies of a head are damaged")
+
+
+def _frame_is_sound(frame: memoryview) -> bool:
+    body, head, crc = _FRAME.unpack(frame)
+    return crc == zlib.crc32(_FRAME.pack(body, head, 0))
+
+
+def _head_is_sound(head: memoryview) -> bool:
+    at = len(head) - _WORD.size
+    return bytes(head[:4]) == MAGIC and zlib.crc32(head[:at]) == _WORD.unpack_from(head, at)[0]
+
+
+def decode(data: bytes | memoryview, damaged: list[int] | None = None) -> np.ndarray:
+    """The ids of a segment as unsigned 32-bit numbers.
+
+    A block whose checksum fails raises DamagedBlock; if a list is given, its number goes there
+    instead, and its ids are what could be read.
+    """
+    data, at, blocks = memoryview(data), 0, 0
+    parts = [np.zeros(0, np.uint32)]
+    while at < len(data):
+        frames = [data[at + k * _FRAME.size : at + (k + 1) * _FRAME.size] for k in range(2)]
+        body, size, _ = _FRAME.unpack(_sound(frames, _frame_is_sound))
+        at += 2 * _FRAME.size
+        head = _sound([data[at : at + size], data[at + size : at + 2 * size]], _head_is_sound)
+        at += 2 * size
+        ids, bad, lanes = _decode_chunk(head, data[at : at + body])
+        if bad and damaged is None:
+            raise DamagedBlock(f"block {blocks + bad[0]}")
+        if damaged is not None:
+            damaged += [blocks + b for b in bad]
+        parts.append(ids)
+        at, blocks = at + body, blocks + lanes
+    return np.concatenate(parts)
+
+
+def _decode_chunk(head: memoryview, body: memoryview) -> tuple[np.ndarray, list[int], int]:
+    """The ids, the numbers of damaged blocks, and the number of blocks."""
+    _, block, n, packed = _HEAD.unpack_from(head)
     at = _HEAD.size
-    table = np.frombuffer(zlib.decompress(data[at : at + packed]), "<u4").astype(np.int64)
+    table = np.frombuffer(zlib.decompress(head[at : at + packed]), "<u4").astype(np.int64)
     known, share = table[: len(table) // 2], table[len(table) // 2 :]
     place = np.repeat(np.arange(len(known), dtype=np.int32), share)
     first = np.cumsum(share) - share
     lanes = -(-n // block)
     at += packed
-    index = np.frombuffer(data[at : at + 8 * lanes], "<u4").reshape(lanes, 2)
-    units = np.frombuffer(data[at + 8 * lanes :], "<u4")
+    index = np.frombuffer(head[at : at + 8 * lanes], "<u4").reshape(lanes, 2)
+    units = np.frombuffer(body, "<u4")
     # Damaged blocks may read on; a few zeros follow, and reading stays inside.
     units = np.concatenate([units, np.zeros(2, np.uint32)]).astype(_U)
     counts = index[:, 1].astype(np.int64)
@@ -243,7 +295,6 @@ def decode(data: bytes | memoryview) -> np.ndarray:
         model.learn(ids, same2, same1, same1 > same2)
         last, before = ids, last
     whole = out.T.reshape(-1)[:n].astype(np.uint32)
-    for k in range(lanes):
-        if zlib.crc32(whole[k * block : (k + 1) * block].astype("<u4").tobytes()) != index[k, 0]:
-            raise DamagedBlock(f"block {k}")
-    return whole
+    raw = memoryview(whole.astype("<u4").tobytes())
+    sums = [zlib.crc32(raw[4 * k * block : 4 * (k + 1) * block]) for k in range(lanes)]
+    return whole, np.flatnonzero(np.array(sums, np.uint32) != index[:, 0]).tolist(), lanes

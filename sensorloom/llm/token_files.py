@@ -28,16 +28,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm import id_coder
-from sensorloom.llm.tables import KEY, stage, with_key
+from sensorloom.llm.tables import stage, with_key
 
 END_ID = 2
-SEGMENT_IDS = 1 << 22
-CACHED_PIECES = 1_200_000
+SEGMENT_IDS = 1 << 21
+CACHED_PIECES = 1_000_000
 
 
-#: A word of Latin letters and the marks after it: two units of the tokenizer, whose pattern splits
-#: between letters and other characters and whose normaliser only lower-cases these letters.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: A word of lower-case Latin letters, or marks, or both: units of the tokenizer, whose pattern splits
+#: between letters and other characters and whose normaliser keeps both as they are.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([.,;:!?]*)")
+#: Characters of texts that are encoded together, and units of one call of the library.
+_TOGETHER = 1 << 21
+_UNITS = 2048
 
 
 def _is_latin(text: str) -> bool:
@@ -47,91 +50,146 @@ def _is_latin(text: str) -> bool:
         return False
 
 
-def _byte_characters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable bytes for
-    themselves, the others for the characters from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+class _Pool:
+    """Id sequences in one array, by number; number 0 is the empty sequence.  Arrays grow by halves."""
 
+    def __init__(self) -> None:
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.used = 0
 
-class TextEncoder(dict):
+    def put(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if not len(numbers):
+            return
+        most = int(numbers.max()) + 1
+        for name, need in (("ids", self.used + len(ids)), ("first", most), ("count", most)):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(need // 2 + need - len(have), have.dtype)]))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[numbers] = self.used + np.cumsum(counts) - counts
+        self.count[numbers] = counts
+        self.used += len(ids)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences one after the other, and their lengths."""
+        count = self.count[at]
+        end = np.cumsum(count)
+        total = int(end[-1]) if len(end) else 0
+        return self.ids[np.arange(total) + np.repeat(self.first[at] - end + count, count)], count
+
+
+class _Numbers(dict):
+    """Numbers of strings in the order of their first use; unsettled ones stand in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = number = len(self)
+        self.fresh.append(text)
+        return number
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
+
+    def settle(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+class TextEncoder:
     """Encodes whole texts with a ``word_bpe`` file of the tokenizers library.
 
-    Holds the index of each piece between spaces; unknown pieces are encoded by the library, a plain
-    word by its model, anything else by the whole tokenizer.
+    Texts are cut into pieces at spaces and line feeds.  The pieces that a batch of texts brings up
+    for the first time are encoded together.  A plain word and the marks after it are two pieces, each
+    a unit of the tokenizer; a unit's last token is marked as the end of a word in the vocabulary, so
+    the units of one call of the library are told apart by their ids.  Any other piece is encoded on
+    its own.
     """
 
     def __init__(self, path: str, limit: int = CACHED_PIECES) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model = self.tokenizer.model
-        self.characters = _byte_characters()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_unit[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.clear()
-        self.pool, self.first, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.marks: dict[str, list[int]] = {}
-        self.new_ids: list[int] = []
-        self.new_counts: list[int] = []
-        self[""] = 0
-
-    def _unit(self, text: str) -> list[int]:
-        # Printable ASCII characters stand for themselves.
-        raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
-        return [t.id for t in self.model.tokenize(raw)]
-
-    def __missing__(self, piece: str) -> int:
-        plain = _PLAIN.fullmatch(piece)
-        if plain:
-            word, mark = plain.groups()
-            ids = self._unit(word)
-            if mark:
-                if mark not in self.marks:
-                    self.marks[mark] = self._unit(mark)
-                ids = ids + self.marks[mark]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self.new_ids += ids
-        self.new_counts.append(len(ids))
-        self[piece] = k = len(self)
-        return k
-
-    def _settle(self) -> None:
-        """Moves what is new into the arrays, which grow by halves."""
-        if not self.new_counts:
-            return
-        known, used = len(self) - len(self.new_counts), int(self.first[0])
-        for name, need in (("pool", used + len(self.new_ids)), ("first", len(self)), ("count", len(self))):
-            have = getattr(self, name)
-            if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(need // 2 + need - len(have), have.dtype)]))
-        self.pool[used : used + len(self.new_ids)] = self.new_ids
-        self.count[known : len(self)] = self.new_counts
-        self.first[known : len(self)] = used + np.cumsum(self.new_counts) - self.new_counts
-        # The empty piece has no ids; its entry holds the number of ids in use.
-        self.first[0] = used + len(self.new_ids)
-        self.new_ids, self.new_counts = [], []
+        self.pieces, self.pool = _Numbers(), _Pool()
+
+    def _learn_units(self, units: list[tuple[int, str]]) -> None:
+        for at in range(0, len(units), _UNITS):
+            numbers, some = zip(*units[at : at + _UNITS])
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends_unit[ids])
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not end each word with a token of its own")
+            self.pool.put(np.array(numbers), ids, np.diff(ends, prepend=-1))
+
+    def _learn_pieces(self) -> None:
+        units: list[tuple[int, str]] = []
+        others: list[tuple[int, str]] = []
+        joined: list[tuple[int, int, int]] = []
+        # Parts of joined pieces may be new as well.
+        while fresh := self.pieces.settle():
+            for number, piece in enumerate(fresh, len(self.pieces) - len(fresh)):
+                plain = _PLAIN.fullmatch(piece)
+                if not plain:
+                    others.append((number, piece))
+                elif plain[1] and plain[2]:
+                    joined.append((number, plain[1], plain[2]))
+                else:
+                    units.append((number, piece))
+            joined = [(n, *(self.pieces[p] if isinstance(p, str) else p for p in parts)) for n, *parts in joined]
+        self._learn_units(units)
+        for at in range(0, len(others), _UNITS):
+            numbers, some = zip(*others[at : at + _UNITS])
+            encoded = [e.ids for e in self.tokenizer.encode_batch(list(some), add_special_tokens=False)]
+            sizes = np.array([len(e) for e in encoded], np.int64)
+            self.pool.put(np.array(numbers), np.array([i for e in encoded for i in e], np.int32), sizes)
+        if joined:
+            numbers = np.array(joined)
+            ids, counts = self.pool.gather(numbers[:, 1:].ravel())
+            self.pool.put(numbers[:, 0], ids, counts[::2] + counts[1::2])
+
+    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for some in _together(texts):
+            numbers = []
+            for text in some:
+                if _is_latin(text) and "<|" not in text:
+                    # The library lower-cases these characters in the same way; only the strings of
+                    # special tokens, which are lower case, must not come about.
+                    text = text.lower()
+                # A line feed is white space to the tokenizer as a space is.
+                numbers.append(self.pieces.of(text.replace("\n", " ").split(" ")))
+            self._learn_pieces()
+            for at in numbers:
+                yield self.pool.gather(at)[0]
+            if len(self.pieces) > self.limit:
+                self._reset()
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if _is_latin(text) and "<|" not in text:
-            # The library lower-cases these characters in the same way; only the strings of special
-            # tokens, which are lower case, must not come about.
-            text = text.lower()
-        # A line feed is white space to the tokenizer as a space is.
-        at = np.fromiter(map(self.__getitem__, text.replace("\n", " ").split(" ")), np.int64)
-        self._settle()
-        count = self.count[at]
-        end = np.cumsum(count)
-        out = self.pool[np.arange(end[-1]) + np.repeat(self.first[at] - end + count, count)]
-        if len(self) > self.limit:
-            self._reset()
-        return out
+        (found,) = self.batch([text])
+        return found
+
+
+def _together(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in lists of bounded length, a long one on its own; null is empty."""
+    some: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if some and size + len(text) > _TOGETHER:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
 
 
 @lru_cache(maxsize=1)
@@ -168,9 +226,10 @@ def write(docs: DataFrame, tokenizer_file: str, segment_ids: int = SEGMENT_IDS)
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _SEGMENT)], schema=_SEGMENT)
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id"), batch.column("text")):
-                own = np.append(encoder.ids(text.as_py()), END_ID)
-                names.append(name.as_py())
+            encoded = encoder.batch(batch.column("text").to_pylist())
+            for name, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+                own = np.append(ids, END_ID)
+                names.append(name)
                 kept.append(own)
                 size += len(own)
                 if size >= segment_ids:

@@ -46,6 +46,43 @@ def test_coder_compresses_and_detects_damage():
         id_coder.decode(data[:-300] + bytes(300))
 
 
+def test_segments_of_any_number_of_blocks(monkeypatch):
+    monkeypatch.setattr(id_coder, "MAX_BLOCKS", 3)
+    ids = np.random.default_rng(1).integers(0, 50_000, 40 * 7 * 3 + 5)
+    data = id_coder.encode(ids, 40)
+    assert id_coder.decode(data).tolist() == ids.tolist()
+
+
+def test_any_damage_spoils_one_block():
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.3, 60_000) % 49408).astype(np.int64)
+    data = id_coder.encode(ids, 512)
+    for place in [0, 20, *rng.integers(0, len(data), 60)]:
+        hurt = bytearray(data)
+        hurt[place] ^= 0x55
+        bad: list[int] = []
+        got = id_coder.decode(bytes(hurt), bad)
+        assert len(bad) <= 1
+        sound = np.ones(len(ids), bool)
+        for block in bad:
+            sound[block * 512 : (block + 1) * 512] = False
+        assert (got[sound] == ids[sound]).all()
+
+
+def test_query_equals_the_library(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    library = token_files.TextEncoder(PATH).tokenizer
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = entry.queries()["op9_token_files"](spark, sf).orderBy("doc_id").collect()
+    start = 0
+    for d, g in zip(docs, got, strict=True):
+        ids = [*(library.encode(d.text, add_special_tokens=False).ids if d.text else []), 2]
+        assert tuple(g) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_files(documents, no_documents):
     segments = token_files.write(documents, PATH, segment_ids=500)
     assert segments.count() >= 3
