@@ -106,3 +106,12 @@ def test_moving_medians_with_parts_shorter_than_the_window(spark):
         own = [v for u, v in values if v is not None and 0 <= (t - u).total_seconds() < 86400]
         assert count == len(own)
         assert median is None if not own else median == quantile(np.array(own), 0.5)
+
+
+def test_spread_of_equal_and_of_close_values_is_not_lost_in_running_sums():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 100, 40), [53.7] * 3, rng.uniform(0, 100, 5), 61.3 + np.arange(3) * 1e-7])
+    got = ordered.frame_statistics(x, np.array([40, 48, 0]), np.array([43, 51, 48]), ["std"])["std"]
+    assert got[0] == 0
+    assert got[1] == pytest.approx(1e-7, rel=1e-6)
+    assert got[2] == pytest.approx(x[:48].std(ddof=1), rel=1e-12)
