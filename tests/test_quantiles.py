@@ -1,8 +1,12 @@
+import bisect
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from sensorloom.functions.quantiles import exact_quantiles, robust_scale, value_ranks
+from sensorloom.functions import quantiles
+from sensorloom.functions.quantiles import exact_quantiles, robust_scale, value_ranks, with_average_rank
 
 PROBS = {"a": 0.0, "b": 0.013, "c": 0.25, "d": 0.5, "e": 0.95, "f": 1.0}
 
@@ -72,3 +76,26 @@ def test_narrow_ranges_are_cut_into_parts(spark):
     assert np.allclose([got[n] for n in PROBS], np.quantile(v, list(PROBS.values())), rtol=1e-12)
     ranks = value_ranks(table, ["k"], "v").toPandas().sort_values("v")
     assert (ranks.average_rank.to_numpy() == np.arange(1, 100_001)).all()
+
+
+def test_bin_cuts_give_the_bins_of_average_ranks(spark):
+    rng = random.Random(11)
+    rows = [("one", rng.choice([0.0, 1.0, 2.5, rng.uniform(-3, 3)])) for _ in range(700)]
+    rows += [("narrow", 100 + rng.randrange(90) * 1e-9) for _ in range(300)] + [("few", 1.0), ("few", 2.0)]
+    rows += [("flat", 4.0)] * 20
+    table = spark.createDataFrame(rows, "k string, v double")
+    cuts = {r.k: r.cuts for r in quantiles.bin_cuts(table, ["k"], "v", 8, "cuts").collect()}
+    assert set(cuts) == {"one", "narrow", "few", "flat"}
+    for key in cuts:
+        values = sorted(v for k, v in rows if k == key)
+        n = len(values)
+        for v in set(values):
+            rank = bisect.bisect_left(values, v) + (values.count(v) + 1) / 2
+            want = min(int((rank - 0.5) * 8 / n), 7)
+            assert sum(c <= v for c in cuts[key]) == want
+
+
+def test_rank_tables_are_not_sent_through_the_driver(spark):
+    table = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    plan = with_average_rank(table, ["k"], "v", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
