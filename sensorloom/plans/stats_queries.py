@@ -15,6 +15,7 @@ from sensorloom.plans.audit_queries import PLONG, long, provided
 from sensorloom.plans.network import (
     CHANNELS, HOURLY, LONG, OBS, READINGS, hourly, query_table, readings, rounded, sql,
 )
+from sensorloom.sources.staging import stage
 
 QUERIES, SQL, query = query_table()
 
@@ -299,8 +300,8 @@ def _(spark, sf):
 SELECT scope_value AS sensor_id, channel_b AS channel, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman
 FROM ranked GROUP BY ALL HAVING count(*) >= 3""", "pearson spearman"))
 def _(spark, sf):
-    pairs = R.channel_pairs(hourly(spark, sf), ["sensor_id"], ["aqi", *CHANNELS[:5]])
-    pairs = pairs.where("channel_a = 'aqi'").withColumnRenamed("channel_b", "channel")
+    pairs = R.channel_pairs(hourly(spark, sf), ["sensor_id"], CHANNELS, first="aqi")
+    pairs = pairs.withColumnRenamed("channel_b", "channel")
     keys = ["sensor_id", "channel"]
     both = R.pearson(pairs, keys, 3).join(R.spearman(pairs, keys, 3).drop("n"), keys)
     return rounded(both)
@@ -333,10 +334,16 @@ t AS (SELECT scope_type, scope_value, channel_a, channel_b, c, sum(c) OVER g AS
 SELECT scope_type, scope_value, channel_a, channel_b, max(n)::BIGINT AS n, sum(c / n * ln(c * n / (cx * cy))) AS mutual_information
 FROM t GROUP BY ALL HAVING max(n) >= 100""", "mutual_information"))
 def _(spark, sf):
-    pairs = scoped_pairs(hourly(spark, sf), ordered=True, channels=CHANNELS)
-    return rounded(
-        R.mutual_information(pairs.where("scope_type <> 'city'"), PAIR_KEYS)
+    obs = hourly(spark, sf)
+    scopes = {kind: value for kind, value in T.standard_scopes().items() if kind != "city"}
+    pairs = R.channel_pairs(T.with_scopes(obs, scopes), PAIR_KEYS[:2], CHANNELS)
+    # The measure is symmetric, so each pair is computed once.
+    table = stage(R.mutual_information(pairs, PAIR_KEYS))
+    turned = table.select(
+        *PAIR_KEYS[:2], F.col("channel_b").alias("channel_a"), F.col("channel_a").alias("channel_b"), "n",
+        "mutual_information",
     )
+    return rounded(table.unionByName(turned))
 
 
 LAGS = [60, 120, 180, 360, 720, 1440]
