@@ -7,6 +7,7 @@ import pytest
 
 from sensorloom.functions import quantiles
 from sensorloom.functions.quantiles import exact_quantiles, robust_scale, value_ranks, with_average_rank
+from sensorloom.sources.staging import stage
 
 PROBS = {"a": 0.0, "b": 0.013, "c": 0.25, "d": 0.5, "e": 0.95, "f": 1.0}
 
@@ -96,6 +97,6 @@ def test_bin_cuts_give_the_bins_of_average_ranks(spark):
 
 
 def test_rank_tables_are_not_sent_through_the_driver(spark):
-    table = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    table = stage(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double"))
     plan = with_average_rank(table, ["k"], "v", "r")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
