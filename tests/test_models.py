@@ -172,3 +172,16 @@ def test_components_of_embeddings_use_every_dimension(spark, tmp_path):
         v = v if v[np.argmax(np.abs(v))] > 0 else -v
         assert np.allclose([by[c + 1, f"e{i}"].loading for i in range(20)], v, atol=1e-6)
         assert np.isclose(by[c + 1, "e0"].explained_ratio, values[19 - c] / values.sum())
+
+
+def test_fold_metrics_do_not_depend_on_the_order_of_rows(spark):
+    """Ten errors of 0.1 add up to 1; added one by one in doubles they give 0.9999999999999999."""
+    from sensorloom.operators.metrics import bias_metrics, fold_summary
+
+    rows = [("1h", "persistence", fold, 0.0, 0.1) for fold in (1, 2) for _ in range(10)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "horizon string, model string, fold int, actual double, predicted double")
+        df = df.repartition(parts)
+        for row in bias_metrics(df, ["horizon", "model", "fold"]).collect():
+            assert (row.mae, row.bias) == (0.1, 0.1)
+        assert fold_summary(df, ["horizon"]).first().mean_mae == 0.1
