@@ -301,7 +301,8 @@ def rolling_summary(
         parts = [F.when(enough, F.col(f"_{stat}_{hours}")).alias(stat) for stat in stats[:-1]]
         return F.struct(F.lit(hours).alias("window_hours"), *parts)
 
-    wide = moving_statistics(present, by, wanted)
+    # Read by the aggregate and by two passes per quantile; unstaged, each would move the windows again.
+    wide = stage(moving_statistics(present, by, wanted).select(*by.keys, "_us", *wanted))
     rows = wide.select(*by.keys, "_us", F.explode(F.array(*map(row, windows_hours))).alias("_r")).select(
         *by.keys, "_us", "_r.*", (F.col("_r.max") - F.col("_r.min")).alias("range")
     )

@@ -57,3 +57,8 @@ def test_no_window_spans_a_whole_series(spark):
     text = plan(series.segment_series(events, HOURLY))
     # The one window by sensor alone runs over block summaries, after an aggregate.
     assert "hashpartitioning(sensor_id#" in text and "_blk" in text
+
+
+def test_rolling_summary_moves_its_windows_once(spark):
+    """The quantiles read the moved windows from a staged table, they do not move them again."""
+    assert "FlatMapGroupsInArrow" not in plan(registry.queries()["rolling_summary"](spark, SMALL))
