@@ -82,7 +82,8 @@ def near_event_join(
             )
         ).alias("_bucket"),
     )
-    rows = df.withColumn("_us", micros(ts)).withColumn("_bucket", bucket_index(F.col("_us"), size))
+    # Read for the stamps and for the rows they select.
+    rows = stage(df.withColumn("_us", micros(ts)).withColumn("_bucket", bucket_index(F.col("_us"), size)))
     stamps = rows.select(*keys, "_bucket", "_us").distinct()
     hits = (
         stamps.join(reach, [*keys, "_bucket"])

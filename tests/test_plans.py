@@ -62,3 +62,7 @@ def test_no_window_spans_a_whole_series(spark):
 def test_rolling_summary_moves_its_windows_once(spark):
     """The quantiles read the moved windows from a staged table, they do not move them again."""
     assert "FlatMapGroupsInArrow" not in plan(registry.queries()["rolling_summary"](spark, SMALL))
+
+
+def test_near_event_join_flags_its_rows_once(spark):
+    assert "FlatMapGroupsInArrow" not in plan(registry.queries()["near_event_join"](spark, SMALL))
