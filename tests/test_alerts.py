@@ -120,3 +120,12 @@ def test_block_folds_equal_the_sequential_fold(spark, seed, hours):
     names = {None: "Normal", 0: "Elevated", 1: "High"}
     got = run(spark, [forecast(m, risk=names[v]) for m, v in sequence], hours=hours, cooldown=70)
     assert steps(got) == naive(sequence, 70)
+
+
+def test_evaluations_are_joined_once_for_the_block_maps(spark, monkeypatch):
+    staged, real = [], A.stage
+    monkeypatch.setattr(A, "stage", lambda df: staged.append(df) or real(df))
+    got = run(spark, [forecast(15 * i, risk="Elevated") for i in range(2)])
+    assert steps(got) == [("new", True), ("updated", False)]
+    marked = next(df for df in staged if "transition" in df.columns)
+    assert marked.inputFiles()
