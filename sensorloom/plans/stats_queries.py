@@ -265,7 +265,8 @@ def scoped_pairs(obs, ordered=False, channels=CHANNELS):
 @query("correlation_table", sql(OBS + pair_sql(SCOPES, PAIR_LIST) + RANKED, CORR,
        "pearson spearman spearman_minus_pearson"))
 def _(spark, sf):
-    return rounded(R.correlation_table(scoped_pairs(hourly(spark, sf)), PAIR_KEYS))
+    scoped = T.with_scopes(hourly(spark, sf), T.standard_scopes())
+    return rounded(R.correlation_table(scoped, PAIR_KEYS[:2], CHANNELS))
 
 
 @query("pearson_raw", sql(READINGS, """
@@ -509,5 +510,4 @@ def _(spark, sf):
 @query("spearman_matrix", sql(OBS + pair_sql(SCOPES[:1], PAIR_LIST) + RANKED, """
 SELECT channel_a, channel_b, count(*) AS n, corr(rx, ry) AS spearman FROM ranked GROUP BY ALL HAVING count(*) >= 30""", "spearman"))
 def _(spark, sf):
-    pairs = R.channel_pairs(hourly(spark, sf), [], CHANNELS)
-    return rounded(R.spearman(pairs, ["channel_a", "channel_b"]))
+    return rounded(R.channel_correlations(hourly(spark, sf), [], CHANNELS).drop("pearson"))
