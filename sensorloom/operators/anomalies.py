@@ -287,46 +287,47 @@ def _average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def _grow_tree(points, rng, limit: int):
-    """One random split tree as flat lists (feature, cut, left, right, size)."""
-    nodes: list[list] = []
+def _grow_tree(points, rng, limit: int) -> list[tuple]:
+    """One random split tree: a row (feature, cut, left, right, path length) per node.
 
-    def grow(rows, depth: int) -> int:
+    Nodes hold few rows, for which plain lists are faster than arrays.  A leaf leads to itself, and
+    its path length is its depth and what is expected for the rows it was not split into.
+    """
+    nodes: list[tuple] = []
+
+    def grow(rows: list, depth: int) -> int:
         index = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, len(rows)])
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        usable = [i for i in range(rows.shape[1]) if high[i] > low[i]]
-        if depth >= limit or len(rows) <= 1 or not usable:
+        nodes.append((0, 0.0, index, index, depth + _average_path(len(rows))))
+        if depth >= limit or len(rows) <= 1:
+            return index
+        ranges = [(min(c), max(c)) for c in zip(*rows)]
+        usable = [i for i, (low, high) in enumerate(ranges) if high > low]
+        if not usable:
             return index
         feature = usable[int(rng.integers(len(usable)))]
-        cut = float(rng.uniform(low[feature], high[feature]))
-        left = rows[:, feature] < cut
-        if left.all() or not left.any():
+        cut = rng.uniform(*ranges[feature])
+        below = [r for r in rows if r[feature] < cut]
+        if not below or len(below) == len(rows):
             return index
-        nodes[index][0], nodes[index][1] = feature, cut
-        nodes[index][2] = grow(rows[left], depth + 1)
-        nodes[index][3] = grow(rows[~left], depth + 1)
+        left = grow(below, depth + 1)
+        right = grow([r for r in rows if not r[feature] < cut], depth + 1)
+        nodes[index] = (feature, cut, left, right, 0.0)
         return index
 
-    grow(points, 0)
+    grow(points.tolist(), 0)
     return nodes
 
 
-def _path_lengths(nodes, points):
+def _path_lengths(table, points, limit: int):
+    """Path lengths of the points in a tree, given as the array of its nodes."""
     import numpy as np
 
-    table = np.array(nodes, dtype=float)
-    at = np.zeros(len(points), dtype=int)
-    depth = np.zeros(len(points))
-    moving = table[at, 0] >= 0
-    while moving.any():
-        who = np.where(moving)[0]
-        node = at[who]
-        left = points[who, table[node, 0].astype(int)] < table[node, 1]
-        at[who] = np.where(left, table[node, 2], table[node, 3]).astype(int)
-        depth[who] += 1
-        moving[who] = table[at[who], 0] >= 0
-    return depth + np.array([_average_path(n) for n in table[at, 4]])
+    feature, left, right = (table[:, i].astype(np.int64) for i in (0, 2, 3))
+    cells, first = points.ravel(), np.arange(len(points)) * points.shape[1]
+    at = np.zeros(len(points), np.int64)
+    for _ in range(limit):
+        at = np.where(cells[first + feature[at]] < table[at, 1], left[at], right[at])
+    return table[at, 4]
 
 
 def isolation_forest(
@@ -350,8 +351,6 @@ def isolation_forest(
     in parts of bounded size that each receive a copy of their key's trees, so a
     hot key is scored by many tasks; the threshold is an exact quantile.
     """
-    import json
-
     import numpy as np
     import pandas as pd
 
@@ -390,23 +389,31 @@ def isolation_forest(
             for i in range(trees)
         ]
         out = pdf[keys].head(1).copy()
-        out["forest"] = json.dumps({"size": size, "channels": used, "trees": grown})
+        out["size"], out["channels"], out["nodes"] = size, [used], [[len(t) for t in grown]]
+        out["forest"] = np.concatenate([np.array(t, float) for t in grown]).tobytes()
         return out
 
-    forests = picked.groupBy(*keys).applyInPandas(grow, key_schema + ", forest string")
+    model_schema = "size int, channels array<string>, nodes array<int>, forest binary"
+    # Trees cost far more than the bytes of their rows suggest, so partitions are given by number;
+    # staged, or the planner would keep the partitions of the ranking, which are merged by size.
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forests = stage(picked).repartition(count, *keys).groupBy(*keys).applyInPandas(grow, f"{key_schema}, {model_schema}")
     numbered = with_ordinal(complete, s).withColumn(
         "_part", F.floor(F.col("_ord") / rows_per_task)
     ).drop("_us", "_blk", "_ord")
     parts = numbered.select(*keys, "_part").distinct()
     copies = parts.join(forests, keys).select(
-        *[F.col(k).alias(f"_copy_{k}") for k in [*keys, "_part"]], "forest"
+        *[F.col(k).alias(f"_copy_{k}") for k in [*keys, "_part"]], "size", "channels", "nodes", "forest"
     )
     copy_keys = [f"_copy_{k}" for k in [*keys, "_part"]]
+    numbered, copies = numbered.repartition(count, *keys, "_part"), copies.repartition(count, *copy_keys)
 
     def score(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        model = json.loads(forest["forest"].iloc[0])
-        points = rows[model["channels"]].to_numpy(float)
-        depth = np.mean([_path_lengths(t, points) for t in model["trees"]], axis=0)
+        model = forest.iloc[0]
+        points = np.ascontiguousarray(rows[list(model["channels"])].to_numpy(float))
+        tables = np.split(np.frombuffer(model["forest"]).reshape(-1, 5), np.cumsum(model["nodes"])[:-1])
+        limit = math.ceil(math.log2(max(model["size"], 2)))
+        depth = np.mean([_path_lengths(t, points, limit) for t in tables], axis=0)
         out = rows[[*keys, s.ts]].copy()
         out["isolation_score"] = 2.0 ** (-depth / max(_average_path(model["size"]), 1e-12))
         return out

@@ -185,3 +185,29 @@ def test_fold_metrics_do_not_depend_on_the_order_of_rows(spark):
         for row in bias_metrics(df, ["horizon", "model", "fold"]).collect():
             assert (row.mae, row.bias) == (0.1, 0.1)
         assert fold_summary(df, ["horizon"]).first().mean_mae == 0.1
+
+
+def test_trees_lead_every_point_to_its_leaf():
+    """Leaves lead to themselves, so a tree is followed in as many steps as it may have levels."""
+    import math
+
+    import numpy as np
+
+    from sensorloom.operators.anomalies import _average_path, _grow_tree, _path_lengths
+
+    points = np.random.default_rng(3).integers(0, 9, (64, 3)).astype(float)
+    points[:8] = points[0]
+    limit = math.ceil(math.log2(64))
+    table = np.array(_grow_tree(points, np.random.default_rng(42), limit), float)
+    leaves: dict[int, list[int]] = {}
+    depths = {}
+    for i, p in enumerate(points):
+        at = depth = 0
+        while table[at, 2] != at:
+            at, depth = int(table[at, 2 if p[int(table[at, 0])] < table[at, 1] else 3]), depth + 1
+        leaves.setdefault(at, []).append(i)
+        depths[at] = depth
+    assert max(depths.values()) <= limit and len(leaves) == (table[:, 2] == np.arange(len(table))).sum()
+    got = _path_lengths(table, points, limit)
+    for at, members in leaves.items():
+        assert (got[members] == depths[at] + _average_path(len(members))).all()
