@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.quantiles import (
     exact_quantiles, finite, order_bin, value_ranks, with_parts,
 )
+from sensorloom.functions.sums import steady_mean
 from sensorloom.operators.moving import moving_statistics
 from sensorloom.operators.series import Series, with_ordinal
 from sensorloom.sources.staging import stage
@@ -260,7 +261,9 @@ def temporal_profile(long: DataFrame, s: Series) -> DataFrame:
         .select(*s.keys, "channel", "_p.pattern_type", "_p.period", "value")
     )
     basic = rows.groupBy(*by).agg(
-        F.avg("value").alias("mean"),
+        # An infinite value has no exact parts.
+        F.when(F.max(F.abs("value")) < float("inf"), steady_mean(F.col("value")))
+        .otherwise(F.avg("value")).alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),

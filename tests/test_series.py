@@ -170,3 +170,15 @@ def test_all_changes_of_a_run_are_returned(spark):
     long = spark.createDataFrame(rows, "sensor_id int, ts timestamp_ntz, channel string, value double")
     found = change_points(long, s, window_rows=24, least_days=3, penalty=2.0).collect()
     assert len(found) >= 12 and sorted(r["rank"] for r in found) == list(range(1, len(found) + 1))
+
+
+def test_profile_means_do_not_depend_on_the_order_of_rows(spark):
+    """Ten values of 0.1 add up to 1; added one by one in doubles they give 0.9999999999999999."""
+    from sensorloom.operators.stats import temporal_profile
+
+    odd = [("b", 1.0), ("b", float("inf")), ("c", 1.0), ("c", float("nan"))]
+    rows = [("a", "pm25", at(60), 0.1)] * 10 + [(sensor, "pm25", at(60), value) for sensor, value in odd]
+    df = spark.createDataFrame(rows, "sensor_id string, channel string, ts timestamp_ntz, value double")
+    for parts in (1, 7):
+        means = {r.sensor_id: r.mean for r in temporal_profile(df.repartition(parts), Series()).collect()}
+        assert (means["a"], means["b"], str(means["c"])) == (0.1, float("inf"), "nan")
